@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import line_dedup, mixing, sharding
+from strandline.llm import line_dedup, mixing, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mix_sources": mixing.query,
         "op5_line_dedup": line_dedup.query,
         "op6_rendezvous_sharding": sharding.query,
+        "op8_quality_rules": quality.query,
     }
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import line_dedup, mixing, quality, sharding
+from strandline.llm import line_dedup, mixing, quality, sharding, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_line_dedup": line_dedup.query,
         "op6_rendezvous_sharding": sharding.query,
         "op8_quality_rules": quality.query,
+        "op10_substring_dedup": substring_dedup.query,
     }
 
 

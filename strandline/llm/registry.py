@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import line_dedup, mixing, quality, sharding, substring_dedup
+from strandline.llm import line_dedup, mixing, near_dedup, quality, sharding, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_near_dedup": near_dedup.query,
         "op3_mix_sources": mixing.query,
         "op5_line_dedup": line_dedup.query,
         "op6_rendezvous_sharding": sharding.query,

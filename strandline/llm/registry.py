@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import html_extract, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, token_count
+from strandline.llm import html_extract, language_model, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, token_count
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_html_extract": html_extract.query,
         "op5_line_dedup": line_dedup.query,
         "op6_rendezvous_sharding": sharding.query,
+        "op7_language_model": language_model.query,
         "op8_quality_rules": quality.query,
         "op9_token_counts": token_count.query,
         "op10_substring_dedup": substring_dedup.query,

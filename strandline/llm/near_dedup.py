@@ -26,9 +26,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import WordHasher, mixed, staged, table
 
-#: A link at similarity 0.85 shares no band with probability (1 - 0.85**5)**28 < 1e-7.
-BANDS, ROWS = 28, 5
-REGISTERS = BANDS * ROWS
+REGISTERS = 140
 #: Base of the register scale and its largest value: 1.02**-1200 of the range of 32-bit hashes.
 BASE, TOP = 1.02, 1200
 PIVOT_ROUNDS = 2
@@ -38,6 +36,11 @@ MULTIPLIERS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9
 SHINGLE_FACTOR = 0xC2B2AE3D27D4EB4F
 
 
+def band_rows(percent: int) -> int:
+    """Registers of a band: the most at which a link shares no band with probability under 1e-6."""
+    return max(r for r in (1, 2, 4, 5, 7) if r == 1 or (1 - (percent / 100) ** r) ** (REGISTERS // r) < 1e-6)
+
+
 def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
     """Sorted distinct hashes of runs of ``size`` words; of the whole sequence if it is shorter; empty without words."""
     n = max(1, len(words) - size + 1) if len(words) else 0
@@ -165,8 +168,8 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", s
     sketches = staged(sketch(docs, shingle), "sketches")
     usable = sketches.where(F.col("k").isNotNull() & F.col("mark").isNotNull())
     leaders = staged(usable.groupBy("mark").agg(F.min("k").alias("k"), F.max("n").alias("n"), F.max("registers").alias("registers")), "leaders")
-    width = 2 * ROWS
-    bands: Column = F.array(*[F.xxhash64(F.substring("registers", i * width + 1, width), F.lit(i)) for i in range(BANDS)])
+    rows = band_rows(percent)
+    bands: Column = F.array(*[F.xxhash64(F.substring("registers", i * 2 * rows + 1, 2 * rows), F.lit(i)) for i in range(REGISTERS // rows)])
     buckets = leaders.select("k", F.explode(bands).alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("k").alias("pivot")).where(F.col("size") > 1)
     members = staged(buckets.join(shared, "bucket").select("k", "bucket", "pivot"), "members")

@@ -69,10 +69,13 @@ def repeated_words(hashes: Column, window: int) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), _let(_let(pairs, positions), covered)).otherwise(F.lit(0))
 
 
-def text_statistics(df: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 8) -> DataFrame:
-    """Key, counts and shares of each row's whole text. Null text counts as empty; shares of nothing are 0."""
+def text_statistics(df: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 8, row: bool = False) -> DataFrame:
+    """Key, counts and shares of each row's whole text. Null text counts as empty; shares of nothing are 0.
+
+    row: instead of the key, the whole row as the struct ``key``.
+    """
     body = F.col("body")
-    rows = df.select(F.col(key).alias(key), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    rows = df.select((F.struct(*df.columns) if row else F.col(key)).alias(key), F.coalesce(F.col(text), F.lit("")).alias("body"))
     rows = rows.withColumn("words", F.array_remove(F.split(body, f"{WS_CLASS}+"), "")).withColumn("lines", F.filter(F.split(body, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
     starts = F.size("words") - F.lit(window - 1)
     rows = rows.withColumn("hashes", F.when(starts > 1, F.transform(F.sequence(F.lit(1), starts), lambda i: F.xxhash64(F.slice("words", i, window)))).otherwise(F.array().cast("array<bigint>")))
@@ -186,17 +189,17 @@ def verdict(rules: Sequence[Rule]) -> Column:
     return out
 
 
-def judge(df: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", least_words: int = 20, most_repeat_percent: int = 30) -> DataFrame:
-    """Statistics, base check, fired rule and verdict for each row of ``df``.
+def learn(stats: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: str = "quality") -> list[Rule]:
+    """Rules from statistics and labels (0 for bad) that meet by key; a key labelled twice is bad if either row says so.
 
-    labels: rows of key and label, 0 for bad; a key labelled twice counts as bad if either row says so, null labels don't
-    count, and labels without a row in ``df`` are ignored. With no usable labels only the base check speaks. Rows with
-    equal keys are judged each by its own text; a null key never meets a label. Null and empty texts have no words and
-    fail the base check. An empty table gives no rows; other columns are not read.
+    Null labels, null keys and labels without a row don't count.
     """
-    stats = staged(text_statistics(df, key=key, text=text), "statistics")
     marks = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg((F.min(label) == 0).alias("__bad"))
-    rules = learn_rules(stats.join(marks, key), FEATURES, "__bad", key)
+    return learn_rules(stats.join(marks, key), FEATURES, "__bad", key)
+
+
+def with_verdict(stats: DataFrame, rules: Sequence[Rule], *, least_words: int = 20, most_repeat_percent: int = 30) -> DataFrame:
+    """Adds base_failed, rule (index of the first that fires), kept and reason."""
     failed = (F.col("n_words") < least_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * most_repeat_percent)
     names = F.array(*[F.lit(" and ".join(map(str, r.conditions))) for r in rules]) if rules else F.array().cast("array<string>")
     return (
@@ -207,6 +210,23 @@ def judge(df: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     )
 
 
+def judge(df: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """Statistics, base check, fired rule and verdict for each row of ``df``.
+
+    With no usable labels only the base check speaks. Rows with equal keys are judged each by its own text; a null key
+    never meets a label. Null and empty texts have no words and fail the base check. An empty table gives no rows; other
+    columns are not read.
+    """
+    stats = staged(text_statistics(df, key=key, text=text), "statistics")
+    return with_verdict(stats, learn(stats, labels, key=key, label=label))
+
+
+def keep_good(df: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """The rows of ``df`` that :func:`judge` keeps, with all their columns; judged in place, so no row needs its key."""
+    rules = learn(staged(text_statistics(df, key=key, text=text), "statistics"), labels, key=key, label=label)
+    return with_verdict(text_statistics(df, key=key, text=text, row=True), rules).where("kept").select(*[F.col(key)[c].alias(c) for c in df.columns])
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule", "reason")

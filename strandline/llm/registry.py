@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import html_extract, language_model, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, token_count
+import corpus_pipeline
+from strandline.llm import decontamination, html_extract, language_model, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, token_count
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": decontamination.query,
         "op2_near_dedup": near_dedup.query,
         "op3_mix_sources": mixing.query,
         "op4_html_extract": html_extract.query,
@@ -20,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": quality.query,
         "op9_token_counts": token_count.query,
         "op10_substring_dedup": substring_dedup.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 

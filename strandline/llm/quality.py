@@ -222,9 +222,14 @@ def judge(df: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
 
 
 def keep_good(df: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """The rows of ``df`` that :func:`judge` keeps, with all their columns; judged in place, so no row needs its key."""
-    rules = learn(staged(text_statistics(df, key=key, text=text), "statistics"), labels, key=key, label=label)
-    return with_verdict(text_statistics(df, key=key, text=text, row=True), rules).where("kept").select(*[F.col(key)[c].alias(c) for c in df.columns])
+    """The rows of ``df`` that :func:`judge` keeps, with all their columns; judged in place, so no row needs its key.
+
+    Rows and statistics are written once and filtered on reading: a filter over the expressions themselves would be pushed
+    below them and repeat them for each rule.
+    """
+    stats = staged(text_statistics(df, key=key, text=text, row=True), "statistics")
+    rules = learn(stats.withColumn(key, F.col(key)[key]), labels, key=key, label=label)
+    return with_verdict(stats, rules).where("kept").select(*[F.col(key)[c].alias(c) for c in df.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

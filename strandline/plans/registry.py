@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.plans import catalog, market
+from strandline.plans import catalog, market, online
 
-PARTS = (catalog, market)
+PARTS = (catalog, market, online)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -26,19 +26,23 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import WordHasher, mixed, staged, table
 
-REGISTERS = 140
+#: Registers, and how many of them are cut into bands.
+REGISTERS, BANDED = 420, 140
 #: Base of the register scale and its largest value: 1.02**-1200 of the range of 32-bit hashes.
 BASE, TOP = 1.02, 1200
 PIVOT_ROUNDS = 2
-#: A pair goes on to verification unless its likeliest similarity is this far (over 5 standard errors) below the bound.
-SLACK = 0.17
-MULTIPLIERS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+SEEDS = (mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 SHINGLE_FACTOR = 0xC2B2AE3D27D4EB4F
 
 
 def band_rows(percent: int) -> int:
     """Registers of a band: the most at which a link shares no band with probability under 1e-6."""
-    return max(r for r in (1, 2, 4, 5, 7) if r == 1 or (1 - (percent / 100) ** r) ** (REGISTERS // r) < 1e-6)
+    return max(r for r in (1, 2, 4, 5, 7) if r == 1 or (1 - (percent / 100) ** r) ** (BANDED // r) < 1e-6)
+
+
+def least_estimate(percent: int) -> float:
+    """Estimates of pairs at the bound are under this with probability under 1e-5 (4.5 standard errors)."""
+    return percent / 100 - 4.5 * math.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
 
 
 def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
@@ -54,13 +58,18 @@ def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
 def registers(sets: list[np.ndarray]) -> np.ndarray:
     """One row of REGISTERS registers (uint16) for each non-empty set."""
     edges = np.cumsum([0] + [len(s) for s in sets])[:-1]
-    every = np.concatenate(sets)
-    least = np.empty((REGISTERS, len(sets)), np.uint64)
-    for i, by in enumerate(MULTIPLIERS):
-        h = every * by
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        least[i] = np.minimum.reduceat(h >> np.uint64(32), edges)
+    every = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
+    least = np.empty((REGISTERS, len(sets)), np.uint32)
+    h, low = np.empty_like(every), np.empty_like(every)
+    for i, seed in enumerate(SEEDS):
+        np.bitwise_xor(every, seed, out=h)
+        h *= np.uint32(0x85EBCA6B)
+        np.right_shift(h, np.uint32(15), out=low)
+        h ^= low
+        h *= np.uint32(0xC2B2AE35)
+        np.right_shift(h, np.uint32(16), out=low)
+        h ^= low
+        least[i] = np.minimum.reduceat(h, edges)
     exponential = -np.log1p(-(least.T.astype(np.float64) + 0.5) / 2.0**32)
     return np.clip(np.floor(1 - np.log(exponential) / math.log(BASE)), 0, TOP).astype(np.uint16)
 
@@ -89,7 +98,7 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
             at = 0
             while at < len(bodies):
                 sets, first, size = [], at, 0
-                while at < len(bodies) and size < 200_000:
+                while at < len(bodies) and size < 60_000:
                     sets.append(shingle_set(hasher.array(bodies[at].as_py().lower().split()), shingle))
                     size += len(sets[-1])
                     at += 1
@@ -134,7 +143,7 @@ def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: i
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in (3, 5))
             n_a, n_b = (batch.column(c).to_numpy().astype(float) for c in (2, 4))
             j = likeliest_similarity(n_a, n_b, (a > b).sum(1), (a < b).sum(1))
-            keep = pa.array(j >= percent / 100 - SLACK)
+            keep = pa.array(j >= least_estimate(percent))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +178,7 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", s
     usable = sketches.where(F.col("k").isNotNull() & F.col("mark").isNotNull())
     leaders = staged(usable.groupBy("mark").agg(F.min("k").alias("k"), F.max("n").alias("n"), F.max("registers").alias("registers")), "leaders")
     rows = band_rows(percent)
-    bands: Column = F.array(*[F.xxhash64(F.substring("registers", i * 2 * rows + 1, 2 * rows), F.lit(i)) for i in range(REGISTERS // rows)])
+    bands: Column = F.array(*[F.xxhash64(F.substring("registers", i * 2 * rows + 1, 2 * rows), F.lit(i)) for i in range(BANDED // rows)])
     buckets = leaders.select("k", F.explode(bands).alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("k").alias("pivot")).where(F.col("size") > 1)
     members = staged(buckets.join(shared, "bucket").select("k", "bucket", "pivot"), "members")
@@ -184,7 +193,8 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", s
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(items, pa.binary())], names=["k", "items"])
 
     sets = staged(docs.join(nodes, "k", "left_semi").mapInArrow(collect_sets, "k long, items binary"), "sets")
-    known = leaders.join(nodes, "k", "left_semi").select("k", "n", "registers", bands.alias("bands"))
+    each = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS - 1)), lambda i: F.substring("registers", 2 * i + 1, F.lit(2)))
+    known = leaders.join(nodes, "k", "left_semi").select("k", "n", "registers", bands.alias("bands"), each.alias("each"))
     known = staged(known, "known")
 
     links = staged(_verified(members.where("k <> pivot").select(F.col("pivot").alias("a"), F.col("k").alias("b")).distinct(), known, sets, percent), "verified")
@@ -209,17 +219,22 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", s
 
 
 def _rest(members: DataFrame, parts: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among all colliding pairs of different components, each pair in the first band that it shares."""
+    """Links among all colliding pairs of different components, each pair in the first band that it shares.
+
+    Equal registers are at least as likely as the similarity, so pairs with too few of them don't leave the join.
+    """
     named = members.join(parts.withColumnRenamed("node", "k"), "k", "left").select("k", "bucket", F.coalesce("component", "k").alias("c"))
     sizes = named.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("m"))
     # the largest component of a bucket meets the others from their side; two of its own members never meet
     open_ = sizes.groupBy("bucket").agg(F.max_by("c", F.struct("m", "c")).alias("big"), F.count(F.lit(1)).alias("cs")).where("cs > 1").select("bucket", "big")
-    rows = named.join(open_, "bucket").join(known.select("k", "bands"), "k")
-    small = rows.where("c <> big").select("bucket", F.col("k").alias("a"), F.col("c").alias("ca"), F.col("bands").alias("ba"))
-    every = rows.select("bucket", F.col("k").alias("b"), F.col("c").alias("cb"), "big", F.col("bands").alias("bb"))
+    rows = named.join(open_, "bucket").join(known.select("k", "bands", "each"), "k")
+    small = rows.where("c <> big").select("bucket", F.col("k").alias("a"), F.col("c").alias("ca"), F.col("bands").alias("ba"), F.col("each").alias("ea"))
+    every = rows.select("bucket", F.col("k").alias("b"), F.col("c").alias("cb"), "big", F.col("bands").alias("bb"), F.col("each").alias("eb"))
     first = F.filter(F.zip_with("ba", "bb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())[0]
     once = (F.col("cb") == F.col("big")) | (F.col("a") < F.col("b"))
-    pairs = small.join(every, "bucket").where((F.col("ca") != F.col("cb")) & once & (first == F.col("bucket"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    equal = F.size(F.filter(F.zip_with("ea", "eb", lambda x, y: x == y), lambda x: x))
+    alike = F.when((F.col("ca") != F.col("cb")) & once & (first == F.col("bucket")), equal >= math.floor(least_estimate(percent) * REGISTERS)).otherwise(False)
+    pairs = small.join(every, "bucket").where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return staged(_verified(pairs, known, sets, percent), "verified")
 
 

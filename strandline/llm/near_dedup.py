@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from strandline.llm.common import WordHasher, mixed, staged, table
 
 #: Registers, and how many of them are cut into bands.
-REGISTERS, BANDED = 420, 140
+REGISTERS, BANDED = 560, 140
 #: Base of the register scale and its largest value: 1.02**-1200 of the range of 32-bit hashes.
 BASE, TOP = 1.02, 1200
 PIVOT_ROUNDS = 2

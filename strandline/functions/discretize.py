@@ -12,19 +12,28 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Buckets:
-    """``edges`` (n + 1, rising) and ``centers`` (n)."""
+    """``edges`` (n + 1, rising, evenly spaced in the value or its logarithm) and ``centers`` (n)."""
 
     edges: tuple[float, ...]
     centers: tuple[float, ...]
+    log_scale: bool = False
 
     @property
     def n(self) -> int:
         return len(self.centers)
 
     def bucket(self, value: Column) -> Column:
-        """Upper edges strictly below the value, at most n - 1: a value on an edge goes to the lower bucket; null stays null."""
-        upper = F.array(*map(F.lit, self.edges[1:]))
-        return F.when(value.isNotNull(), F.least(F.size(F.filter(upper, lambda b: b < value)), F.lit(self.n - 1)))
+        """Upper edges strictly below the value, at most n - 1: a value on an edge goes to the lower bucket; null stays null.
+
+        The even spacing gives the place to within one; the edges themselves decide, so no search walks them all.
+        """
+        low, high = self.edges[0], self.edges[-1]
+        x = F.greatest(F.least(value, F.lit(high)), F.lit(low))
+        place = F.log(x / F.lit(low)) / F.lit(math.log(high / low)) if self.log_scale else (x - F.lit(low)) / F.lit(high - low)
+        near = F.greatest(F.least(F.floor(place * F.lit(float(self.n))).cast("int"), F.lit(self.n - 1)), F.lit(0))
+        edges = F.array(*map(F.lit, self.edges))
+        moved = near + F.when(F.get(edges, near + 1) < value, 1).when(F.get(edges, near) >= value, -1).otherwise(0)
+        return F.when(value.isNotNull(), F.greatest(F.least(moved, F.lit(self.n - 1)), F.lit(0)))
 
     def center(self, bucket: Column) -> Column:
         """Center of a bucket; an error outside 0..n-1."""
@@ -73,7 +82,7 @@ def volume_buckets(n: int = 51, low: float = 0.1, high: float = 5.0, log_scale:
     if not log_scale:
         return _linear(low, high, n)
     edges = np.geomspace(low, high, n + 1)
-    return Buckets(tuple(map(float, edges)), tuple(math.sqrt(a * b) for a, b in zip(edges[:-1], edges[1:], strict=True)))
+    return Buckets(tuple(map(float, edges)), tuple(math.sqrt(a * b) for a, b in zip(edges[:-1], edges[1:], strict=True)), True)
 
 
 def average_volume_bucket(buckets: Buckets) -> int:

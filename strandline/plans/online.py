@@ -42,7 +42,7 @@ def bars(spark: SparkSession, d: str) -> DataFrame:
 _LAST = f"""WITH {schema.TRADES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY time DESC, sequence_number DESC) AS k FROM trades),
 b AS (SELECT ticker AS series, max(CASE WHEN k = 1 THEN epoch_us(time) END) AS ts_us, least(count(*), 301)::INT AS buffered, {", ".join(f"max(CASE WHEN k = {w + 1} THEN price END) AS p{w}" for w in (0, *buffers.RETURN_WINDOWS))},
   sum(CASE WHEN k <= 60 THEN price * size END) / greatest(sum(CASE WHEN k <= 60 THEN size END), 1e-10) AS vwap FROM r GROUP BY ticker)
-SELECT series, ts_us, buffered, {", ".join(f"round(ln(p0 / p{w}), 5) AS log_return_{w}s" for w in buffers.RETURN_WINDOWS)}, round(ln(p0 / vwap), 5) AS vwap_deviation FROM b"""
+SELECT series, ts_us, buffered, {", ".join(f"coalesce(round(ln(p0 / p{w}), 5), 0) AS log_return_{w}s" for w in buffers.RETURN_WINDOWS)}, coalesce(round(ln(p0 / vwap), 5), 0) AS vwap_deviation FROM b WHERE buffered >= 60"""
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "st4_online_features": (online, _LAST),

@@ -1,7 +1,7 @@
 """The corpus pipeline: quality rules, near-duplicate removal, benchmark decontamination, mixing and sharding.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All stages but the last return the
-columns of documents. Null and empty texts fall at the quality rules; a null doc_id is no near-duplicate of anything, is
+columns of documents. Rows that share a doc_id go together where one of them is to go. Null and empty texts fall at the quality rules; a null doc_id is no near-duplicate of anything, is
 never named as contaminated, and is mixed and sharded as the empty key.
 """
 

@@ -5,10 +5,12 @@ exponential variate, and the register keeps the least one, truncated to a power
 element-wise maxima, and equal registers are the more likely the more alike two sets are.
 
 * Equal sets meet first, by a fingerprint of the set; one document stands for all of them.
-* Bands of registers put representatives into buckets. No bucket emits all its pairs: in each of a few rounds a bucket's
-  pivot meets the members of other components, links are verified, and components grow by connected components. What is
-  still apart after the rounds is compared pair by pair, once over all bands, so that no colliding pair of different
-  components stays untested.
+* Bands of registers put representatives into buckets, and representatives that share buckets into clusters. Registers
+  and full sets travel once to each block of a cluster, not once a pair: clusters are cut into blocks of bounded size,
+  and a task holds two of them.
+* In a few rounds a bucket's pivot meets the members of other components, links are verified, and components grow by
+  connected components. What is still apart after the rounds is compared block by block, so that no colliding pair of
+  different components stays untested; only verified links leave a task.
 * A pair is tested in two steps: the Jaccard similarity of greatest likelihood, given both set sizes and how many
   registers are greater, less and equal, must not be far below the bound; then full sets are intersected.
 """
@@ -30,7 +32,9 @@ from strandline.llm.common import WordHasher, mixed, staged, table
 REGISTERS, BANDED = 560, 140
 #: Base of the register scale and its largest value: 1.02**-1200 of the range of 32-bit hashes.
 BASE, TOP = 1.02, 1200
-PIVOT_ROUNDS = 2
+PIVOT_ROUNDS = 1
+#: Eight-byte items (shingles and registers) of a block of a cluster, a task holds two blocks; tasks for the small clusters.
+BLOCK_ITEMS, LEAST_BINS = 100_000, 64
 SEEDS = (mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 SHINGLE_FACTOR = 0xC2B2AE3D27D4EB4F
 
@@ -88,8 +92,21 @@ def likeliest_similarity(n_a: np.ndarray, n_b: np.ndarray, greater: np.ndarray,
     return best
 
 
-def sketch(docs: DataFrame, shingle: int) -> DataFrame:
-    """k, n (set size), mark (16 bytes that name the set) and registers of each row of k, body; no registers if empty."""
+def band_hashes(found: np.ndarray, rows: int) -> np.ndarray:
+    """One hash (int64) for each band of ``rows`` registers, a row for each row of registers."""
+    bands = BANDED // rows
+    h = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(found), 1))
+    cut = found[:, : bands * rows].reshape(len(found), bands, rows).astype(np.uint64)
+    for j in range(rows):
+        h = mixed(h * np.uint64(SHINGLE_FACTOR) + cut[:, :, j])
+    return h.view(np.int64)
+
+
+def sketch(docs: DataFrame, shingle: int, rows: int, full: bool = False) -> DataFrame:
+    """k, n (set size), mark (16 bytes that name the set) and bands of each row of k, body; no bands if empty.
+
+    full: k, registers and items (the set's sorted hashes) instead.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -102,19 +119,19 @@ def sketch(docs: DataFrame, shingle: int) -> DataFrame:
                     sets.append(shingle_set(hasher.array(bodies[at].as_py().lower().split()), shingle))
                     size += len(sets[-1])
                     at += 1
-                full = [s for s in sets if len(s)]
-                rows = iter(registers(full)) if full else iter(())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(first, at - first),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                        pa.array([next(rows).tobytes() if len(s) else None for s in sets], pa.binary()),
-                    ],
-                    names=["k", "n", "mark", "registers"],
-                )
+                held = [s for s in sets if len(s)]
+                found = registers(held) if held else np.zeros((0, REGISTERS), np.uint16)
+                keys = batch.column(0).slice(first, at - first)
+                each = iter(found if full else band_hashes(found, rows).tolist())
+                mine = [next(each) if len(s) else None for s in sets]
+                if full:
+                    columns = [keys, pa.array([None if x is None else x.tobytes() for x in mine], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["k", "registers", "items"])
+                else:
+                    marks = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
+                    yield pa.RecordBatch.from_arrays([keys, pa.array([len(s) for s in sets], pa.int64()), marks, pa.array(mine, pa.list_(pa.int64()))], names=["k", "n", "mark", "bands"])
 
-    return docs.mapInArrow(work, "k long, n long, mark binary, registers binary")
+    return docs.mapInArrow(work, "k long, registers binary, items binary" if full else "k long, n long, mark binary, bands array<long>")
 
 
 def connected(edges: DataFrame, least: str = "a", other: str = "b") -> DataFrame:
@@ -133,35 +150,75 @@ def connected(edges: DataFrame, least: str = "a", other: str = "b") -> DataFrame
         state = staged(jump.select("x", F.least("c", F.coalesce("cc", "c")).alias("c")), "components")
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the bound, after the likelihood test on their registers."""
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in (3, 5))
-            n_a, n_b = (batch.column(c).to_numpy().astype(float) for c in (2, 4))
-            j = likeliest_similarity(n_a, n_b, (a > b).sum(1), (a < b).sum(1))
-            keep = pa.array(j >= least_estimate(percent))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    side = lambda df, name, *cols: df.select(F.col("k").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in cols))
-    sized = pairs.join(side(sketches, "a", "n", "registers"), "a").join(side(sketches, "b", "n", "registers"), "b")
-    able = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    chosen = sized.where(able).select("a", "b", "n_a", "registers_a", "n_b", "registers_b").mapInArrow(likely, "a long, b long")
-    full = chosen.join(side(sets, "a", "items"), "a").join(side(sets, "b", "items"), "b")
-    return full.select("a", "b", "items_a", "items_b").mapInArrow(confirm, "a long, b long")
+def _compare(t: pa.Table, percent: int) -> pa.Table:
+    """Links among rows of the same g: of a row with its partners, or where these are null with all of other components."""
+    t = t.sort_by([("g", "ascending"), ("k", "ascending")])
+    g, k, c, block, apart = (t.column(x).to_numpy() for x in ("g", "k", "c", "block", "apart"))
+    partners = t.column("partners").to_pylist()
+    found = np.frombuffer(b"".join(t.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    sets = [np.frombuffer(x, np.uint64) for x in t.column("items").to_pylist()]
+    n, least = np.array([len(x) for x in sets], float), math.floor(least_estimate(percent) * REGISTERS)
+    edges, tested = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True]))), []
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        keys = k[low:high]
+        for i in range(low, high):
+            if partners[i] is None:
+                j = np.arange(i + 1, high)
+                j = j[(c[j] != c[i]) & ((block[j] != block[i]) | ~apart[i])]
+            else:
+                sides = (np.searchsorted(keys, partners[i], side) for side in ("left", "right"))
+                j = np.array([x for a, b in zip(*sides, strict=True) for x in range(low + a, low + b)], np.int64)
+            j = j[np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * percent]
+            if len(j):
+                equal = (found[j] == found[i]).sum(1)
+                j, equal = j[equal >= least], equal[equal >= least]
+                greater = (found[i] > found[j]).sum(1)
+                tested += [(i, *x) for x in zip(j.tolist(), greater.tolist(), (REGISTERS - equal - greater).tolist(), strict=True)]
+    if not tested:
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    i, j, greater, less = (np.array(x) for x in zip(*tested, strict=True))
+    likely = likeliest_similarity(n[i], n[j], greater, less) >= least_estimate(percent)
+    links = set()
+    for x, y in zip(i[likely].tolist(), j[likely].tolist(), strict=True):
+        both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+        if k[x] != k[y] and 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+            links.add((int(min(k[x], k[y])), int(max(k[x], k[y]))))
+    return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+
+def _linked(ends: DataFrame, known: DataFrame, bins: int, percent: int) -> DataFrame:
+    """The links (a, b) among ``ends`` (g, alone, k, c, block, apart, partners); small clusters share tasks."""
+    rows = ends.join(known, "k").withColumn("bin", F.when(F.col("alone"), F.pmod("g", F.lit(bins))).otherwise(F.col("g"))).drop("alone")
+    return staged(rows.groupBy("bin").applyInArrow(lambda t: _compare(t, percent), "a long, b long").distinct(), "verified")
+
+
+def _block(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.col("blocks"))
+
+
+def _of_pairs(pairs: DataFrame, places: DataFrame) -> DataFrame:
+    """The ends of distinct pairs (a, b) of one cluster: a row for each document and pair of blocks, a's row names b."""
+    placed = pairs.join(places.withColumnRenamed("k", "a"), "a").withColumn("x", _block(F.col("a"))).withColumn("y", _block(F.col("b")))
+    group = F.xxhash64("cluster", F.least("x", "y"), F.greatest("x", "y")).alias("g")
+    shared = [group, (F.col("blocks") == 1).alias("alone")]
+    ends = placed.select(*shared, F.col("a").alias("k"), F.col("b").alias("other")).unionByName(placed.select(*shared, F.col("b").alias("k"), F.lit(None).cast("bigint").alias("other")))
+    none = F.lit(0).cast("bigint")
+    return ends.groupBy("g", "alone", "k").agg(F.collect_set("other").alias("partners")).select("g", "alone", "k", none.alias("c"), none.alias("block"), F.lit(False).alias("apart"), "partners")
+
+
+def _of_rest(named: DataFrame, places: DataFrame) -> DataFrame:
+    """Members (k, bucket, c) of buckets that hold more than one component, in each pair of blocks where they meet others."""
+    sizes = named.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("m"))
+    # the largest component of a bucket meets the others' blocks only; two of its own members need not meet
+    open_ = sizes.groupBy("bucket").agg(F.max_by("c", F.struct("m", "c")).alias("big"), F.count(F.lit(1)).alias("cs")).where("cs > 1").select("bucket", "big")
+    rows = named.join(open_, "bucket").join(places, "k").withColumn("block", _block(F.col("k")))
+    small = F.col("c") != F.col("big")
+    held = rows.groupBy("bucket").agg(F.collect_set("block").alias("every"), F.collect_set(F.when(small, F.col("block"))).alias("some"))
+    meets = rows.join(held, "bucket").groupBy("k", "c", "cluster", "blocks", "block").agg(F.array_distinct(F.flatten(F.collect_set(F.when(small, F.col("every")).otherwise(F.col("some"))))).alias("met"))
+    group = F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other"))
+    return meets.withColumn("other", F.explode("met")).select(
+        group.alias("g"), (F.col("blocks") == 1).alias("alone"), "k", "c", "block", (F.col("block") != F.col("other")).alias("apart"), F.lit(None).cast("array<bigint>").alias("partners")
+    )
 
 
 def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -174,69 +231,44 @@ def near_duplicates(df: DataFrame, *, key: str = "doc_id", text: str = "text", s
     An empty table gives no rows; other columns are not read.
     """
     docs = df.select(F.col(key).cast("bigint").alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
-    sketches = staged(sketch(docs, shingle), "sketches")
-    usable = sketches.where(F.col("k").isNotNull() & F.col("mark").isNotNull())
-    leaders = staged(usable.groupBy("mark").agg(F.min("k").alias("k"), F.max("n").alias("n"), F.max("registers").alias("registers")), "leaders")
     rows = band_rows(percent)
-    bands: Column = F.array(*[F.xxhash64(F.substring("registers", i * 2 * rows + 1, 2 * rows), F.lit(i)) for i in range(BANDED // rows)])
-    buckets = leaders.select("k", F.explode(bands).alias("bucket"))
+    sketches = staged(sketch(docs, shingle, rows), "sketches")
+    usable = sketches.where(F.col("k").isNotNull() & F.col("mark").isNotNull())
+    leaders = staged(usable.groupBy("mark").agg(F.min("k").alias("k"), F.max("n").alias("n"), F.max("bands").alias("bands")), "leaders")
+    buckets = leaders.select("k", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("k").alias("pivot")).where(F.col("size") > 1)
-    members = staged(buckets.join(shared, "bucket").select("k", "bucket", "pivot"), "members")
-    nodes = staged(members.select("k").distinct(), "nodes")
-
-    def collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                items = [shingle_set(hasher.array(body.as_py().lower().split()), shingle).tobytes() for body in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(items, pa.binary())], names=["k", "items"])
-
-    sets = staged(docs.join(nodes, "k", "left_semi").mapInArrow(collect_sets, "k long, items binary"), "sets")
-    each = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS - 1)), lambda i: F.substring("registers", 2 * i + 1, F.lit(2)))
-    known = leaders.join(nodes, "k", "left_semi").select("k", "n", "registers", bands.alias("bands"), each.alias("each"))
-    known = staged(known, "known")
-
-    links = staged(_verified(members.where("k <> pivot").select(F.col("pivot").alias("a"), F.col("k").alias("b")).distinct(), known, sets, percent), "verified")
-    parts = connected(links)
-    for turn in range(1, PIVOT_ROUNDS + 1):
-        named = members.join(parts.withColumnRenamed("node", "k"), "k", "left").select("k", "bucket", F.coalesce("component", "k").alias("c"))
-        draw = F.xxhash64("k", F.lit(turn))
-        open_ = named.groupBy("bucket").agg(F.min_by(F.struct("k", "c"), draw).alias("p"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket", F.col("p.k").alias("pivot"), F.col("p.c").alias("pc"))
-        pairs = named.join(open_, "bucket").where("c <> pc").select(F.least("k", "pivot").alias("a"), F.greatest("k", "pivot").alias("b")).distinct()
-        more = staged(_verified(pairs, known, sets, percent), "verified")
-        links = links.unionByName(more)
+    members = staged(buckets.join(shared, "bucket").select("k", "bucket", "pivot").distinct(), "members")
+    first = staged(members.where("k <> pivot").select(F.col("pivot").alias("a"), F.col("k").alias("b")).distinct(), "pairs")
+
+    weight = F.col("n") + F.lit(REGISTERS * 2 // 8)
+    clusters = connected(first).select(F.col("node").alias("k"), F.col("component").alias("cluster"))
+    weighed = clusters.join(leaders.select("k", "n"), "k").groupBy("cluster").agg(F.sum(weight).alias("items"))
+    blocks = F.ceil(F.col("items") / F.lit(BLOCK_ITEMS)).cast("bigint").alias("blocks")
+    places = staged(clusters.join(weighed, "cluster").select("k", "cluster", "items", blocks), "places")
+    bins = max(LEAST_BINS, math.ceil((places.join(leaders.select("k", "n"), "k").agg(F.sum(weight)).first()[0] or 0) / BLOCK_ITEMS))
+    places = places.drop("items")
+    known = staged(sketch(docs.join(places.select("k"), "k", "left_semi").distinct(), shingle, rows, full=True).where(F.col("registers").isNotNull()), "known")
+
+    links = _linked(_of_pairs(first, places), known, bins, percent)
+    for turn in range(PIVOT_ROUNDS + 1):
         parts = connected(links)
-    links = links.unionByName(_rest(members, parts, known, sets, percent))
+        named = members.join(parts.withColumnRenamed("node", "k"), "k", "left").select("k", "bucket", F.coalesce("component", "k").alias("c"))
+        if turn == PIVOT_ROUNDS:
+            ends = _of_rest(named, places)
+        else:
+            draw = F.xxhash64("k", F.lit(turn))
+            open_ = named.groupBy("bucket").agg(F.min_by(F.struct("k", "c"), draw).alias("p"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket", F.col("p.k").alias("pivot"), F.col("p.c").alias("pc"))
+            ends = _of_pairs(named.join(open_, "bucket").where("c <> pc").select(F.least("k", "pivot").alias("a"), F.greatest("k", "pivot").alias("b")).distinct(), places)
+        links = links.unionByName(_linked(ends, known, bins, percent))
     parts = connected(links)
 
-    ends = leaders.select("mark", F.col("k").alias("leader")).join(parts.withColumnRenamed("node", "leader"), "leader", "left").select("mark", F.coalesce("component", "leader").alias("component_id"))
+    final = leaders.select("mark", F.col("k").alias("leader")).join(parts.withColumnRenamed("node", "leader"), "leader", "left").select("mark", F.coalesce("component", "leader").alias("component_id"))
     plain = sketches.select("k", "n", "mark")
     # marks of a group of copies repeat in the left side only; AQE splits such partitions
-    placed = plain.where(F.col("mark").isNotNull() & F.col("k").isNotNull()).join(ends, "mark").select("k", "n", "component_id")
+    placed = plain.where(F.col("mark").isNotNull() & F.col("k").isNotNull()).join(final, "mark").select("k", "n", "component_id")
     rest = plain.where(F.col("mark").isNull() | F.col("k").isNull()).select("k", "n", F.col("k").alias("component_id"))
     return placed.unionByName(rest).select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "component_id", F.col("k").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _rest(members: DataFrame, parts: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among all colliding pairs of different components, each pair in the first band that it shares.
-
-    Equal registers are at least as likely as the similarity, so pairs with too few of them don't leave the join.
-    """
-    named = members.join(parts.withColumnRenamed("node", "k"), "k", "left").select("k", "bucket", F.coalesce("component", "k").alias("c"))
-    sizes = named.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("m"))
-    # the largest component of a bucket meets the others from their side; two of its own members never meet
-    open_ = sizes.groupBy("bucket").agg(F.max_by("c", F.struct("m", "c")).alias("big"), F.count(F.lit(1)).alias("cs")).where("cs > 1").select("bucket", "big")
-    rows = named.join(open_, "bucket").join(known.select("k", "bands", "each"), "k")
-    small = rows.where("c <> big").select("bucket", F.col("k").alias("a"), F.col("c").alias("ca"), F.col("bands").alias("ba"), F.col("each").alias("ea"))
-    every = rows.select("bucket", F.col("k").alias("b"), F.col("c").alias("cb"), "big", F.col("bands").alias("bb"), F.col("each").alias("eb"))
-    first = F.filter(F.zip_with("ba", "bb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())[0]
-    once = (F.col("cb") == F.col("big")) | (F.col("a") < F.col("b"))
-    equal = F.size(F.filter(F.zip_with("ea", "eb", lambda x, y: x == y), lambda x: x))
-    alike = F.when((F.col("ca") != F.col("cb")) & once & (first == F.col("bucket")), equal >= math.floor(least_estimate(percent) * REGISTERS)).otherwise(False)
-    pairs = small.join(every, "bucket").where(alike).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return staged(_verified(pairs, known, sets, percent), "verified")
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)

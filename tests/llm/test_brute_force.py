@@ -234,3 +234,16 @@ def test_block_boundaries_do_not_matter(spark, monkeypatch):
     one = sorted(map(str, substring_dedup.remove_repeats(df).collect()))
     monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 2000)
     assert sorted(map(str, substring_dedup.remove_repeats(df).collect())) == one
+
+
+def test_near_duplicate_clusters_of_many_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    base, docs = [f"b{i}" for i in range(120)], []
+    for i in range(60):
+        edited = list(base)
+        for _ in range(rng.randrange(2, 7)):
+            edited[rng.randrange(len(edited))] = f"e{rng.randrange(10**6)}"
+        docs.append((i * 7 % 61 + 1, " ".join(edited)))
+    monkeypatch.setattr(near_dedup, "BLOCK_ITEMS", 2000)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=3, percent=85).collect()}
+    assert got == near_reference(docs)

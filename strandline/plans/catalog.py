@@ -39,7 +39,7 @@ WITH ranked AS (SELECT CAST(CAST(time AS DATE) AS STRING) AS day, option_type, d
     ROW_NUMBER() OVER (PARTITION BY CAST(time AS DATE), option_type, days_to_expiry ORDER BY ABS(moneyness - 1), implied_vol, moneyness) AS rn FROM options WHERE days_to_expiry > 0)
 SELECT day, option_type, days_to_expiry, ROUND(moneyness, 6) AS moneyness, ROUND(implied_vol, 6) AS iv FROM ranked WHERE rn = 1""",
     "q18_put_call_ratio": "SELECT CAST(CAST(time AS DATE) AS STRING) AS day, SUM(CASE WHEN option_type = 'put' THEN option_volume ELSE 0 END) AS put_volume, SUM(CASE WHEN option_type = 'call' THEN option_volume ELSE 0 END) AS call_volume, ROUND(SUM(CASE WHEN option_type = 'put' THEN option_volume ELSE 0 END) / NULLIF(SUM(CASE WHEN option_type = 'call' THEN option_volume ELSE 0 END), 0), 6) AS ratio FROM options GROUP BY CAST(time AS DATE)",
-    "q19_greeks_by_bucket": "SELECT ROUND(CAST(moneyness AS DOUBLE), 2) AS m, ROUND(days_to_expiry / 7) * 7 AS week_days, ROUND(AVG(delta), 6) AS avg_delta, ROUND(AVG(gamma), 6) AS avg_gamma, ROUND(AVG(vega), 6) AS avg_vega, SUM(option_volume) AS volume FROM (SELECT FLOOR(moneyness * 1000 + 0.5) / 1000 AS moneyness, days_to_expiry, delta, gamma, vega, option_volume FROM options WHERE CAST(FLOOR(moneyness * 1000 + 0.5) AS BIGINT) % 10 = 0) x GROUP BY ROUND(CAST(moneyness AS DOUBLE), 2), ROUND(days_to_expiry / 7) * 7",
+    "q19_greeks_by_bucket": "SELECT m, ROUND(days_to_expiry / 7) * 7 AS week_days, ROUND(AVG(delta), 6) AS avg_delta, ROUND(AVG(gamma), 6) AS avg_gamma, ROUND(AVG(vega), 6) AS avg_vega, SUM(option_volume) AS volume FROM (SELECT FLOOR((FLOOR(moneyness * 1000 + 0.5) + 5) / 10) / 100 AS m, days_to_expiry, delta, gamma, vega, option_volume FROM options) x GROUP BY m, ROUND(days_to_expiry / 7) * 7",
     "q20_band_join": f"{_BANDED} ORDER BY option_id, trade_id LIMIT 1000",
     "q21_iv_rv_spread": """
 WITH iv AS (SELECT size % 5 AS symbol, unix_micros(time) AS us, AVG(price) AS iv FROM trades WHERE ticker = 'click' GROUP BY size % 5, unix_micros(time)),

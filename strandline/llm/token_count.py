@@ -1,6 +1,7 @@
-"""Token counts without tokens: the best segmentation's score and number of pieces, carried together.
+"""Token counts without tokens: a segmentation's score and number of pieces, carried together, by the file's own model.
 
-An Aho-Corasick automaton of the vocabulary lists, for each position, the pieces that end there, longest first; the best
+A file of merges (BPE) joins, of all neighbours whose joint piece it knows, the pair of the best score, leftmost first,
+until none is left; characters without a piece count as their UTF-8 bytes. A unigram file takes the best path: an Aho-Corasick automaton of the vocabulary lists, for each position, the pieces that end there, longest first; the best
 path to a position is the first of the best candidates, that is the one whose last piece starts earliest, as unigram
 tokenizers break ties. A character that no one-character piece covers may be unknown, at the least score less 10, and
 counts as its UTF-8 bytes. Words are segmented once and remembered, as far as no piece crosses the start of a word.
@@ -8,9 +9,11 @@ counts as its UTF-8 bytes. Words are segmented once and remembered, as far as no
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from pathlib import Path
 
 import ahocorasick
 import pyarrow as pa
@@ -30,19 +33,22 @@ class Vocabulary:
     pieces: tuple[tuple[str, float], ...]  # those that text can match
     least: float  # least score of all pieces, special ones included
     byte_fallback: bool
+    merges: bool = False  # scores rank merges; otherwise they are log probabilities
 
     @classmethod
     def from_sentencepiece(cls, path: str) -> Vocabulary:
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2 as proto
 
+        spec = proto.ModelProto.FromString(Path(path).read_bytes()).trainer_spec
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(model.get_piece_size())
         plain = [i for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-        return cls(tuple((model.id_to_piece(i), model.get_score(i)) for i in plain), min(model.get_score(i) for i in ids), any(model.is_byte(i) for i in ids))
+        return cls(tuple((model.id_to_piece(i), model.get_score(i)) for i in plain), min(model.get_score(i) for i in ids), any(model.is_byte(i) for i in ids), spec.model_type == spec.BPE)
 
 
 class Counter:
-    """Pieces and score of texts by a vocabulary."""
+    """Pieces and score of texts by a vocabulary, on the best path."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.unknown, self.bytes = vocabulary.least - UNKNOWN_PENALTY, vocabulary.byte_fallback
@@ -91,8 +97,48 @@ class Counter:
         return pieces, total
 
 
+class MergeCounter(Counter):
+    """Pieces and score of texts by a vocabulary of merges; the score is the sum of the pieces' scores, 0 for bytes."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        if not vocabulary.byte_fallback:
+            raise ValueError("merges without byte pieces aren't supported")
+        super().__init__(vocabulary)
+        self.scores = dict(vocabulary.pieces)
+
+    def best(self, segment: str) -> tuple[int, float]:
+        """Number of pieces and score after all merges of a segment."""
+        size, scores = len(segment), self.scores
+        parts, after, before = list(segment), list(range(1, size + 1)), list(range(-1, size - 1))
+        waiting: list[tuple[float, int, int]] = []  # less score, start and length of a joint piece
+
+        def offer(i: int, j: int) -> None:
+            value = scores.get(parts[i] + parts[j])
+            if value is not None:
+                heapq.heappush(waiting, (-value, i, len(parts[i]) + len(parts[j])))
+
+        for i in range(size - 1):
+            offer(i, i + 1)
+        while waiting:
+            _, i, length = heapq.heappop(waiting)
+            j = after[i]
+            if not parts[i] or j == size or len(parts[i]) + len(parts[j]) != length:
+                continue
+            parts[i] += parts[j]
+            parts[j] = ""
+            after[i] = after[j]
+            if after[i] < size:
+                before[after[i]] = i
+                offer(i, after[i])
+            if before[i] >= 0:
+                offer(before[i], i)
+        known = [scores.get(p) for p in parts if p]
+        n_bytes = sum(len(p.encode("utf-8", "surrogatepass")) for p in parts if p and p not in scores)
+        return sum(v is not None for v in known) + n_bytes, float(sum(v for v in known if v is not None))
+
+
 def count_tokens(df: DataFrame, vocabulary: Vocabulary, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens and score (of the best segmentation) of each whole text.
+    """key, n_tokens and score (of the vocabulary's segmentation) of each whole text.
 
     Null and empty texts have no tokens and score 0. Repeated rows are counted each; a null key is returned as it is. A
     very long word is segmented in one pass, in memory linear in its length. An empty table gives no rows; other columns
@@ -102,7 +148,7 @@ def count_tokens(df: DataFrame, vocabulary: Vocabulary, *, key: str = "doc_id",
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(shared.value)
+        counter = (MergeCounter if shared.value.merges else Counter)(shared.value)
         for batch in batches:
             got: Sequence[tuple[int, float]] = [counter(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in got], pa.int64()), pa.array([s for _, s in got], pa.float64())], names=[key, "n_tokens", "score"])

@@ -1,10 +1,11 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Pages are sorted by host and URL path over range partitions, so that a host with a third of all pages spreads over many
-tasks. Each page is paired with its neighbour of the same host whose path shares the longer prefix, the text lines of
-both are aligned by their longest common subsequence, and shared lines are deleted as template. What markup declares is
-respected first: blocks inside menus, footers, forms, scripts and the like are never lines, and lines that an article or
-main element holds are never template, so copies of an article on one host don't delete each other.
+tasks. Each page is compared with its nearest different neighbours of the same host, those whose paths share the longest
+prefixes: text lines are aligned by their longest common subsequence, and shared lines are deleted as template. Blocks
+inside menus, footers, forms, scripts and the like are never lines. If an article or main element is declared, the text
+is its lines, without those that three neighbours or more share, all compared; neighbours that hold a copy of the article
+don't count, so copies of an article on one host don't delete each other.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -33,6 +35,8 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertisements advertising banner banners breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination popup promo promotion promoted related respond responses search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split())
 ASIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 MAIN_WORDS = frozenset({"article-body", "article-content", "articlebody", "content", "entry-content", "main", "main-content", "maincontent", "post-body", "post-content"})
+#: Pages to each side that may be neighbours, and as many of them are compared.
+REACH = 4
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
@@ -166,18 +170,43 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def main_text(lines: list[Line], neighbour: list[Line] | None) -> str:
-    """The page's article: lines of the innermost declared part, without undeclared lines that the neighbour shares.
+def _mostly(lines: list[Line], part: Iterable[int], shared: set[int]) -> bool:
+    """Whether ``shared`` holds over four fifths of the part's text."""
+    sizes = {i: len(lines[i].text) for i in part}
+    return 5 * sum(n for i, n in sizes.items() if i in shared) > 4 * sum(sizes.values())
 
-    If a page declares no part and the neighbour shares over four fifths of its text, the two are copies of one page and
-    nothing is template.
+
+def _most_share(shares: list[set[int]]) -> set[int]:
+    """Lines that over half of three neighbours or more share."""
+    counts = Counter(i for shared in shares for i in shared)
+    return {i for i, n in counts.items() if 2 * n > len(shares)} if len(shares) >= 3 else set()
+
+
+def main_text(lines: list[Line], neighbours: list[list[Line]]) -> str:
+    """The page's article: lines of the innermost declared part, or all lines, without template.
+
+    neighbours: different pages, the nearest first. In a declared part, template is what all neighbours share, three or
+    more that don't share over four fifths of the part (copies of the article do). If a page declares no part, template
+    is what most of three neighbours or more share, and what the nearest shares, unless the latter is over four fifths of
+    the rest (two copies). If nothing would be left, nothing is template.
     """
     level = max((x.level for x in lines), default=0)
+    part = [i for i, x in enumerate(lines) if x.level == level]
     texts = [x.text for x in lines]
-    shared = shared_lines(texts, [x.text for x in neighbour]) if neighbour else set()
-    if not level and sum(len(texts[i]) for i in shared) * 5 > sum(map(len, texts)) * 4:
-        shared = set()
-    return "\n\n".join(x.text for i, x in enumerate(lines) if x.level == level and (x.level or i not in shared))
+    shares = [shared_lines(texts, [x.text for x in n]) for n in neighbours]
+    if level:
+        others = [s for s in shares if not _mostly(lines, part, s)]
+        template = set.intersection(*others) if len(others) >= 3 else set()
+    else:
+        template = _most_share(shares)
+        if template.issuperset(part):
+            template = set()
+        rest = [i for i in part if i not in template]
+        if shares and not _mostly(lines, rest, shares[0]):
+            template = template | shares[0]
+    if template.issuperset(part):
+        template = set()
+    return "\n\n".join(texts[i] for i in part if i not in template)
 
 
 def _common(a: str, b: str) -> int:
@@ -189,8 +218,8 @@ def extract_main_text(df: DataFrame, *, key: str = "page_id", url: str = "url",
     """key, url, text and n_chars (code points) for each page.
 
     A null or empty page gives an empty text; a null url is a host of its own kind, "", whose pages pair up by key.
-    Repeated rows are pages of their own. Pages at the edge of a range pair inwards; a page without a neighbour is judged
-    by its markup. Very long pages are parsed in one pass. An empty table gives no rows; other columns are not read.
+    Repeated rows are pages of their own. Pages at the edge of a range look inwards; a page without a neighbour is judged
+    by its markup. Runs of pages with equal lines count as one page. Very long pages are parsed in one pass. An empty table gives no rows; other columns are not read.
     """
     where = F.coalesce(F.col("u"), F.lit(""))
     rows = df.select(F.col(key).alias("k"), F.col(url).alias("u"), F.coalesce(F.col(page), F.lit("")).alias("page"))
@@ -213,29 +242,41 @@ def extract_main_text(df: DataFrame, *, key: str = "page_id", url: str = "url",
                 yield b
 
         out: list[tuple] = []
-        before = here = None
-
-        def settle(before: tuple | None, here: tuple, after: tuple | None) -> tuple:
-            near = [x for x in (before, after) if x is not None and x[2] == here[2]]
-            other = max(near, key=lambda x: _common(x[3], here[3]), default=None)
-            text = main_text(here[4], other[4] if other else None)
-            return here[0], here[1], text, len(text)
+        held: list[tuple[list[tuple], str, str, list[Line]]] = []  # keys and urls, host, path, lines
+        at = 0
+
+        def settle(at: int) -> list[tuple]:
+            rows, host, path, lines = held[at]
+            around = [held[i] for d in range(1, REACH + 1) for i in (at - d, at + d) if 0 <= i < len(held) and held[i][1] == host]
+            near: list[list[Line]] = []
+            for x in sorted(around, key=lambda x: -_common(x[2], path)):
+                if len(near) < REACH and x[3] != lines and x[3] not in near:
+                    near.append(x[3])
+            text = main_text(lines, near)
+            return [(k, u, text, len(text)) for k, u in rows]
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:
             k, u, text, n = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(k, kinds), pa.array(u, pa.string()), pa.array(text, pa.string()), pa.array(n, pa.int64())], names=[key, url, "text", "n_chars"])
 
-        for after in pages(batches_seen()):
-            if here is not None:
-                out.append(settle(before, here, after))
-                if len(out) >= 1000:
-                    yield batch(out)
-                    out = []
-            before, here = here, after
-        if here is not None:
-            out.append(settle(before, here, None))
-        if out:
-            yield batch(out)
+        for k, u, host, path, lines in pages(batches_seen()):
+            if held and held[-1][1] == host and held[-1][3] == lines:
+                held[-1][0].append((k, u))
+                continue
+            held.append(([(k, u)], host, path, lines))
+            # the newest page may still gain copies, so it is settled only once others follow
+            if len(held) - at > REACH + 1:
+                out += settle(at)
+                at += 1
+                del held[: max(0, at - REACH)]
+                at = min(at, REACH)
+            while len(out) >= 1000:
+                yield batch(out[:1000])
+                del out[:1000]
+        for i in range(at, len(held)):
+            out += settle(i)
+        for a in range(0, len(out), 1000):
+            yield batch(out[a : a + 1000])
 
     return dealt.mapInArrow(work, f"`{key}` {rows.schema['k'].dataType.simpleString()}, `{url}` string, text string, n_chars long")
 

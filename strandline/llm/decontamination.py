@@ -2,14 +2,18 @@
 
 Words become template tokens: numbers, units after numbers and names turn into typed placeholders (slots), other words
 into their lower-cased form without marks around them. Windows of template tokens are joined by hash between documents
-and benchmark items. Windows on one diagonal (document position less item position) form an alignment, which counts only
-if its slots agree: each item value goes with one document value and each document value with one item value, by type. A
-document is contaminated by an item if consistent alignments cover enough of the item's tokens.
+and benchmark items. Windows on one diagonal (document position less item position) form an alignment, whose slots should agree: each item value
+goes with one document value and each document value with one item value, by type. Where they don't, a pair of values
+holds if it is at more positions than each pair it conflicts with, at equal numbers if it is the only one with equal values;
+windows with other pairs don't count. A document is contaminated by an item if the windows that count cover enough of the
+item's tokens.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,6 +94,35 @@ def _slots(words: list[str], kind: np.ndarray, at: int, size: int) -> list[str]:
     return [f"{kind[i]}:{EDGES.sub('', words[i]).lower()}" for i in range(at, at + size) if kind[i]]
 
 
+def _slot_places(kind: np.ndarray, at: int, size: int) -> list[int]:
+    return [i for i in range(at, at + size) if kind[i]]
+
+
+def _wrong_places(pairs: list[tuple[int, str, str]]) -> list[int]:
+    """Item positions of slots whose pair of values doesn't hold, of a diagonal's (item position, item value, document value)."""
+    at = Counter((a, b) for _, a, b in pairs)
+    weight = {(a, b): (n, a == b) for (a, b), n in at.items()}
+    best: list[dict[str, list[tuple[int, bool]]]] = [{}, {}]
+    for pair, w in weight.items():
+        for side in (0, 1):
+            best[side].setdefault(pair[side], []).append(w)
+    for side in best:
+        for value, ws in side.items():
+            side[value] = sorted(ws, reverse=True)[:2]
+    # a pair holds if it outweighs all others of its item value and of its document value
+    holds = {pair for pair, w in weight.items() if all(best[side][pair[side]][:1] == [w] != best[side][pair[side]][1:] for side in (0, 1))}
+    return sorted(i for i, a, b in pairs if (a, b) not in holds)
+
+
+def _covers(starts: list[int], size: int, pairs: list[tuple[int, str, str]]) -> list[int]:
+    """Item positions under the windows that hold no wrong slot."""
+    wrong, out = _wrong_places(pairs), set()
+    for s in starts:
+        if bisect_left(wrong, s) == bisect_left(wrong, s + size):
+            out.update(range(s, s + size))
+    return sorted(out)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 8, least_share: float = 0.6) -> DataFrame:
     """One row for each contaminated document: key, item_ids (sorted), n_items and share (most of an item covered).
 
@@ -116,12 +149,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
                 words = body.split()
                 if len(words) >= 4:
                     for size, at, h, kind in _windows(words, templates, [min(window, len(words))]):
-                        rows += [(item, len(words), size, int(a), int(x), _slots(words, kind, a, size)) for a, x in zip(at, h.view(np.int64), strict=True)]
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True)], names=["item", "item_words", "size", "item_at", "h", "item_slots"])
+                        rows += [(item, len(words), size, int(a), int(x), _slots(words, kind, a, size), _slot_places(kind, a, size)) for a, x in zip(at, h.view(np.int64), strict=True)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())), strict=True)], names=["item", "item_words", "size", "item_at", "h", "item_slots", "places"])
 
     item_type = items.schema["item"].dataType.simpleString()
-    known = staged(items.mapInArrow(item_windows, f"item {item_type}, item_words long, size int, item_at long, h long, item_slots array<string>"), "templates")
+    known = staged(items.mapInArrow(item_windows, f"item {item_type}, item_words long, size int, item_at long, h long, item_slots array<string>, places array<long>"), "templates")
     n_windows = known.count()
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())
     small = n_windows <= MOST_BROADCAST
@@ -151,16 +184,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(whose, pa.int32())), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True))], names=["k", "mark", "size", "at", "h", "slots"])
 
     hits = rows.mapInArrow(doc_windows, f"k {key_type}, mark long, size int, at long, h long, slots array<string>")
-    pairs = F.zip_with("item_slots", "slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = F.transform(F.arrays_zip("places", "item_slots", "slots"), lambda p: F.struct(p["places"].alias("p"), p["item_slots"].alias("a"), p["slots"].alias("b")))
     diagonals = (
         hits.join(F.broadcast(known) if small else known, ["h", "size"])
-        .select("k", "mark", "item", "item_words", (F.col("at") - F.col("item_at")).alias("diagonal"), F.sequence(F.col("item_at"), F.col("item_at") + F.col("size") - 1).alias("covers"), pairs.alias("pairs"))
-        .groupBy("k", "mark", "item", "item_words", "diagonal")
-        .agg(F.array_distinct(F.flatten(F.collect_set("covers"))).alias("covers"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+        .select("k", "mark", "item", "item_words", "size", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", pairs.alias("pairs"))
+        .groupBy("k", "mark", "item", "item_words", "size", "diagonal")
+        .agg(F.collect_set("item_at").alias("starts"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+        .select("k", "mark", "item", "item_words", "size", "starts", "pairs")
     )
-    one_to_one = (F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs")) & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"]))) == F.size("pairs"))
+
+    def agreed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            covers = [_covers(starts, size, [(x["p"], x["a"], x["b"]) for x in found]) for size, starts, found in zip(*(c.to_pylist() for c in batch.columns[4:]), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(covers, pa.list_(pa.int64()))], names=["k", "mark", "item", "item_words", "covers"])
+
     by_item = (
-        diagonals.where(one_to_one)
+        diagonals.mapInArrow(agreed, f"k {key_type}, mark long, item {item_type}, item_words long, covers array<long>")
         .groupBy("k", "mark", "item", "item_words")
         .agg((F.size(F.array_distinct(F.flatten(F.collect_list("covers")))) / F.col("item_words")).alias("share"))
         .where(F.col("share") >= least_share)

@@ -30,5 +30,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_mix_sources": mixing.ORACLE_SQL,
         "op5_line_dedup": line_dedup.ORACLE_SQL,
+        "op10_substring_dedup": substring_dedup.ORACLE_SQL,
         "op6_rendezvous_sharding": sharding.shard_sql("documents"),
     }

@@ -1,20 +1,23 @@
 """Substring deduplication over prefix-partitioned suffix trees of words.
 
-Every word position starts a suffix. Suffixes are split into groups by a prefix; a group's subtree is built in memory,
-and its nodes at ``min_words`` words or deeper that hold suffixes of two documents or more are the repeats. Three steps
-keep what is moved small:
-
-1. Anchors: of each window of ``min_words`` words the 5-word gram with the least hash. Equal windows have equal anchors,
-   so only suffixes in windows whose anchor occurs in two documents can be repeats. Grams meet by hash range; those that
-   repeat fill that range's part of a Bloom filter of bounded size (a fuller one lets more suffixes through).
-2. Subtrees: documents are dealt into blocks. A block sends each distinct suffix prefix once, with the least document
-   that has it there, to the prefix's group. So a passage that a third of all documents share reaches its group once a
-   block. The group sorts its prefixes (equal neighbours are one deep node) and answers each block with one bit a prefix.
-3. The block rebuilds its prefixes in the same order, reads the bits and marks the words under repeats; runs of marked
-   windows are the maximal repeats.
-
-Prefixes travel as 96-bit hashes of the ``min_words`` words. Each group holds suffixes of the whole ``min_words`` depth,
-cut to memory size by leading bits: the number of bits follows the number of suffixes.
+Every word position that starts a window of ``min_words`` words starts a suffix. Suffixes are split by prefixes of
+variable length into groups that fit in memory; a group's subtree is its sorted suffixes with the lengths of common
+prefixes between neighbours, and its internal nodes ``min_words`` words deep or deeper are the repeats. Subtrees are cut
+at ``min_words`` words: a deeper node covers only words that nodes of that depth, of later suffixes, cover as well. Steps:
+
+1. One scan finds anchors and counts prefixes. The anchor of a window is its 5-word gram of least hash. Equal windows have
+   equal anchors, so only suffixes whose anchor occurs in two documents can be repeats. Anchors meet by hash range; those
+   that repeat fill that range's part of a Bloom filter of bounded size (a fuller one lets more suffixes through). Counts
+   of suffixes by prefix of 1, 2, 4, ... words add up in sketches of bounded size, which may count too many, never too few.
+2. Documents are dealt into blocks by their text, so copies meet in one block (a text whose copies would fill a block is
+   spread by key). A suffix's prefix is lengthened until few enough suffixes share it; prefixes are packed into groups
+   by hash. A block sends each distinct suffix once, with the least document that has it there, to its prefix's group. So
+   a passage that a third of all documents share reaches its group once a block. The group builds its subtree and
+   answers each block with one bit a suffix: whether its node holds a smaller document.
+3. The block sorts its suffixes the same way, reads the bits and marks the words under repeats.
+
+A suffix travels as ``min_words`` symbols (24 bits of each word's hash) and a 64-bit hash of the same words, which parts
+suffixes whose symbols agree by chance.
 """
 
 from __future__ import annotations
@@ -28,12 +31,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WordHasher, power_of_two, table, window_hashes
+from strandline.llm.common import WordHasher, mixed, power_of_two, staged, table, window_hashes
 
 GRAM = 5
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
-#: Text bytes of a block, suffix prefixes of a group, anchors of a hash range: what one task holds at a time.
-BLOCK_BYTES, GROUP_PREFIXES, RANGE_ANCHORS = 4 * 2**20, 2 * 10**6, 2 * 10**6
+#: Text bytes of a block, suffixes of a group, anchors of a hash range: what one task holds at a time.
+BLOCK_BYTES, GROUP_SUFFIXES, RANGE_ANCHORS = 4 * 2**20, 10**6, 2 * 10**6
+#: A prefix that more than so many suffixes share is lengthened.
+PREFIX_SUFFIXES = 50_000
+#: Counters of a sketch of prefixes, at least and at most (4 bytes each, one sketch a prefix length).
+LEAST_COUNTERS, MOST_COUNTERS = 2**14, 2**21
+#: Texts with more bytes in all copies than this are spread over blocks by key.
+HOT_TEXT_BYTES = 2**20
+#: Up to so many such texts (checked) are broadcast; beyond, the join shuffles.
+BROADCAST_TEXTS = 200_000
+SYMBOL_BYTES, COUNTER_SLICE = 3, 2**12
 #: Largest Bloom filter: 2**28 bits, 32 MB to broadcast.
 MOST_BITS = 2**28
 NO_ID = np.iinfo(np.int64).max
@@ -62,35 +74,65 @@ def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
     return (h >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)
 
 
-def repeated_anchors(docs: DataFrame, min_words: int, text_bytes: int) -> tuple[list[np.ndarray], int]:
-    """Bloom filter of anchors in two documents or more: parts by hash range, and the bits of a part."""
+def prefix_lengths(min_words: int) -> list[int]:
+    """Lengths in words that a prefix may have: powers of two below ``min_words``, and ``min_words``."""
+    return [2**i for i in range(min_words.bit_length()) if 2**i < min_words] + [min_words]
+
+
+def _counters(words: np.ndarray, length: int, suffixes: int, counters: int) -> np.ndarray:
+    """Counter of each suffix's prefix of ``length`` words."""
+    return (window_hashes(words[: suffixes + length - 1], length, FACTORS[1]) & np.uint64(counters - 1)).astype(np.int64)
+
+
+def scan(docs: DataFrame, min_words: int, text_bytes: int) -> tuple[list[np.ndarray], int, np.ndarray]:
+    """Bloom filter of anchors in two documents or more (parts by hash range, bits of a part), and sketches of prefix counts."""
     likely = text_bytes / 6 * 2 / (min_words - GRAM + 2)
     ranges = power_of_two(likely / RANGE_ANCHORS, 16, 2**16)
     part_bits = power_of_two(likely / ranges, 2**12, max(2**12, MOST_BITS // ranges))
+    lengths = prefix_lengths(min_words)
+    counters = power_of_two(text_bytes / 6 / PREFIX_SUFFIXES * 16, LEAST_COUNTERS, MOST_COUNTERS)
+    step = min(counters, COUNTER_SLICE)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, size = WordHasher(), [], 0
+        counts = np.zeros((len(lengths), counters), np.int64)
+
+        def row(places: list[int], one: list[bytes], two: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), pa.array(one, pa.binary()), pa.array(two, pa.binary())], names=["range", "hashes", "again"])
 
         def flush() -> pa.RecordBatch:
-            hashes, counts = np.unique(np.concatenate(held), return_counts=True)
+            hashes, n = np.unique(np.concatenate(held), return_counts=True)
             edges = np.searchsorted(_range_of(hashes, ranges), np.arange(ranges + 1, dtype=np.uint64))
-            full = [i for i in range(ranges) if edges[i] < edges[i + 1]]
+            full = np.flatnonzero(edges[:-1] < edges[1:]).tolist()
             parts = [slice(edges[i], edges[i + 1]) for i in full]
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([hashes[p].tobytes() for p in parts], pa.binary()), pa.array([np.packbits(counts[p] > 1).tobytes() for p in parts], pa.binary())], names=["range", "hashes", "again"])
+            return row(full, [hashes[p].tobytes() for p in parts], [np.packbits(n[p] > 1).tobytes() for p in parts])
 
         for batch in batches:
             for body in batch.column(0).to_pylist():
-                own = anchors(hasher.array(body.split()), min_words)[1]
+                words = hasher.array(body.split())
+                own = anchors(words, min_words)[1]
                 if len(own):
                     held.append(own)
                     size += len(own)
+                    n = len(words) - min_words + 1
+                    for i, length in enumerate(lengths):
+                        places, times = np.unique(_counters(words, length, n, counters), return_counts=True)
+                        counts[i, places] += times
                 if size > 2 * 10**6:
                     yield flush()
                     held, size = [], 0
         if held:
             yield flush()
+        # sketches follow as negative ranges, one row for each part that isn't empty
+        flat = counts.reshape(-1, step)
+        full = np.flatnonzero(flat.any(1)).tolist()
+        if full:
+            yield row([-1 - i for i in full], [flat[i].tobytes() for i in full], [b""] * len(full))
 
     def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        if key[0] < 0:
+            total = np.sum([np.frombuffer(x, np.int64) for x in pdf["hashes"]], axis=0)
+            return pd.DataFrame({"range": [key[0]], "found": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
         lists = [np.frombuffer(x, np.uint64) for x in pdf["hashes"]]
         again = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)).astype(bool) for x, h in zip(pdf["again"], lists, strict=True)]
         h = np.sort(np.concatenate([*lists, *(x[a] for x, a in zip(lists, again, strict=True))]))
@@ -98,13 +140,16 @@ def repeated_anchors(docs: DataFrame, min_words: int, text_bytes: int) -> tuple[
         flags = np.zeros(part_bits, bool)
         for p in _bit_places(h, part_bits):
             flags[p.astype(np.int64)] = True
-        return pd.DataFrame({"range": [key[0]], "flags": [np.packbits(flags, bitorder="little").tobytes()]})
+        return pd.DataFrame({"range": [key[0]], "found": [np.packbits(flags, bitorder="little").tobytes()]})
 
-    found = docs.select("body").mapInArrow(gather, "range int, hashes binary, again binary").groupBy("range").applyInPandas(meet, "range int, flags binary")
-    parts = [np.zeros(0, np.uint8)] * ranges
-    for row in found.collect():  # MOST_BITS at most
-        parts[row["range"]] = np.frombuffer(bytes(row["flags"]), np.uint8)
-    return [p if len(p) else np.zeros(part_bits // 8, np.uint8) for p in parts], part_bits
+    found = docs.select("body").mapInArrow(gather, "range int, hashes binary, again binary").groupBy("range").applyInPandas(meet, "range int, found binary")
+    parts, sketches = [np.zeros(part_bits // 8, np.uint8)] * ranges, np.zeros((len(lengths) * counters // step, step), np.uint32)
+    for r in found.toLocalIterator():  # MOST_BITS and a sketch a length at most
+        if r["range"] < 0:
+            sketches[-1 - r["range"]] = np.frombuffer(bytes(r["found"]), np.uint32)
+        else:
+            parts[r["range"]] = np.frombuffer(bytes(r["found"]), np.uint8)
+    return parts, part_bits, sketches.reshape(len(lengths), counters)
 
 
 def _may_repeat(least: np.ndarray, parts: np.ndarray, part_bits: int) -> np.ndarray:
@@ -115,42 +160,77 @@ def _may_repeat(least: np.ndarray, parts: np.ndarray, part_bits: int) -> np.ndar
     return ok
 
 
+def _sorted_suffixes(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of suffix keys (rows of bytes), and for each in order how many bytes it shares with the one before (0 first)."""
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    wide = np.ascontiguousarray(keys).view(f"S{keys.shape[1]}").reshape(-1)
+    order = np.argsort(wide, kind="stable")
+    ordered = keys[order]
+    differs = ordered[1:] != ordered[:-1]
+    common = np.where(differs.any(1), differs.argmax(1), keys.shape[1])
+    return order, np.concatenate(([0], common))
+
+
+def deep_nodes(common: np.ndarray, depth: int) -> np.ndarray:
+    """Start of each node at ``depth``: a run of sorted suffixes whose neighbours share that much or more."""
+    return np.flatnonzero(common < depth) if len(common) else np.zeros(0, np.int64)
+
+
 class _Block:
-    """The candidate suffixes of a block of documents: where each starts, and the distinct prefixes in hash order."""
+    """The candidate suffixes of a block of documents: where each starts, and the distinct ones sorted by group and words."""
 
-    def __init__(self, ids: np.ndarray, bodies: list[bytes], parts: np.ndarray, part_bits: int, min_words: int) -> None:
-        hasher = WordHasher()
+    def __init__(self, ids: np.ndarray, bodies: list[bytes], known: tuple, min_words: int, groups: int) -> None:
+        parts, part_bits, sketches = known
+        hasher, lengths = WordHasher(), prefix_lengths(min_words)
         self.words = [b.split() for b in bodies]
-        at, one, two, who = [], [], [], []
+        at, who, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 4 + min_words * SYMBOL_BYTES + 8), np.uint8)]
         for i, words in enumerate(self.words):
             h = hasher.array(words)
             least = anchors(h, min_words)[0]
-            if not len(least):
+            here = np.flatnonzero(_may_repeat(least, parts, part_bits)) if len(least) else least
+            if not len(here):
                 continue
-            here = np.flatnonzero(_may_repeat(least, parts, part_bits))
-            if len(here):
-                at.append(here)
-                who.append(np.full(len(here), i, np.int64))
-                one.append(window_hashes(h, min_words, FACTORS[1])[here])
-                two.append(window_hashes(h, min_words, FACTORS[2])[here] >> np.uint64(32))
-        cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        self.at, self.who, h1, h2 = cat(at, np.int64), cat(who, np.int64), cat(one, np.uint64), cat(two, np.uint64)
-        order = np.lexsort((h2, h1))
-        h1, h2 = h1[order], h2[order]
-        new = np.ones(len(h1), bool)
-        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-        starts = np.flatnonzero(new)
-        self.node = np.empty(len(h1), np.int64)
-        self.node[order] = np.cumsum(new) - 1
-        self.h1, self.h2 = h1[starts], h2[starts].astype(np.uint32)
+            group, open_ = np.zeros(len(here), np.uint32), np.ones(len(here), bool)
+            for length, counts in zip(lengths, sketches, strict=True):
+                names = window_hashes(h, length, FACTORS[1])[here]
+                group = np.where(open_, _range_of(mixed(names), groups).astype(np.uint32), group)
+                open_ &= counts[(names & np.uint64(len(counts) - 1)).astype(np.int64)] > PREFIX_SUFFIXES
+            symbols = (h >> np.uint64(40)).astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:]
+            suffixes = symbols[here[:, None] + np.arange(min_words)].reshape(len(here), -1)
+            check = window_hashes(h, min_words, FACTORS[2])[here].astype(">u8").view(np.uint8).reshape(-1, 8)
+            at.append(here)
+            who.append(np.full(len(here), i, np.int64))
+            keys.append(np.concatenate((group.astype(">u4").view(np.uint8).reshape(-1, 4), suffixes, check), axis=1))
+        self.at, self.who, rows = np.concatenate(at), np.concatenate(who), np.concatenate(keys)
+        order, common = _sorted_suffixes(rows)
+        starts = deep_nodes(common, rows.shape[1])
+        self.node = np.empty(len(rows), np.int64)
+        self.node[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(rows))))
+        self.keys = rows[order[starts]][:, 4:]
+        group = np.ascontiguousarray(rows[order[starts]][:, :4]).view(">u4").reshape(-1).astype(np.int64)
+        self.groups, self.edges = np.unique(group, return_index=True)
+        self.edges = np.append(self.edges, len(group))
         self.ids = ids
         self.least = np.minimum.reduceat(ids[self.who[order]], starts) if len(starts) else np.zeros(0, np.int64)
 
 
+def _dealt(docs: DataFrame, blocks: int) -> DataFrame:
+    """The rows with ``block``: by text, and texts whose copies are many by key and partition as well."""
+    mark = F.xxhash64("body")
+    marked = docs.withColumn("mark", mark)
+    hot = marked.groupBy("mark").agg(F.sum(F.octet_length("body")).alias("bytes"), F.count(F.lit(1)).alias("copies")).where((F.col("bytes") > HOT_TEXT_BYTES) & (F.col("copies") > 1)).select(F.col("mark").alias("hot"))
+    hot = staged(hot, "hot-texts")
+    small = hot.count() <= BROADCAST_TEXTS
+    joined = marked.join(F.broadcast(hot) if small else hot, F.col("mark") == F.col("hot"), "left")
+    spread = F.when(F.col("hot").isNotNull(), F.xxhash64("k", F.spark_partition_id())).otherwise(F.lit(0))
+    return joined.select("k", "body", F.pmod(F.xxhash64("mark", spread), F.lit(blocks)).cast("int").alias("block"))
+
+
 def remove_repeats(df: DataFrame, *, min_words: int = 13, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Drop words under a ``min_words``-word window that also starts in a document with a smaller key.
 
-    Returns key, n_words, n_removed, repeats (start and length in words of each maximal repeat removed) and text (the
+    Returns key, n_words, n_removed, removed (start and length in words of each run of removed words, which may join several repeats) and text (the
     kept words joined by one space). Words are runs of bytes other than space and 0x09-0x0D, unchanged; windows are
     judged on the input. The key is an integer. Null and empty texts have no words. A null key counts as larger than any
     other; rows with equal keys don't remove each other's words. Texts shorter than ``min_words`` words are returned
@@ -161,57 +241,55 @@ def remove_repeats(df: DataFrame, *, min_words: int = 13, key: str = "doc_id", t
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("bigint").alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
     text_bytes = docs.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    parts, part_bits = repeated_anchors(docs, min_words, text_bytes)
-    known = spark.sparkContext.broadcast(np.stack(parts))
-    groups = power_of_two(text_bytes / 6 / 3 / GROUP_PREFIXES, 16, 2**24)
+    parts, part_bits, sketches = scan(docs, min_words, text_bytes)
+    known = spark.sparkContext.broadcast((np.stack(parts), part_bits, sketches))
+    groups = power_of_two(text_bytes / 6 / 4 / GROUP_SUFFIXES, 16, 2**24)
     blocks = max(1, math.ceil(text_bytes / BLOCK_BYTES))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
+    dealt = _dealt(docs, blocks)
+    width = min_words * SYMBOL_BYTES + 8
 
     def block_of(table: pa.Table) -> _Block:
         t = table.sort_by("k")
         ids = np.array([NO_ID if x is None else x for x in t.column("k").to_pylist()], np.int64)
         bodies = t.column("body").to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (ids[i], bodies[i]))
-        out = _Block(ids[order], [bodies[i] for i in order], known.value, part_bits, min_words)
-        return out
+        return _Block(ids[order], [bodies[i] for i in order], known.value, min_words, groups)
 
     def send(t: pa.Table) -> pa.Table:
         b = block_of(t)
-        edges = np.searchsorted(_range_of(b.h1, groups), np.arange(groups + 1, dtype=np.uint64)) if len(b.h1) else np.zeros(groups + 1, np.int64)
-        full = [i for i in range(groups) if edges[i] < edges[i + 1]]
-        cut = lambda x: pa.array([x[edges[i] : edges[i + 1]].tobytes() for i in full], pa.binary())
+        cuts = list(zip(b.edges[:-1], b.edges[1:], strict=True)) if len(b.groups) else []
+        # column by column, as sorted suffixes begin alike
+        suffixes = pa.array([b.keys[x:y].T.tobytes() for x, y in cuts], pa.binary())
+        least = pa.array([b.least[x:y].tobytes() for x, y in cuts], pa.binary())
         block = t.column("block")[0].as_py()
-        return pa.table({"group": pa.array(full, pa.int32()), "block": pa.array([block] * len(full), pa.int32()), "h1": cut(b.h1), "h2": cut(b.h2), "least": cut(b.least)})
-
-    def subtree(pdf: pd.DataFrame) -> pd.DataFrame:
-        h1, h2, least = (np.concatenate([np.frombuffer(x, kind) for x in pdf[c]]) for c, kind in (("h1", np.uint64), ("h2", np.uint32), ("least", np.int64)))
-        order = np.lexsort((h2, h1))
-        a, b = h1[order], h2[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        first = np.minimum.reduceat(least[order], np.flatnonzero(new))
-        older = np.empty(len(a), bool)
-        older[order] = first[np.cumsum(new) - 1] < least[order]
-        ends = np.cumsum([len(x) // 8 for x in pdf["h1"]])
-        return pd.DataFrame({"block": pdf["block"], "group": pdf["group"], "older": [np.packbits(x).tobytes() for x in np.split(older, ends[:-1])]})
+        return pa.table({"group": pa.array(b.groups, pa.int32()), "block": pa.array([block] * len(cuts), pa.int32()), "suffixes": suffixes, "least": least})
+
+    def subtree(t: pa.Table) -> pa.Table:
+        keys = np.concatenate([np.frombuffer(x, np.uint8).reshape(width, -1).T for x in t.column("suffixes").to_pylist()])
+        least = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("least").to_pylist()])
+        order, common = _sorted_suffixes(keys)
+        nodes = deep_nodes(common, width)
+        smallest = np.repeat(np.minimum.reduceat(least[order], nodes), np.diff(np.append(nodes, len(order))))
+        older = np.empty(len(order), bool)
+        older[order] = smallest < least[order]
+        ends = np.cumsum([len(x) // 8 for x in t.column("least").to_pylist()])
+        return pa.table({"block": t.column("block"), "group": t.column("group"), "older": pa.array([np.packbits(x).tobytes() for x in np.split(older, ends[:-1])], pa.binary())})
 
     def remove(docs_of: pa.Table, answers: pa.Table) -> pa.Table:
         b = block_of(docs_of)
-        older = np.zeros(len(b.h1), bool)
-        edges = np.searchsorted(_range_of(b.h1, groups), np.arange(groups + 1, dtype=np.uint64)) if len(b.h1) else np.zeros(groups + 1, np.int64)
-        for group, bits in zip(answers.column("group").to_pylist(), answers.column("older").to_pylist(), strict=True):
-            n = int(edges[group + 1] - edges[group])
-            older[edges[group] : edges[group + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+        bits = dict(zip(answers.column("group").to_pylist(), answers.column("older").to_pylist(), strict=True))
+        sizes = np.diff(b.edges).tolist() if len(b.groups) else []
+        older = np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(bits[g], np.uint8), count=n).astype(bool) for g, n in zip(b.groups.tolist(), sizes, strict=True))])
         gone = older[b.node] | (b.least[b.node] < b.ids[b.who])
         at, who = b.at[gone], b.who[gone]
-        n_words, n_removed, repeats, kept = [], [], [], []
+        n_words, n_removed, removed, kept = [], [], [], []
         edge = np.searchsorted(who, np.arange(len(b.words) + 1))
         for i, words in enumerate(b.words):
             mine = at[edge[i] : edge[i + 1]]
             n_words.append(len(words))
             if not len(mine):
                 n_removed.append(0)
-                repeats.append([])
+                removed.append([])
                 kept.append(b" ".join(words))
                 continue
             marks = np.zeros(len(words) + 1, np.int64)
@@ -219,19 +297,31 @@ def remove_repeats(df: DataFrame, *, min_words: int = 13, key: str = "doc_id", t
             np.add.at(marks, mine + min_words, -1)
             inside = np.cumsum(marks)[:-1] > 0
             turns = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
-            repeats.append([{"start": int(x), "length": int(y - x)} for x, y in zip(turns[::2], turns[1::2], strict=True)])
+            removed.append([{"start": int(x), "length": int(y - x)} for x, y in zip(turns[::2], turns[1::2], strict=True)])
             n_removed.append(int(inside.sum()))
             kept.append(b" ".join([w for w, x in zip(words, inside.tolist(), strict=True) if not x]))
         ids = [None if x == NO_ID else int(x) for x in b.ids]
         spans = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-        return pa.table({key: pa.array(ids, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "repeats": pa.array(repeats, spans), "body": pa.array(kept, pa.binary())})
+        return pa.table({key: pa.array(ids, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "removed": pa.array(removed, spans), "body": pa.array(kept, pa.binary())})
 
-    sent = dealt.groupBy("block").applyInArrow(send, "group int, block int, h1 binary, h2 binary, least binary")
-    answers = sent.groupBy("group").applyInPandas(subtree, "block int, group int, older binary")
-    out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(remove, f"`{key}` long, n_words long, n_removed long, repeats array<struct<start:long,length:long>>, body binary")
-    return out.select(key, "n_words", "n_removed", "repeats", F.col("body").cast("string").alias(text))
+    sent = dealt.groupBy("block").applyInArrow(send, "group int, block int, suffixes binary, least binary")
+    answers = sent.groupBy("group").applyInArrow(subtree, "block int, group int, older binary")
+    out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(remove, f"`{key}` long, n_words long, n_removed long, removed array<struct<start:long,length:long>>, body binary")
+    return out.select(key, "n_words", "n_removed", "removed", F.col("body").cast("string").alias(text))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), "repeats")
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 12], ' ')) AS name FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM docs)),
+firsts AS (SELECT name, min(doc_id) AS first_doc FROM windows GROUP BY name),
+gone AS (SELECT DISTINCT w.doc_id, w.i + j AS i FROM windows w JOIN firsts f ON w.name = f.name AND f.first_doc < w.doc_id, range(13) r(j)),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM docs),
+judged AS (SELECT w.*, g.i IS NOT NULL AS lost FROM words w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.i = g.i),
+kept AS (SELECT doc_id, count(*) FILTER (WHERE lost) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT lost) AS body FROM judged GROUP BY doc_id)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.body, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id"""

@@ -234,6 +234,13 @@ def test_block_boundaries_do_not_matter(spark, monkeypatch):
     one = sorted(map(str, substring_dedup.remove_repeats(df).collect()))
     monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 2000)
     assert sorted(map(str, substring_dedup.remove_repeats(df).collect())) == one
+    monkeypatch.setattr(substring_dedup, "GROUP_SUFFIXES", 2)  # many groups, prefixes of all lengths
+    monkeypatch.setattr(substring_dedup, "PREFIX_SUFFIXES", 5)
+    monkeypatch.setattr(substring_dedup, "HOT_TEXT_BYTES", 100)
+    copies = spark.createDataFrame(docs + docs[:7] * 3 + [(900 + i, docs[3][1]) for i in range(40)], "doc_id long, text string")
+    cut = sorted(map(str, substring_dedup.remove_repeats(copies).collect()))
+    monkeypatch.undo()
+    assert cut == sorted(map(str, substring_dedup.remove_repeats(copies).collect()))
 
 
 def test_near_duplicate_clusters_of_many_blocks(spark, monkeypatch):

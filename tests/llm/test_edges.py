@@ -122,7 +122,7 @@ def test_substring_cases(spark):
     rows = [(5, f"a b {passage} c"), (2, f"{passage} d"), (9, passage), (None, passage), (2, f"{passage} d"), (11, " ".join(f"p{i}" for i in range(12)))]
     got = sorted(((str(r["doc_id"]), r["n_words"], r["n_removed"], r["text"]) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert got == sorted([("5", 23, 20, "a b c"), ("2", 21, 0, f"{passage} d"), ("2", 21, 0, f"{passage} d"), ("9", 20, 20, ""), ("None", 20, 20, ""), ("11", 12, 0, rows[5][1])])
-    spans = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 5").first()["repeats"]
+    spans = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 5").first()["removed"]
     assert [(s["start"], s["length"]) for s in spans] == [(2, 20)]
 
 

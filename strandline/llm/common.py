@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,6 +59,51 @@ class WordHasher(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+#: Bytes of texts that are hashed at a time.
+HASH_BYTES = 2**20
+_PLACES = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, 4096, dtype=np.uint64) | np.uint64(1)
+_WHITE = np.zeros(256, bool)
+_WHITE[[32, 9, 10, 11, 12, 13]] = True
+_BYTES = np.where(_WHITE, 0, np.arange(1, 257)).astype(np.uint64)
+_LOWER = _BYTES[[b + 32 if 65 <= b <= 90 else b for b in range(256)]]
+
+
+def text_bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a binary column without nulls, one after the other, and where each text starts (and the last one ends)."""
+    flat = texts.cast(pa.large_binary())
+    edges = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
+    data = np.frombuffer(flat.buffers()[2], np.uint8) if flat.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return data[edges[0] : edges[-1]] if len(flat) else data[:0], edges - edges[0]
+
+
+def word_hashes(data: np.ndarray, edges: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of each word of the texts that ``edges`` cut ``data`` into, and each text's first word (and their number).
+
+    A byte counts by its place in the word: a sum of bytes times random odd numbers, finalised. lower: A-Z as a-z.
+    """
+    white = _WHITE[data]
+    first = ~white
+    first[1:] &= white[:-1]
+    inner = edges[(edges > 0) & (edges < len(data))]
+    first[inner] = ~white[inner]
+    starts = np.flatnonzero(first)
+    own, out, table = np.searchsorted(starts, edges), np.empty(len(starts), np.uint64), _LOWER if lower else _BYTES
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + HASH_BYTES)))
+        low, high = int(starts[at]), int(starts[to]) if to < len(starts) else len(data)
+        here = starts[at:to] - low
+        place = np.arange(high - low) - np.repeat(here, np.diff(np.append(here, high - low)))
+        value = table[data[low:high]]
+        value *= _PLACES[place & 4095]
+        far = place >> 12
+        if far.any():
+            value *= _PLACES[far & 4095]
+        out[at:to] = np.add.reduceat(value, here)
+        at = to
+    return mixed(out), own
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes so that every bit depends on every input bit."""
     h = h ^ (h >> np.uint64(30))

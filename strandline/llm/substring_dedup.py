@@ -7,8 +7,9 @@ at ``min_words`` words: a deeper node covers only words that nodes of that depth
 
 1. One scan finds anchors and counts prefixes. The anchor of a window is its 5-word gram of least hash. Equal windows have
    equal anchors, so only suffixes whose anchor occurs in two documents can be repeats. Anchors meet by hash range; those
-   that repeat fill that range's part of a Bloom filter of bounded size (a fuller one lets more suffixes through). Counts
-   of suffixes by prefix of 1, 2, 4, ... words add up in sketches of bounded size, which may count too many, never too few.
+   that repeat fill that range's part of a Bloom filter of bounded size. If that gets too full, blocks ask the ranges for
+   their own anchors instead, so what is moved stays in proportion; results are the same. Counts of suffixes by prefix of
+   1, 2, 4, ... words add up in sketches of bounded size, which may count too many, never too few.
 2. Documents are dealt into blocks by their text, so copies meet in one block (a text whose copies would fill a block is
    spread by key). A suffix's prefix is lengthened until few enough suffixes share it; prefixes are packed into groups
    by hash. A block sends each distinct suffix once, with the least document that has it there, to its prefix's group. So
@@ -23,15 +24,14 @@ suffixes whose symbols agree by chance.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WordHasher, mixed, power_of_two, staged, table, window_hashes
+from strandline.llm.common import mixed, power_of_two, staged, table, text_bytes_of, window_hashes, word_hashes
 
 GRAM = 5
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
@@ -46,22 +46,29 @@ HOT_TEXT_BYTES = 2**20
 #: Up to so many such texts (checked) are broadcast; beyond, the join shuffles.
 BROADCAST_TEXTS = 200_000
 SYMBOL_BYTES, COUNTER_SLICE = 3, 2**12
-#: Largest Bloom filter: 2**28 bits, 32 MB to broadcast.
-MOST_BITS = 2**28
+#: Largest Bloom filter: 2**28 bits, 32 MB to broadcast; the share of set bits above which it isn't used.
+MOST_BITS, FULL = 2**28, 0.4
 NO_ID = np.iinfo(np.int64).max
 
 
-def anchors(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window's anchor (one for each window), and the distinct anchor hashes of the document."""
+def anchors(words: np.ndarray, min_words: int) -> np.ndarray:
+    """Hash of the anchor of each window of ``min_words`` words, whatever texts they are of."""
     grams = window_hashes(words, GRAM, FACTORS[0])
-    span = min_words - GRAM + 1
-    n = len(grams) - span + 1
+    n = len(words) - min_words + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64)
     least = grams[:n].copy()
-    for j in range(1, span):
+    for j in range(1, min_words - GRAM + 1):
         np.minimum(least, grams[j : j + n], out=least)
-    return least, np.unique(least)
+    return least
+
+
+def _starts(own: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words that start a window inside their text, and the text of each, from each text's first word."""
+    sizes = np.maximum(np.diff(own) - min_words + 1, 0)
+    who = np.repeat(np.arange(len(sizes)), sizes)
+    ahead = np.cumsum(sizes) - sizes
+    return np.arange(len(who)) + (own[:-1] - ahead)[who], who
 
 
 def _bit_places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,22 +86,17 @@ def prefix_lengths(min_words: int) -> list[int]:
     return [2**i for i in range(min_words.bit_length()) if 2**i < min_words] + [min_words]
 
 
-def _counters(words: np.ndarray, length: int, suffixes: int, counters: int) -> np.ndarray:
-    """Counter of each suffix's prefix of ``length`` words."""
-    return (window_hashes(words[: suffixes + length - 1], length, FACTORS[1]) & np.uint64(counters - 1)).astype(np.int64)
-
-
-def scan(docs: DataFrame, min_words: int, text_bytes: int) -> tuple[list[np.ndarray], int, np.ndarray]:
-    """Bloom filter of anchors in two documents or more (parts by hash range, bits of a part), and sketches of prefix counts."""
+def scan(docs: DataFrame, min_words: int, text_bytes: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Anchors in two documents or more (range and hashes), their Bloom filter (a row a range), and sketches of prefix counts."""
     likely = text_bytes / 6 * 2 / (min_words - GRAM + 2)
     ranges = power_of_two(likely / RANGE_ANCHORS, 16, 2**16)
-    part_bits = power_of_two(likely / ranges, 2**12, max(2**12, MOST_BITS // ranges))
+    part_bits = power_of_two(4 * likely / ranges, 2**12, max(2**12, MOST_BITS // ranges))
     lengths = prefix_lengths(min_words)
     counters = power_of_two(text_bytes / 6 / PREFIX_SUFFIXES * 16, LEAST_COUNTERS, MOST_COUNTERS)
     step = min(counters, COUNTER_SLICE)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, held, size = WordHasher(), [], 0
+        held, size = [], 0
         counts = np.zeros((len(lengths), counters), np.int64)
 
         def row(places: list[int], one: list[bytes], two: list[bytes]) -> pa.RecordBatch:
@@ -108,16 +110,22 @@ def scan(docs: DataFrame, min_words: int, text_bytes: int) -> tuple[list[np.ndar
             return row(full, [hashes[p].tobytes() for p in parts], [np.packbits(n[p] > 1).tobytes() for p in parts])
 
         for batch in batches:
-            for body in batch.column(0).to_pylist():
-                words = hasher.array(body.split())
-                own = anchors(words, min_words)[1]
-                if len(own):
-                    held.append(own)
-                    size += len(own)
-                    n = len(words) - min_words + 1
-                    for i, length in enumerate(lengths):
-                        places, times = np.unique(_counters(words, length, n, counters), return_counts=True)
-                        counts[i, places] += times
+            data, edges = text_bytes_of(batch.column(0))
+            for low, high in _slices(edges, BLOCK_BYTES):
+                words, own = word_hashes(data[edges[low] : edges[high]], edges[low : high + 1] - edges[low])
+                at, who = _starts(own, min_words)
+                if not len(at):
+                    continue
+                for i, length in enumerate(lengths):
+                    names = window_hashes(words, length, FACTORS[1])[at] & np.uint64(counters - 1)
+                    counts[i] += np.bincount(names.astype(np.int64), minlength=counters)
+                least = anchors(words, min_words)[at]
+                turn = np.flatnonzero(np.concatenate(([True], (least[1:] != least[:-1]) | (who[1:] != who[:-1]))))
+                least, who = least[turn], who[turn]
+                order = np.lexsort((who, least))
+                least, who = least[order], who[order]
+                held.append(least[np.concatenate(([True], (least[1:] != least[:-1]) | (who[1:] != who[:-1])))])
+                size += len(held[-1])
                 if size > 2 * 10**6:
                     yield flush()
                     held, size = [], 0
@@ -129,30 +137,48 @@ def scan(docs: DataFrame, min_words: int, text_bytes: int) -> tuple[list[np.ndar
         if full:
             yield row([-1 - i for i in full], [flat[i].tobytes() for i in full], [b""] * len(full))
 
-    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        if key[0] < 0:
-            total = np.sum([np.frombuffer(x, np.int64) for x in pdf["hashes"]], axis=0)
-            return pd.DataFrame({"range": [key[0]], "found": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
-        lists = [np.frombuffer(x, np.uint64) for x in pdf["hashes"]]
-        again = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)).astype(bool) for x, h in zip(pdf["again"], lists, strict=True)]
-        h = np.sort(np.concatenate([*lists, *(x[a] for x, a in zip(lists, again, strict=True))]))
-        h = np.unique(h[1:][h[1:] == h[:-1]])
-        flags = np.zeros(part_bits, bool)
-        for p in _bit_places(h, part_bits):
-            flags[p.astype(np.int64)] = True
-        return pd.DataFrame({"range": [key[0]], "found": [np.packbits(flags, bitorder="little").tobytes()]})
-
-    found = docs.select("body").mapInArrow(gather, "range int, hashes binary, again binary").groupBy("range").applyInPandas(meet, "range int, found binary")
-    parts, sketches = [np.zeros(part_bits // 8, np.uint8)] * ranges, np.zeros((len(lengths) * counters // step, step), np.uint32)
-    for r in found.toLocalIterator():  # MOST_BITS and a sketch a length at most
+    def meet(t: pa.Table) -> pa.Table:
+        place, lists = t.column("range")[0].as_py(), t.column("hashes").to_pylist()
+        if place < 0:
+            total = np.sum([np.frombuffer(x, np.int64) for x in lists], axis=0)
+            filled, h = np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), b""
+        else:
+            lists = [np.frombuffer(x, np.uint64) for x in lists]
+            again = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)).astype(bool) for x, h in zip(t.column("again").to_pylist(), lists, strict=True)]
+            h = np.sort(np.concatenate([*lists, *(x[a] for x, a in zip(lists, again, strict=True))]))
+            h = np.unique(h[1:][h[1:] == h[:-1]])
+            flags = np.zeros(part_bits, bool)
+            for p in _bit_places(h, part_bits):
+                flags[p.astype(np.int64)] = True
+            filled, h = np.packbits(flags, bitorder="little").tobytes(), h.tobytes()
+        return pa.table({"range": pa.array([place], pa.int32()), "filled": pa.array([filled], pa.binary()), "hashes": pa.array([h], pa.binary())})
+
+    found = staged(docs.select("body").mapInArrow(gather, "range int, hashes binary, again binary").groupBy("range").applyInArrow(meet, "range int, filled binary, hashes binary"), "anchors")
+    parts, sketches = np.zeros((ranges, part_bits // 8), np.uint8), np.zeros((len(lengths) * counters // step, step), np.uint32)
+    for r in found.select("range", "filled").toLocalIterator():  # MOST_BITS and a sketch a length at most
         if r["range"] < 0:
-            sketches[-1 - r["range"]] = np.frombuffer(bytes(r["found"]), np.uint32)
+            sketches[-1 - r["range"]] = np.frombuffer(bytes(r["filled"]), np.uint32)
         else:
-            parts[r["range"]] = np.frombuffer(bytes(r["found"]), np.uint8)
-    return parts, part_bits, sketches.reshape(len(lengths), counters)
+            parts[r["range"]] = np.frombuffer(bytes(r["filled"]), np.uint8)
+    return found.where("range >= 0").select("range", "hashes"), parts, sketches.reshape(len(lengths), counters)
+
+
+def _set_share(parts: np.ndarray) -> float:
+    """Share of set bits."""
+    return float(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1)[parts].mean()) / 8
 
 
-def _may_repeat(least: np.ndarray, parts: np.ndarray, part_bits: int) -> np.ndarray:
+def _slices(edges: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of up to ``most`` bytes in all, or of one longer text."""
+    low = 0
+    while low < len(edges) - 1:
+        high = max(low + 1, int(np.searchsorted(edges, edges[low] + most, "right")) - 1)
+        yield low, high
+        low = high
+
+
+def _may_repeat(least: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    part_bits = parts.shape[1] * 8
     base = _range_of(least, len(parts)) * np.uint64(part_bits // 8)
     flat, ok = parts.reshape(-1), np.ones(len(least), bool)
     for p in _bit_places(least, part_bits):
@@ -180,29 +206,24 @@ def deep_nodes(common: np.ndarray, depth: int) -> np.ndarray:
 class _Block:
     """The candidate suffixes of a block of documents: where each starts, and the distinct ones sorted by group and words."""
 
-    def __init__(self, ids: np.ndarray, bodies: list[bytes], known: tuple, min_words: int, groups: int) -> None:
-        parts, part_bits, sketches = known
-        hasher, lengths = WordHasher(), prefix_lengths(min_words)
-        self.words = [b.split() for b in bodies]
-        at, who, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 4 + min_words * SYMBOL_BYTES + 8), np.uint8)]
-        for i, words in enumerate(self.words):
-            h = hasher.array(words)
-            least = anchors(h, min_words)[0]
-            here = np.flatnonzero(_may_repeat(least, parts, part_bits)) if len(least) else least
-            if not len(here):
-                continue
-            group, open_ = np.zeros(len(here), np.uint32), np.ones(len(here), bool)
-            for length, counts in zip(lengths, sketches, strict=True):
-                names = window_hashes(h, length, FACTORS[1])[here]
-                group = np.where(open_, _range_of(mixed(names), groups).astype(np.uint32), group)
-                open_ &= counts[(names & np.uint64(len(counts) - 1)).astype(np.int64)] > PREFIX_SUFFIXES
-            symbols = (h >> np.uint64(40)).astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:]
-            suffixes = symbols[here[:, None] + np.arange(min_words)].reshape(len(here), -1)
-            check = window_hashes(h, min_words, FACTORS[2])[here].astype(">u8").view(np.uint8).reshape(-1, 8)
-            at.append(here)
-            who.append(np.full(len(here), i, np.int64))
-            keys.append(np.concatenate((group.astype(">u4").view(np.uint8).reshape(-1, 4), suffixes, check), axis=1))
-        self.at, self.who, rows = np.concatenate(at), np.concatenate(who), np.concatenate(keys)
+    def __init__(self, ids: np.ndarray, bodies: pa.Array, sketches: np.ndarray, may_repeat: Callable[[np.ndarray], np.ndarray], min_words: int, groups: int) -> None:
+        data, edges = text_bytes_of(bodies)
+        h, self.own = word_hashes(data, edges)
+        at, who = _starts(self.own, min_words)
+        here = may_repeat(anchors(h, min_words)[at])
+        at, self.who = at[here], who[here]
+        self.at = at - self.own[self.who]
+        group, open_ = np.zeros(len(at), np.uint32), np.ones(len(at), bool)
+        for length, counts in zip(prefix_lengths(min_words), sketches, strict=True):
+            names = window_hashes(h, length, FACTORS[1])[at]
+            group = np.where(open_, _range_of(mixed(names), groups).astype(np.uint32), group)
+            open_ &= counts[(names & np.uint64(len(counts) - 1)).astype(np.int64)] > PREFIX_SUFFIXES
+        rows = np.empty((len(at), 4 + min_words * SYMBOL_BYTES + 8), np.uint8)
+        rows[:, :4] = group.astype(">u4").view(np.uint8).reshape(-1, 4)
+        symbols = (h >> np.uint64(40)).astype(">u4").view(np.uint8).reshape(-1, 4)[:, 1:]
+        for j in range(min_words):
+            rows[:, 4 + j * SYMBOL_BYTES : 4 + (j + 1) * SYMBOL_BYTES] = symbols[at + j]
+        rows[:, -8:] = window_hashes(h, min_words, FACTORS[2])[at].astype(">u8").view(np.uint8).reshape(-1, 8)
         order, common = _sorted_suffixes(rows)
         starts = deep_nodes(common, rows.shape[1])
         self.node = np.empty(len(rows), np.int64)
@@ -241,22 +262,50 @@ def remove_repeats(df: DataFrame, *, min_words: int = 13, key: str = "doc_id", t
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("bigint").alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
     text_bytes = docs.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    parts, part_bits, sketches = scan(docs, min_words, text_bytes)
-    known = spark.sparkContext.broadcast((np.stack(parts), part_bits, sketches))
+    repeated, parts, sketches = scan(docs, min_words, text_bytes)
+    ranges, filtered = len(parts), _set_share(parts) <= FULL
+    known = spark.sparkContext.broadcast((parts if filtered else None, sketches))
     groups = power_of_two(text_bytes / 6 / 4 / GROUP_SUFFIXES, 16, 2**24)
     blocks = max(1, math.ceil(text_bytes / BLOCK_BYTES))
     dealt = _dealt(docs, blocks)
     width = min_words * SYMBOL_BYTES + 8
 
-    def block_of(table: pa.Table) -> _Block:
-        t = table.sort_by("k")
-        ids = np.array([NO_ID if x is None else x for x in t.column("k").to_pylist()], np.int64)
-        bodies = t.column("body").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], bodies[i]))
-        return _Block(ids[order], [bodies[i] for i in order], known.value, min_words, groups)
+    def block_of(t: pa.Table, told: pa.Table) -> _Block:
+        """told: range and bits for the block's distinct anchors; not read if the filter says which may repeat."""
+        parts, sketches = known.value
+
+        def may_repeat(least: np.ndarray) -> np.ndarray:
+            if parts is not None:
+                return _may_repeat(least, parts)
+            own, back = np.unique(least, return_inverse=True)
+            at, n = np.unique(_range_of(own, ranges).astype(np.int64), return_counts=True)
+            bits = dict(zip(told.column("group").to_pylist(), told.column("bits").to_pylist(), strict=True))
+            return np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(bits[-1 - r], np.uint8), count=c).astype(bool) for r, c in zip(at.tolist(), n.tolist(), strict=True))])[back]
+
+        ids = t.column("k").fill_null(NO_ID).to_numpy().astype(np.int64)
+        return _Block(ids, pa.concat_arrays(t.column("body").chunks), sketches, may_repeat, min_words, groups)
+
+    def ask(t: pa.Table) -> pa.Table:
+        data, edges = text_bytes_of(pa.concat_arrays(t.column("body").chunks))
+        words, own = word_hashes(data, edges)
+        h = np.unique(anchors(words, min_words)[_starts(own, min_words)[0]])
+        at, first = np.unique(_range_of(h, ranges).astype(np.int64), return_index=True)
+        block = t.column("block")[0].as_py()
+        return pa.table({"range": pa.array(at, pa.int32()), "block": pa.array([block] * len(at), pa.int32()), "asked": pa.array([x.tobytes() for x in np.split(h, first[1:])] if len(at) else [], pa.binary())})
+
+    def tell(asked: pa.Table, held: pa.Table) -> pa.Table:
+        h = np.frombuffer(held.column("hashes")[0].as_py(), np.uint64) if held.num_rows else np.zeros(0, np.uint64)
+        bits = [np.packbits(np.isin(np.frombuffer(x, np.uint64), h)).tobytes() for x in asked.column("asked").to_pylist()]
+        places = [-1 - r for r in asked.column("range").to_pylist()]
+        return pa.table({"block": asked.column("block"), "group": pa.array(places, pa.int32()), "bits": pa.array(bits, pa.binary())})
+
+    answer = "block int, group int, bits binary"
+    if not filtered:
+        asked = dealt.groupBy("block").applyInArrow(ask, "range int, block int, asked binary")
+        told = staged(asked.groupBy("range").cogroup(repeated.groupBy("range")).applyInArrow(tell, answer), "told")
 
-    def send(t: pa.Table) -> pa.Table:
-        b = block_of(t)
+    def send(t: pa.Table, told: pa.Table) -> pa.Table:
+        b = block_of(t, told)
         cuts = list(zip(b.edges[:-1], b.edges[1:], strict=True)) if len(b.groups) else []
         # column by column, as sorted suffixes begin alike
         suffixes = pa.array([b.keys[x:y].T.tobytes() for x, y in cuts], pa.binary())
@@ -273,19 +322,19 @@ def remove_repeats(df: DataFrame, *, min_words: int = 13, key: str = "doc_id", t
         older = np.empty(len(order), bool)
         older[order] = smallest < least[order]
         ends = np.cumsum([len(x) // 8 for x in t.column("least").to_pylist()])
-        return pa.table({"block": t.column("block"), "group": t.column("group"), "older": pa.array([np.packbits(x).tobytes() for x in np.split(older, ends[:-1])], pa.binary())})
+        return pa.table({"block": t.column("block"), "group": t.column("group"), "bits": pa.array([np.packbits(x).tobytes() for x in np.split(older, ends[:-1])], pa.binary())})
 
     def remove(docs_of: pa.Table, answers: pa.Table) -> pa.Table:
-        b = block_of(docs_of)
-        bits = dict(zip(answers.column("group").to_pylist(), answers.column("older").to_pylist(), strict=True))
+        b = block_of(docs_of, answers)
+        bits = dict(zip(answers.column("group").to_pylist(), answers.column("bits").to_pylist(), strict=True))
         sizes = np.diff(b.edges).tolist() if len(b.groups) else []
         older = np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(bits[g], np.uint8), count=n).astype(bool) for g, n in zip(b.groups.tolist(), sizes, strict=True))])
         gone = older[b.node] | (b.least[b.node] < b.ids[b.who])
         at, who = b.at[gone], b.who[gone]
         n_words, n_removed, removed, kept = [], [], [], []
-        edge = np.searchsorted(who, np.arange(len(b.words) + 1))
-        for i, words in enumerate(b.words):
-            mine = at[edge[i] : edge[i + 1]]
+        edge = np.searchsorted(who, np.arange(len(b.ids) + 1))
+        for i, body in enumerate(docs_of.column("body").to_pylist()):
+            words, mine = body.split(), at[edge[i] : edge[i + 1]]
             n_words.append(len(words))
             if not len(mine):
                 n_removed.append(0)
@@ -304,8 +353,14 @@ def remove_repeats(df: DataFrame, *, min_words: int = 13, key: str = "doc_id", t
         spans = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
         return pa.table({key: pa.array(ids, pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "removed": pa.array(removed, spans), "body": pa.array(kept, pa.binary())})
 
-    sent = dealt.groupBy("block").applyInArrow(send, "group int, block int, suffixes binary, least binary")
-    answers = sent.groupBy("group").applyInArrow(subtree, "block int, group int, older binary")
+    sending = "group int, block int, suffixes binary, least binary"
+    if filtered:
+        sent = dealt.groupBy("block").applyInArrow(lambda t: send(t, t), sending)
+    else:
+        sent = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(send, sending)
+    answers = sent.groupBy("group").applyInArrow(subtree, answer)
+    if not filtered:
+        answers = answers.unionByName(told)
     out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(remove, f"`{key}` long, n_words long, n_removed long, removed array<struct<start:long,length:long>>, body binary")
     return out.select(key, "n_words", "n_removed", "removed", F.col("body").cast("string").alias(text))
 

@@ -239,6 +239,8 @@ def test_block_boundaries_do_not_matter(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "HOT_TEXT_BYTES", 100)
     copies = spark.createDataFrame(docs + docs[:7] * 3 + [(900 + i, docs[3][1]) for i in range(40)], "doc_id long, text string")
     cut = sorted(map(str, substring_dedup.remove_repeats(copies).collect()))
+    monkeypatch.setattr(substring_dedup, "FULL", -1.0)  # blocks ask for their anchors
+    assert cut == sorted(map(str, substring_dedup.remove_repeats(copies).collect()))
     monkeypatch.undo()
     assert cut == sorted(map(str, substring_dedup.remove_repeats(copies).collect()))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,20 @@ class WordHasher(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def slices(edges: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts, cut at ``edges``, of up to ``most`` bytes in all, or of one longer text."""
+    low = 0
+    while low < len(edges) - 1:
+        high = max(low + 1, int(np.searchsorted(edges, edges[low] + most, "right")) - 1)
+        yield low, high
+        low = high
+
+
+def lists_of(whose: np.ndarray, values: pa.Array, rows: int) -> pa.Array:
+    """A list for each of ``rows`` rows, of the values whose row (rising) it is."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(whose, np.arange(rows + 1)), pa.int32()), values)
+
+
 #: Bytes of texts that are hashed at a time.
 HASH_BYTES = 2**20
 _PLACES = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, 4096, dtype=np.uint64) | np.uint64(1)

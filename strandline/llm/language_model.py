@@ -5,9 +5,10 @@ follows each context of up to ``order`` bytes in the training texts. A byte is c
 new to that context costs an escape (method C: as many escapes as distinct bytes) and is coded one byte shorter, without
 the bytes that the longer context would have offered (exclusion); bytes never seen share what is left evenly.
 
-Counts are gathered by hash aggregation over all training texts. The trie is broadcast, so each of its levels has a bound:
-a level with more grams keeps its most frequent contexts, whose bytes are coded one byte shorter otherwise. Every step of the fallback is looked up, not walked: the
-cost of a byte in its longest context, or else of the escape, is one search in a sorted array.
+Counts are gathered by hash aggregation over all training texts, and no count is dropped. The trie is partitioned by the
+last two bytes of a context: all contexts that a byte can fall back to down to that length are in one part, and the two
+shortest levels (65,536 grams at most) go with each part. The cost of the most frequent grams is broadcast; other grams of
+a text, seen or not, are looked up once each in their part of the trie and join the texts again.
 """
 
 from __future__ import annotations
@@ -19,15 +20,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WordHasher, staged, table
+from strandline.llm.common import lists_of, power_of_two, slices, staged, table, text_bytes_of, word_hashes
 
 WORD, GRAM, TEXTS = 0, 1, 2
 END = b"\n"
 #: Words whose counts are broadcast (the most frequent, a few MB); all others are joined.
 MOST_WORDS = 2**19
+#: Bytes of texts whose grams are worked out together, and grams of a part of the trie.
+CHUNK, PART_GRAMS = 2**20, 200_000
 
 
 def text_bytes(words: list[bytes]) -> bytes:
@@ -35,12 +38,12 @@ def text_bytes(words: list[bytes]) -> bytes:
 
 
 def context_grams(body: np.ndarray, order: int) -> np.ndarray:
-    """For each byte, itself and the ``order`` bytes before it (ends before the first), as one number."""
-    padded = np.concatenate((np.full(order, END[0], np.uint64), body.astype(np.uint64)))
-    out, n = np.zeros(len(body), np.uint64), len(body)
+    """For each byte from place ``order`` on, itself and the ``order`` bytes before it, as one number."""
+    n = len(body) - order
+    out = np.zeros(max(n, 0), np.uint64)
     for j in range(order + 1):
         out <<= np.uint64(8)
-        out |= padded[j : j + n]
+        out |= body[j : j + n]
     return out
 
 
@@ -156,23 +159,50 @@ def _train(part: Column) -> Column:
     return F.crc32(F.coalesce(part.cast("string"), F.lit("")).cast("binary")) % 10 != 0
 
 
+def _normal(bodies: pa.Array) -> tuple[list[bytes], np.ndarray]:
+    """The texts as they are scored, and where each starts among all their bytes (and the last one ends)."""
+    texts = [text_bytes(x.lower().split()) for x in bodies.to_pylist()]
+    return texts, np.cumsum([0, *map(len, texts)])
+
+
+def _text_grams(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Grams of all bytes of the texts and the text of each, up to CHUNK at a time; before its start a text has ends."""
+    pad, held, whose, size = END * order, [], [], 0
+
+    def grams() -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.array([len(x) for x in held])
+        out = context_grams(np.frombuffer(b"".join(held), np.uint8), order)
+        own = np.ones(len(out), bool)
+        for j in range(order):  # places between two pieces
+            own[np.cumsum(sizes)[:-1] - order + j] = False
+        return out[own], np.repeat(whose, sizes - order)
+
+    for i, text in enumerate(texts):
+        padded = pad + text
+        for at in range(0, len(text), CHUNK):
+            held.append(padded[at : at + CHUNK + order])
+            whose.append(i)
+            size += len(held[-1])
+            if size >= CHUNK:
+                yield grams()
+                held, whose, size = [], [], 0
+    if held:
+        yield grams()
+
+
 def gather_counts(docs: DataFrame, order: int) -> DataFrame:
     """kind, key and n: words by hash, grams, and texts, of the column ``body``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, words, grams, texts = WordHasher(), _Tally(), _Tally(), 0
+        words, grams, texts = _Tally(), _Tally(), 0
         for batch in batches:
-            held, raw, size = [], [], 0
             texts += batch.num_rows
-            for i in range(batch.num_rows):
-                mine = batch.column(0)[i].as_py().lower().split()
-                held.append(hasher.array(mine))
-                raw.append(context_grams(np.frombuffer(text_bytes(mine), np.uint8), order))
-                size += len(raw[-1])
-                if size > 2**20 or i == batch.num_rows - 1:
-                    words.add(np.concatenate(held))
-                    grams.add(np.concatenate(raw))
-                    held, raw, size = [], [], 0
+            edges = text_bytes_of(batch.column(0))[1]
+            for low, high in slices(edges, 4 * CHUNK):
+                mine, at = _normal(batch.column(0).slice(low, high - low))
+                words.add(word_hashes(np.frombuffer(b"".join(mine), np.uint8), at)[0])
+                for found, _ in _text_grams(mine, order):
+                    grams.add(found)
         for kind, (keys, counts) in ((WORD, words.compact()), (GRAM, grams.compact()), (TEXTS, (np.zeros(1, np.uint64), np.array([texts])))):
             for a in range(0, len(keys), 200_000):
                 k = keys[a : a + 200_000].view(np.int64)
@@ -181,112 +211,142 @@ def gather_counts(docs: DataFrame, order: int) -> DataFrame:
     return docs.mapInArrow(work, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def _columns(bounded: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of a frame with a bounded number of rows, as Arrow (rows as Python objects take ten times as much)."""
+def _columns(bounded: DataFrame) -> list[np.ndarray]:
+    """Keys (sorted) and numbers of a frame with a bounded number of rows, as Arrow (Python objects take ten times as much)."""
     found = bounded.toArrow()
-    return found.column(0).to_numpy().astype(np.int64).view(np.uint64), found.column(1).to_numpy().astype(float)
+    keys, *rest = (c.to_numpy().astype(np.int64) for c in found.columns)
+    at = np.argsort(keys.view(np.uint64))
+    return [keys.view(np.uint64)[at], *(x[at].astype(float) for x in rest)]
 
 
-def fit_trie(counts: DataFrame, order: int, most_nodes: int) -> Trie:
-    """The trie of contexts up to ``order`` bytes, each level with at most ``most_nodes`` grams.
-
-    A level that has more keeps its contexts seen at least tau times, tau the least power of two that fits; all grams of
-    a context stay or go together, and tau doesn't fall with length, so a context's shorter forms are always there.
-    """
-    grams, tables, tau = counts.where(F.col("kind") == GRAM), [], 0
-    for k in range(order + 1):
-        low = F.col("key") if k == 7 else F.col("key").bitwiseAND(F.lit(2 ** (8 * (k + 1)) - 1))
-        level = grams.groupBy(low.alias("g")).agg(F.sum("n").alias("n")).withColumn("c", F.shiftrightunsigned("g", 8))
-        contexts = level.groupBy("c").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("d"))
-        sizes = contexts.groupBy(F.floor(F.log2(F.col("t").cast("double"))).cast("int").alias("b")).agg(F.sum("d").alias("d")).collect()
-        room, keep = most_nodes, 63
-        for x in sorted(sizes, key=lambda x: -x["b"]):
-            room -= x["d"]
-            if room < 0:
-                break
-            keep = x["b"]
-        tau = max(tau, keep if room < 0 else 0)
-        if tau:
-            level = level.join(contexts.where(F.col("t") >= F.lit(2**tau if tau < 63 else 2**62)).select("c"), "c", "left_semi")
-        g, n = _columns(level.select("g", "n"))
-        at = np.argsort(g)
-        tables.append((g[at], n[at]))
-        if k and not len(g):
-            tables.pop()
+def _frequent(counts: DataFrame, most: int) -> tuple[Column, int, int]:
+    """Condition for the most frequent of ``counts`` (key, n), at most ``most``; how many rows there are, and their sum."""
+    by_size = counts.groupBy(F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).collect()
+    low, room = 62, most
+    for x in sorted(by_size, key=lambda x: -x["b"]):
+        room -= x["rows"]
+        if room < 0:
             break
-    return Trie(tables)
+        low = x["b"]
+    return F.col("n") >= F.lit(2**low), sum(x["rows"] for x in by_size), sum(x["n"] for x in by_size)
+
+
+def _summed(grams: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last ``size`` bytes of grams, sorted and distinct, and their counts."""
+    low = grams & np.uint64(2 ** (8 * size) - 1)
+    order = np.argsort(low, kind="stable")
+    low, counts = low[order], counts[order]
+    at = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1]))) if len(low) else np.zeros(0, np.int64)
+    return low[at], np.add.reduceat(counts, at) if len(at) else counts
+
+
+def gram_costs(wanted: DataFrame, grams: DataFrame, order: int, n_grams: int) -> DataFrame:
+    """key and cost of the distinct grams ``wanted``, by the trie of all ``grams`` (key, n), part by part."""
+    short = min(2, order)
+    mask = lambda size: F.lit(2 ** (8 * size) - 1)
+    low = [tuple(_columns(grams.groupBy(F.col("key").bitwiseAND(mask(j + 1)).alias("g")).agg(F.sum("n").alias("n")))) for j in range(short)]
+    shared = grams.sparkSession.sparkContext.broadcast(low)
+    parts = power_of_two(n_grams / PART_GRAMS, 16, 2**16)
+    part = F.pmod(F.xxhash64(F.shiftrightunsigned("key", 8).bitwiseAND(mask(short))), F.lit(parts)).cast("int").alias("part")
+
+    def look_up(asked: pa.Table, held: pa.Table) -> pa.Table:
+        want, g = (t.column("key").to_numpy().astype(np.int64).view(np.uint64) for t in (asked, held))
+        if not len(want):
+            return pa.table({"key": pa.array([], pa.int64()), "cost": pa.array([], pa.float64())})
+        tables, counts = [], held.column("n").to_numpy().astype(float)
+        for size in range(order + 1, short, -1):
+            g, counts = _summed(g, counts, size)
+            tables.insert(0, (g, counts))
+        tables = [*shared.value, *tables]
+        while tables and not len(tables[-1][0]):
+            tables.pop()
+        costs = Trie(tables).costs(want & np.uint64(2 ** (8 * len(tables)) - 1)) if tables else np.full(len(want), -math.log10(256))
+        return pa.table({"key": pa.array(want.view(np.int64)), "cost": pa.array(costs)})
+
+    return wanted.select("key", part).groupBy("part").cogroup(grams.select("key", "n", part).groupBy("part")).applyInArrow(look_up, "key long, cost double")
 
 
-def score(df: DataFrame, *, key: str = "doc_id", text: str = "text", order: int = 5, most_nodes: int = 2**20) -> DataFrame:
+def score(df: DataFrame, *, key: str = "doc_id", text: str = "text", order: int = 5, most_frequent: int = 2**21) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score of each whole text.
 
     Rows whose crc32 of the key as text is divisible by 10 are held out; the others train. Null and empty texts are one
     end token. A null key is the empty text as key, so held out. Repeated rows train and score each. Without training
     rows each byte has 1/256 and each token 1. An empty table gives no rows; other columns are not read. The scores are
     log10 probabilities: base of the words by their training counts, score by the trie.
+    most_frequent: grams whose cost is broadcast (16 bytes each); others are joined, with the same results.
     """
     if not 1 <= order <= 7:
         raise ValueError("order must be 1 to 7")
     spark = df.sparkSession
     docs = df.select(F.col(key).alias("k"), _train(F.col(key)).alias("train"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
     counts = staged(gather_counts(docs.where("train").select("body"), order), "counts")
-    words = counts.where(F.col("kind") == WORD)
-    by_size = words.groupBy(F.floor(F.log2(F.col("n").cast("double"))).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).collect()
+    words, grams = (counts.where(F.col("kind") == kind).select("key", "n") for kind in (WORD, GRAM))
     texts = counts.where(F.col("kind") == TEXTS).agg(F.sum("n")).first()[0] or 0
-    n_train, distinct = sum(x["n"] for x in by_size) + texts, sum(x["words"] for x in by_size) + (texts > 0)
-    low, room = 64, MOST_WORDS
-    for x in sorted(by_size, key=lambda x: -x["b"]):
-        room -= x["words"]
-        if room < 0:
-            break
-        low = x["b"]
-    frequent = words.where(F.col("n") >= F.lit(2**low if low < 63 else 2**62)).select("key", "n")
-    frequent_keys, frequent_counts = _columns(frequent)
-    at = np.argsort(frequent_keys)
+    common, distinct, n_train = _frequent(words, MOST_WORDS)
+    n_train, distinct = n_train + texts, distinct + (texts > 0)
     norm = n_train + 0.1 * (distinct + 1)
-    model = spark.sparkContext.broadcast((fit_trie(counts, order, most_nodes), frequent_keys[at], frequent_counts[at]))
+    usual, n_grams, _ = _frequent(grams, most_frequent)
+    siblings = Window.partitionBy(F.shiftrightunsigned("key", 8))
+    of_context = grams.withColumn("t", F.sum("n").over(siblings) + F.count(F.lit(1)).over(siblings))
+    gram_keys, gram_n, gram_t = _columns(of_context.where(usual).select("key", "n", "t"))
+    model = spark.sparkContext.broadcast((gram_keys, np.log10(gram_n) - np.log10(gram_t), *_columns(words.where(common))))
     key_type = docs.schema["k"].dataType.simpleString()
 
+    def rare_lists(whose: np.ndarray, keys: np.ndarray, rows: int) -> tuple[pa.Array, pa.Array]:
+        """Distinct keys of each row and how often each comes, as two columns of lists."""
+        order = np.lexsort((keys, whose))
+        whose, keys = whose[order], keys[order]
+        new = np.flatnonzero(np.concatenate(([True], (whose[1:] != whose[:-1]) | (keys[1:] != keys[:-1])))) if len(keys) else np.zeros(0, np.int64)
+        times = np.diff(np.append(new, len(keys)))
+        return lists_of(whose[new], pa.array(keys[new].view(np.int64)), rows), lists_of(whose[new], pa.array(times), rows)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, keys, tally = model.value
-        hasher, serial = WordHasher(), TaskContext.get().partitionId() << 40
+        gram_keys, gram_costs, word_keys, tally = model.value
+        serial = TaskContext.get().partitionId() << 40
         for batch in batches:
-            n_tokens, n_known, base, rare, ids, pieces, whose, size = [], [], [], [], [], [], [], 0
-            total = np.zeros(batch.num_rows)
-            for i in range(batch.num_rows):
-                mine = batch.column(2)[i].as_py().lower().split()
-                h, tf = np.unique(hasher.array(mine), return_counts=True)
-                where, common = Trie._find(keys, h)
-                n_tokens.append(len(mine) + 1)
-                n_known.append(int(tf[common].sum()) + int(texts > 0))
-                base.append(float((tf[common] * np.log10((tally[where[common]] + 0.1) / norm)).sum()) + math.log10((texts + 0.1) / norm))
-                rare.append([{"h": int(a), "tf": int(b)} for a, b in zip(h[~common].view(np.int64), tf[~common], strict=True)])
-                body = text_bytes(mine)
-                for at in range(0, len(body), 2**20):
-                    chunk = context_grams(np.frombuffer(body[max(0, at - trie.order) : at + 2**20], np.uint8), trie.order)
-                    pieces.append(chunk[min(at, trie.order) :])
-                    whose.append(i)
-                    size += len(pieces[-1])
-                    if size > 2**19 or i == batch.num_rows - 1 and at + 2**20 >= len(body):
-                        starts = np.cumsum([0] + [len(x) for x in pieces[:-1]])
-                        np.add.at(total, whose, np.add.reduceat(trie.costs(np.concatenate(pieces)), starts))
-                        pieces, whose, size = [], [], 0
-                ids.append(serial)
-                serial += 1
-            pairs = pa.list_(pa.struct([("h", pa.int64()), ("tf", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(0), batch.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(total, pa.float64()), pa.array(rare, pairs)], names=["id", "k", "train", "n_tokens", "n_known", "base", "score", "rare"])
-
-    scored = staged(docs.mapInArrow(work, f"id long, k {key_type}, train boolean, n_tokens long, n_known long, base double, score double, rare array<struct<h:long,tf:long>>"), "scored")
-    rare = scored.select("id", F.explode("rare").alias("r")).select("id", F.col("r.h").alias("key"), F.col("r.tf").alias("tf"))
+            edges = text_bytes_of(batch.column(2))[1]
+            for low, high in slices(edges, 4 * CHUNK):
+                rows = high - low
+                mine, at = _normal(batch.column(2).slice(low, rows))
+                h, own = word_hashes(np.frombuffer(b"".join(mine), np.uint8), at)
+                who = np.repeat(np.arange(rows), np.diff(own))
+                where, known = Trie._find(word_keys, h)
+                base = np.bincount(who[known], np.log10((tally[where[known]] + 0.1) / norm), rows) + math.log10((texts + 0.1) / norm)
+                n_known = np.bincount(who[known], minlength=rows) + int(texts > 0)
+                total, missed, whose = np.zeros(rows), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for found, of in _text_grams(mine, order):
+                    different, back = np.unique(found, return_inverse=True)
+                    where, seen = Trie._find(gram_keys, different)
+                    cost = np.zeros(len(different))
+                    cost[seen] = gram_costs[where[seen]]
+                    total += np.bincount(of, cost[back], rows)
+                    rest = np.flatnonzero(~seen[back])
+                    missed.append(found[rest])
+                    whose.append(of[rest])
+                columns = [*rare_lists(who[~known], h[~known], rows), *rare_lists(np.concatenate(whose), np.concatenate(missed), rows)]
+                ids = pa.array(np.arange(serial, serial + rows))
+                serial += rows
+                firsts = [ids, batch.column(0).slice(low, rows), batch.column(1).slice(low, rows), *map(pa.array, (np.diff(own) + 1, n_known, base, total))]
+                yield pa.RecordBatch.from_arrays([*firsts, *columns], names=["id", "k", "train", "n_tokens", "n_known", "base", "score", "words", "word_n", "grams", "gram_n"])
+
+    lists = "words array<long>, word_n array<long>, grams array<long>, gram_n array<long>"
+    scored = staged(docs.mapInArrow(work, f"id long, k {key_type}, train boolean, n_tokens long, n_known long, base double, score double, {lists}"), "scored")
+
+    def rare(keys: str, times: str) -> DataFrame:
+        pairs = scored.where(F.size(keys) > 0).select("id", F.explode(F.arrays_zip(keys, times)).alias("r"))
+        return pairs.select("id", F.col(f"r.{keys}").alias("key"), F.col(f"r.{times}").alias("tf"))
+
     n = F.coalesce(F.col("n"), F.lit(0))
-    extra = (
-        rare.join(words.select("key", "n"), "key", "left")
+    more_words = (
+        rare("words", "word_n").join(words, "key", "left")
         .groupBy("id")
         .agg(F.sum(F.col("tf") * F.log10((n + F.lit(0.1)) / F.lit(float(norm)))).alias("more"), F.sum(F.when(n > 0, F.col("tf")).otherwise(0)).alias("known"))
-    )
-    return scored.drop("rare").join(extra, "id", "left").select(
+    )
+    rare_grams = rare("grams", "gram_n")
+    more_grams = rare_grams.join(gram_costs(rare_grams.select("key").distinct(), grams, order, n_grams), "key").groupBy("id").agg(F.sum(F.col("tf") * F.col("cost")).alias("rest"))
+    return scored.drop("words", "word_n", "grams", "gram_n").join(more_words, "id", "left").join(more_grams, "id", "left").select(
         F.col("k").alias(key), (~F.col("train")).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(int(n_train)).cast("bigint").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+        F.lit(int(n_train)).cast("bigint").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"),
     )
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import mixed, power_of_two, staged, table, text_bytes_of, window_hashes, word_hashes
+from strandline.llm.common import mixed, power_of_two, slices, staged, table, text_bytes_of, window_hashes, word_hashes
 
 GRAM = 5
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
@@ -111,7 +111,7 @@ def scan(docs: DataFrame, min_words: int, text_bytes: int) -> tuple[DataFrame, n
 
         for batch in batches:
             data, edges = text_bytes_of(batch.column(0))
-            for low, high in _slices(edges, BLOCK_BYTES):
+            for low, high in slices(edges, BLOCK_BYTES):
                 words, own = word_hashes(data[edges[low] : edges[high]], edges[low : high + 1] - edges[low])
                 at, who = _starts(own, min_words)
                 if not len(at):
@@ -168,15 +168,6 @@ def _set_share(parts: np.ndarray) -> float:
     return float(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1)[parts].mean()) / 8
 
 
-def _slices(edges: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Runs of texts of up to ``most`` bytes in all, or of one longer text."""
-    low = 0
-    while low < len(edges) - 1:
-        high = max(low + 1, int(np.searchsorted(edges, edges[low] + most, "right")) - 1)
-        yield low, high
-        low = high
-
-
 def _may_repeat(least: np.ndarray, parts: np.ndarray) -> np.ndarray:
     part_bits = parts.shape[1] * 8
     base = _range_of(least, len(parts)) * np.uint64(part_bits // 8)

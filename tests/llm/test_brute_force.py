@@ -145,19 +145,26 @@ def test_language_model(spark):
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in docs}
     tally = Counter(w for i in lowered if not held[i] for w in [*lowered[i], None])
     n, v = sum(tally.values()), len(tally)
-    cost = ppm_reference([b" ".join(lowered[i]) + b"\n" for i in lowered if not held[i]], 2)
-    for r in language_model.score(spark.read.parquet(f"{SF}/documents.parquet"), order=2).collect():
+    cost = ppm_reference([b" ".join(lowered[i]) + b"\n" for i in lowered if not held[i]], 5)
+    for r in language_model.query(spark, SF).collect():  # order 5
         w = [*lowered[r["doc_id"]], None]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(w), sum(tally[x] > 0 for x in w), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((tally[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), rel=1e-9)
         assert r["score"] == pytest.approx(cost(b" ".join(lowered[r["doc_id"]]) + b"\n"), rel=1e-6)
 
 
-def test_trie_with_a_bound_still_scores(spark):
-    docs = spark.createDataFrame([(i, f"the cat sat on mat {i % 7} and ran") for i in range(200)], "doc_id long, text string")
-    small = language_model.score(docs, order=4, most_nodes=20).agg({"score": "sum"}).first()[0]
-    large = language_model.score(docs, order=4).agg({"score": "sum"}).first()[0]
-    assert math.isfinite(small) and small < large < 0
+@tables
+@pytest.mark.parametrize("order", [1, 5])
+def test_broadcast_grams_do_not_matter(spark, monkeypatch, order):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {r["doc_id"]: r for r in language_model.score(docs, order=order).collect()}
+    monkeypatch.setattr(language_model, "PART_GRAMS", 2000)
+    monkeypatch.setattr(language_model, "MOST_WORDS", 100)
+    monkeypatch.setattr(language_model, "CHUNK", 1000)
+    for r in language_model.score(docs, order=order, most_frequent=1000).collect():
+        w = want[r["doc_id"]]
+        assert (r["n_known"], r["n_tokens"]) == (w["n_known"], w["n_tokens"])
+        assert r["score"] == pytest.approx(w["score"], rel=1e-9) and r["base_score"] == pytest.approx(w["base_score"], rel=1e-9)
 
 
 @tables

@@ -1,7 +1,8 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages are sorted by host and URL path over range partitions, so that a host with a third of all pages spreads over many
-tasks. Each page is compared with its nearest different neighbours of the same host, those whose paths share the longest
+Pages are sorted by URL path within cells: a host is one cell, and a host with very many pages is cut into cells at pages
+that a hash picks, so a host with a third of all pages spreads over many tasks and the cells, and with them the texts, are
+the same however the pages are partitioned. Each page is compared with its nearest different neighbours of the same host, those whose paths share the longest
 prefixes: text lines are aligned by their longest common subsequence, and shared lines are deleted as template. Blocks
 inside menus, footers, forms, scripts and the like are never lines. If an article or main element is declared, the text
 is its lines, without those that three neighbours or more share, all compared; neighbours that hold a copy of the article
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import table
+from strandline.llm.common import staged, table
 
 # Names of HTML elements by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,6 +36,10 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertisements advertising banner banners breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination popup promo promotion promoted related respond responses search share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split())
 ASIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 MAIN_WORDS = frozenset({"article-body", "article-content", "articlebody", "content", "entry-content", "main", "main-content", "maincontent", "post-body", "post-content"})
+#: Pages of a host beyond which it is cut into cells of about as many pages, and the most cells of a host.
+CELL_PAGES, MOST_CELLS = 20_000, 4096
+#: Up to so many hosts that are cut (checked) are broadcast; beyond, the join shuffles.
+BROADCAST_HOSTS = 2_000
 #: Pages to each side that may be neighbours, and as many of them are compared.
 REACH = 4
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.DOTALL)
@@ -214,23 +219,37 @@ def _common(a: str, b: str) -> int:
     return n
 
 
+def _in_cells(rows: DataFrame) -> DataFrame:
+    """The rows with ``cell`` (0 if the host isn't cut), dealt by host and cell and sorted in them."""
+    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") > CELL_PAGES)
+    every = F.greatest(F.lit(CELL_PAGES), F.ceil(F.col("pages") / F.lit(MOST_CELLS))).alias("every")
+    large = staged(hosts.select(F.col("host").alias("cut_host"), every), "large-hosts")
+    small = large.count() <= BROADCAST_HOSTS
+    here = F.col("host") == F.col("cut_host")
+    marks = rows.select("host", "path", "k").join(F.broadcast(large) if small else large, here).where(F.pmod(F.xxhash64("path", "k"), "every") == 0)
+    cuts = marks.groupBy("cut_host").agg(F.collect_set(F.struct("path", "k")).alias("cuts"))
+    cell = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.struct("path", "k"))), F.lit(0))
+    placed = rows.join(F.broadcast(cuts) if small else cuts, here, "left").select(*rows.columns, F.when(F.col("cuts").isNull(), 0).otherwise(cell).alias("cell"))
+    return placed.repartition("host", "cell").sortWithinPartitions("host", "cell", "path", "k", F.xxhash64("page"))
+
+
 def extract_main_text(df: DataFrame, *, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """key, url, text and n_chars (code points) for each page.
 
     A null or empty page gives an empty text; a null url is a host of its own kind, "", whose pages pair up by key.
-    Repeated rows are pages of their own. Pages at the edge of a range look inwards; a page without a neighbour is judged
+    Repeated rows are pages of their own. Pages at the edge of a cell look inwards; a page without a neighbour is judged
     by its markup. Runs of pages with equal lines count as one page. Very long pages are parsed in one pass. An empty table gives no rows; other columns are not read.
     """
     where = F.coalesce(F.col("u"), F.lit(""))
     rows = df.select(F.col(key).alias("k"), F.col(url).alias("u"), F.coalesce(F.col(page), F.lit("")).alias("page"))
     rows = rows.select("k", "u", F.lower(F.regexp_extract(where, r"^[^/?#]*//([^/?#]*)", 1)).alias("host"), F.regexp_extract(where, r"^(?:[^/?#]*//[^/?#]*)?([^?#]*)", 1).alias("path"), "page")
-    dealt = rows.repartitionByRange("host", "path", "k").sortWithinPartitions("host", "path", "k")
+    dealt = _in_cells(rows)
 
     def pages(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for i in range(batch.num_rows):
-                k, u, host, path, body = (c[i].as_py() for c in batch.columns)
-                yield k, u, host, path, text_lines(body)
+                k, u, host, path, body, cell = (c[i].as_py() for c in batch.columns)
+                yield k, u, (host, cell), path, text_lines(body)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = None
@@ -242,12 +261,12 @@ def extract_main_text(df: DataFrame, *, key: str = "page_id", url: str = "url",
                 yield b
 
         out: list[tuple] = []
-        held: list[tuple[list[tuple], str, str, list[Line]]] = []  # keys and urls, host, path, lines
+        held: list[tuple[list[tuple], tuple, str, list[Line]]] = []  # keys and urls, cell, path, lines
         at = 0
 
         def settle(at: int) -> list[tuple]:
-            rows, host, path, lines = held[at]
-            around = [held[i] for d in range(1, REACH + 1) for i in (at - d, at + d) if 0 <= i < len(held) and held[i][1] == host]
+            rows, cell, path, lines = held[at]
+            around = [held[i] for d in range(1, REACH + 1) for i in (at - d, at + d) if 0 <= i < len(held) and held[i][1] == cell]
             near: list[list[Line]] = []
             for x in sorted(around, key=lambda x: -_common(x[2], path)):
                 if len(near) < REACH and x[3] != lines and x[3] not in near:
@@ -259,11 +278,11 @@ def extract_main_text(df: DataFrame, *, key: str = "page_id", url: str = "url",
             k, u, text, n = zip(*rows, strict=True)
             return pa.RecordBatch.from_arrays([pa.array(k, kinds), pa.array(u, pa.string()), pa.array(text, pa.string()), pa.array(n, pa.int64())], names=[key, url, "text", "n_chars"])
 
-        for k, u, host, path, lines in pages(batches_seen()):
-            if held and held[-1][1] == host and held[-1][3] == lines:
+        for k, u, cell, path, lines in pages(batches_seen()):
+            if held and held[-1][1] == cell and held[-1][3] == lines:
                 held[-1][0].append((k, u))
                 continue
-            held.append(([(k, u)], host, path, lines))
+            held.append(([(k, u)], cell, path, lines))
             # the newest page may still gain copies, so it is settled only once others follow
             if len(held) - at > REACH + 1:
                 out += settle(at)

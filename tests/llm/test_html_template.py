@@ -7,7 +7,7 @@ from strandline.llm import html_extract
 
 def _texts(spark, bodies):
     pages = [(i, f"http://h/news/{i}", body) for i, body in enumerate(bodies)]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
     return {r["page_id"]: r["text"] for r in html_extract.extract_main_text(df).collect()}
 
 
@@ -28,3 +28,32 @@ def test_copies_of_an_article_stay(spark):
 def test_short_article_in_a_large_template(spark):
     menu = "".join(f"<div>Template line {i} of the whole site</div>" for i in range(20))
     assert _texts(spark, [f"{menu}<div>Short {i}</div>" for i in range(6)]) == {i: f"Short {i}" for i in range(6)}
+
+
+def _site(n):
+    """Pages of two hosts without declared parts, each with its own text between lines of the site."""
+    line = lambda i: f"<div>Site line {i % 3}</div>"
+    return [(i, f"http://h{i % 2}/a/{i * 7 % 50}/{i}", f"<div>Menu</div>{line(i)}<p>Own text {i} of the page</p>{line(i + 1)}<div>All rights</div>") for i in range(n)]
+
+
+def test_partitions_do_not_matter(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "CELL_PAGES", 15)
+    df = spark.createDataFrame(_site(120), "page_id long, url string, html string")
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        got = set()
+        for parts in (1, 4, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got.add(str(sorted(html_extract.extract_main_text(df.repartition(parts)).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert len(got) == 1
+
+
+def test_differencing_decides(spark, monkeypatch):
+    df = spark.createDataFrame(_site(40), "page_id long, url string, html string")
+    got = [r["text"] for r in html_extract.extract_main_text(df).orderBy("page_id").collect()]
+    assert not any("Menu" in t or "All rights" in t for t in got) and all(f"Own text {i} " in t for i, t in enumerate(got))
+    monkeypatch.setattr(html_extract, "REACH", 0)  # no neighbours, so nothing is template
+    alone = [r["text"] for r in html_extract.extract_main_text(df).orderBy("page_id").collect()]
+    assert all("Menu" in t and "All rights" in t for t in alone)

@@ -1,12 +1,16 @@
 """Benchmark decontamination by templates: questions are found again though their numbers, names or units changed.
 
 Words become template tokens: numbers, units after numbers and names turn into typed placeholders (slots), other words
-into their lower-cased form without marks around them. Windows of template tokens are joined by hash between documents
-and benchmark items. Windows on one diagonal (document position less item position) form an alignment, whose slots should agree: each item value
-goes with one document value and each document value with one item value, by type. Where they don't, a pair of values
-holds if it is at more positions than each pair it conflicts with, at equal numbers if it is the only one with equal values;
-windows with other pairs don't count. A document is contaminated by an item if the windows that count cover enough of the
-item's tokens.
+into their lower-cased form without marks around them. A name is a word with a capital first letter and small ones after;
+names in small letters or in capitals throughout stay as they are. Whether a word that starts a sentence is a name can't be
+told, so an item's windows come in both readings, as a slot and as the word; in documents it is a slot. Windows of template
+tokens are joined by hash between documents and benchmark items; a window that is less than half words holds too little to
+tell a template by, and is joined by its own words instead. Items with the same template and the same pattern of equal
+values are one class, represented by its least item. Windows on one diagonal (document position less item position) form an
+alignment, whose slots should agree: each item value goes with one document value and each document value with one item
+value, by type. Where they don't, a pair of values holds if it is at more positions than each pair it conflicts with, at
+equal numbers if it is the only one with equal values; windows with other pairs don't count. A document is contaminated by
+an item if the windows that count cover enough of the item's tokens.
 """
 
 from __future__ import annotations
@@ -25,8 +29,11 @@ from pyspark.sql import functions as F
 from strandline.llm.common import MEMO_WORDS, staged, table, window_hashes
 
 FACTOR = 0x9E3779B97F4A7C15
-#: Benchmark windows up to so many (checked) are broadcast, 32 MB of hashes; beyond, all document windows go to the join.
-MOST_BROADCAST = 2**22
+#: Benchmark windows up to so many bytes (checked) are broadcast, as hashes and as a side of the join; beyond, all document
+#: windows go to the join, which shuffles.
+MOST_BROADCAST = 2**25
+#: With more sentence starts in a window than this, they are read all one way, or one of them the other way.
+MOST_READINGS = 6
 LITERAL, NUMBER, UNIT, CAPITAL = 0, 1, 2, 3
 SLOT_HASH = np.array([0, 0x51ED270B3A5F1C11, 0x6C8E9CF570932BD5, 0x2545F4914F6CDD1D], np.uint64)
 # Units of measure and number words, lower case.
@@ -36,14 +43,20 @@ NUMBER_FORM = re.compile(r"[+\-−]?[$€£¥]?\d[\d.,:/x×^]*(?:st|nd|rd|th|%|[
 EDGES = re.compile(r"^\W+|\W+$")
 
 
-class Templates:
-    """Template tokens of texts. lexicon: lower-case words that are ordinary words though a sentence starts with them."""
+class Templates(dict):
+    """Template tokens of texts; remembers words by their place in arrays."""
 
-    def __init__(self, lexicon: frozenset[str]) -> None:
-        self.lexicon, self.index = lexicon, {}
-        self.forms: list[tuple[int, int, bool, bool]] = []
+    def __init__(self) -> None:
+        self.clear()
 
-    def _form(self, word: str) -> tuple[int, int, bool, bool]:
+    def clear(self) -> None:
+        super().clear()
+        self.h, self.kind, self.ends = np.empty(1024, np.uint64), np.empty(1024, np.int8), np.empty(1024, bool)
+
+    def __missing__(self, word: str) -> int:
+        at = len(self)
+        if at == len(self.h):
+            self.h, self.kind, self.ends = (np.concatenate((x, x)) for x in (self.h, self.kind, self.ends))
         core = EDGES.sub("", word)
         low = core.lower()
         if NUMBER_FORM.fullmatch(word.strip("()[]{}\"'.,;:!?")) or low in NUMBER_WORDS:
@@ -54,48 +67,52 @@ class Templates:
             kind = CAPITAL
         else:
             kind = LITERAL
-        return xxhash.xxh3_64_intdigest((low or word).encode("utf-8", "surrogatepass")), kind, word.rstrip("\"')]”’")[-1:] in (".", "!", "?", ":"), low in self.lexicon
-
-    def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Hash and kind (0 for a literal) of each word's template token."""
-        known, forms, at = self.index, self.forms, []
-        if len(known) > MEMO_WORDS:
-            known.clear()
-            forms.clear()
-        for w in words:
-            i = known.get(w)
-            if i is None:
-                i = known[w] = len(forms)
-                forms.append(self._form(w))
-            at.append(i)
-        if not at:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int8)
-        here, back = np.unique(np.array(at), return_inverse=True)
-        rows = [forms[i] for i in here.tolist()]
-        h = np.array([r[0] for r in rows], np.uint64)[back]
-        kind, ends, plain = (np.array([r[j] for r in rows])[back] for j in (1, 2, 3))
-        first = np.concatenate(([True], ends[:-1].astype(bool)))
-        after_number = np.concatenate(([False], kind[:-1] == NUMBER))
-        slot = np.where(kind == NUMBER, NUMBER, np.where((kind == UNIT) & after_number, UNIT, np.where((kind == CAPITAL) & ~(first & plain.astype(bool)), CAPITAL, LITERAL)))
-        return np.where(slot > 0, SLOT_HASH[slot], h), slot.astype(np.int8)
-
-
-def _windows(words: list[str], templates: Templates, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each window size: positions and hashes of windows at least half literal, and the kinds of all tokens."""
-    h, kind = templates.tokens(words)
-    literal = np.concatenate(([0], np.cumsum(kind == 0)))
-    for size in sizes:
-        if len(h) >= size:
-            at = np.flatnonzero(2 * (literal[size:] - literal[:-size]) >= size)
-            yield size, at, window_hashes(h, size, FACTOR + 2 * size)[at], kind
-
-
-def _slots(words: list[str], kind: np.ndarray, at: int, size: int) -> list[str]:
-    return [f"{kind[i]}:{EDGES.sub('', words[i]).lower()}" for i in range(at, at + size) if kind[i]]
-
-
-def _slot_places(kind: np.ndarray, at: int, size: int) -> list[int]:
-    return [i for i in range(at, at + size) if kind[i]]
+        self.h[at], self.kind[at] = xxhash.xxh3_64_intdigest((low or word).encode("utf-8", "surrogatepass")), kind
+        self.ends[at] = word.rstrip("\"')]”’")[-1:] in (".", "!", "?", ":")
+        self[word] = at
+        return at
+
+    def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash of each word, its kind (0 for a literal), and whether it is a name only if it doesn't just start a sentence."""
+        if len(self) > MEMO_WORDS:
+            self.clear()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        kind = self.kind[at]
+        kind[1:][(kind[1:] == UNIT) & (kind[:-1] != NUMBER)] = LITERAL
+        if len(kind) and kind[0] == UNIT:
+            kind[0] = LITERAL
+        first = np.concatenate(([True], self.ends[at][:-1]))[: len(at)]
+        return self.h[at], kind, first & (kind == CAPITAL)
+
+
+def _window_names(h: np.ndarray, kind: np.ndarray, size: int) -> np.ndarray:
+    """Name of each window of ``size`` tokens: of its template, or of its words if it is less than half literal."""
+    literal = np.concatenate(([0], np.cumsum(kind == LITERAL)))
+    template = window_hashes(np.where(kind > 0, SLOT_HASH[kind], h), size, FACTOR + 2 * size)
+    return np.where(2 * (literal[size:] - literal[:-size]) >= size, template, window_hashes(h, size, FACTOR - 2 * size))
+
+
+def _readings(h: np.ndarray, kind: np.ndarray, unsure: np.ndarray, size: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Start, name and kinds of each window of an item, in each reading of its sentence starts."""
+    for a in range(len(h) - size + 1):
+        places = np.flatnonzero(unsure[a : a + size]).tolist()
+        if len(places) <= MOST_READINGS:
+            chosen = [[p for i, p in enumerate(places) if bits >> i & 1] for bits in range(2 ** len(places))]
+        else:
+            chosen = [[], places, *([p] for p in places), *([q for q in places if q != p] for p in places)]
+        for plain in chosen:
+            k = kind[a : a + size].copy()
+            k[plain] = LITERAL
+            yield a, int(_window_names(h[a : a + size], k, size).view(np.int64)[0]), k
+
+
+def _is_slot(kind: np.ndarray) -> np.ndarray:
+    """Slots of a window; one that is joined by its words has none."""
+    return (kind > 0) & (2 * (kind == LITERAL).sum() >= len(kind))
+
+
+def _slots(words: list[str], kind: np.ndarray, at: int) -> list[str]:
+    return [f"{kind[i]}:{EDGES.sub('', words[at + i]).lower()}" for i in np.flatnonzero(_is_slot(kind)).tolist()]
 
 
 def _wrong_places(pairs: list[tuple[int, str, str]]) -> list[int]:
@@ -123,62 +140,87 @@ def _covers(starts: list[int], size: int, pairs: list[tuple[int, str, str]]) ->
     return sorted(out)
 
 
+def template_classes(benchmark: DataFrame, *, item_key: str = "item_id", item_text: str = "text", window: int = 8) -> DataFrame:
+    """item, body and class of each benchmark item: the least item with the same template and pattern of equal values.
+
+    Words that start sentences, and all under windows that are joined by their words, count as they are.
+    """
+    items = benchmark.select(F.col(item_key).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("body"))
+
+    def patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        templates = Templates()
+        for batch in batches:
+            names = []
+            for body in batch.column(1).to_pylist():
+                words = body.split()
+                h, kind, unsure = templates.tokens(words)
+                plain, size = (kind == LITERAL) | unsure, min(window, len(words))
+                literal = np.concatenate(([0], np.cumsum(kind == LITERAL)))
+                for a in np.flatnonzero(2 * (literal[size:] - literal[:-size]) < size).tolist() if size else []:
+                    plain[a : a + size] = True
+                values: dict[int, int] = {}
+                token = [f"w{x}" if p else f"{k}.{values.setdefault(x, len(values))}" for x, k, p in zip(h.tolist(), kind.tolist(), plain.tolist(), strict=True)]
+                names.append(xxhash.xxh3_128_digest(" ".join(token).encode()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.binary())], names=["item", "body", "pattern"])
+
+    named = staged(items.mapInArrow(patterns, f"item {items.schema['item'].dataType.simpleString()}, body string, pattern binary"), "patterns")
+    return named.join(named.groupBy("pattern").agg(F.min("item").alias("class")), "pattern").select("item", "body", "class")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 8, least_share: float = 0.6) -> DataFrame:
     """One row for each contaminated document: key, item_ids (sorted), n_items and share (most of an item covered).
 
-    Items of fewer than ``window`` words are one window of their own; items of fewer than 4 words, null or empty, match
-    nothing. Null and empty documents are clean. Texts are judged whole; rows with equal keys and texts count once, and
-    equal keys with different texts are judged apart and reported together. A null document key is reported as null. An
-    empty table on either side gives no rows; other columns are not read.
+    item_ids name classes of items by their least id, see :func:`template_classes`. Items of fewer than ``window`` words
+    are one window of their own; items of fewer than 4 words, null or empty, match nothing. Null and empty documents are
+    clean. Texts are judged whole; rows with equal keys and texts count once, and equal keys with different texts are
+    judged apart and reported together. A null document key is reported as null. An empty table on either side gives no
+    rows; other columns are not read.
     """
     if window < 4:
         raise ValueError("window must be 4 or more")
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_key).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("body"))
-    word = F.explode(F.split("body", r"\s+"))
-    plain = items.select(word.alias("w")).where(F.col("w").rlike(r"^\W*[\p{Ll}]")).select(F.lower(F.regexp_replace("w", r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", "")).alias("w")).distinct()
-    # ordinary words decide sentence starts; a benchmark with more than MOST_BROADCAST of them decides by capitals alone
-    lexicon = [r["w"] for r in plain.limit(MOST_BROADCAST + 1).collect()]
-    shared = spark.sparkContext.broadcast(frozenset(lexicon) if len(lexicon) <= MOST_BROADCAST else frozenset())
+    items = staged(template_classes(benchmark, item_key=item_key, item_text=item_text, window=window).groupBy("class").agg(F.min_by("body", F.struct("item", "body")).alias("body")), "classes")
 
     def item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates = Templates(shared.value)
+        templates = Templates()
         for batch in batches:
             rows = []
             for item, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = body.split()
                 if len(words) >= 4:
-                    for size, at, h, kind in _windows(words, templates, [min(window, len(words))]):
-                        rows += [(item, len(words), size, int(a), int(x), _slots(words, kind, a, size), _slot_places(kind, a, size)) for a, x in zip(at, h.view(np.int64), strict=True)]
+                    size = min(window, len(words))
+                    h, kind, unsure = templates.tokens(words)
+                    rows += [(item, len(words), size, a, name, _slots(words, k, a), (a + np.flatnonzero(_is_slot(k))).tolist()) for a, name, k in _readings(h, kind, unsure, size)]
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())), strict=True)], names=["item", "item_words", "size", "item_at", "h", "item_slots", "places"])
 
-    item_type = items.schema["item"].dataType.simpleString()
+    item_type = items.schema["class"].dataType.simpleString()
     known = staged(items.mapInArrow(item_windows, f"item {item_type}, item_words long, size int, item_at long, h long, item_slots array<string>, places array<long>"), "templates")
-    n_windows = known.count()
-    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())
-    small = n_windows <= MOST_BROADCAST
+    held = known.agg(F.sum(F.octet_length(F.concat_ws("", "item_slots")) + 8 * F.size("places") + 64), F.collect_set("size")).first()
+    sizes, small = sorted(held[1]), (held[0] or 0) <= MOST_BROADCAST
     wanted = spark.sparkContext.broadcast(np.unique(known.select("h").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)) if small else None)
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     key_type = rows.schema["k"].dataType.simpleString()
 
     def doc_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates, hashes = Templates(shared.value), wanted.value
+        templates, hashes = Templates(), wanted.value
         for batch in batches:
             whose, found = [], []
             for i in range(batch.num_rows):
                 body = batch.column(1)[i].as_py()
                 words, mark = body.split(), None
-                for size, at, h, kind in _windows(words, templates, sizes):
+                h, kind, _ = templates.tokens(words)
+                for size in sizes:
+                    if len(h) < size or hashes is not None and not len(hashes):
+                        continue
+                    names = _window_names(h, kind, size)
+                    at = np.arange(len(names))
                     if hashes is not None:
-                        if not len(hashes):
-                            continue
-                        hit = hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h
-                        at, h = at[hit], h[hit]
+                        at = np.flatnonzero(hashes[np.minimum(np.searchsorted(hashes, names), len(hashes) - 1)] == names)
                     if len(at):
                         mark = mark if mark is not None else xxhash.xxh3_64_intdigest(body.encode("utf-8", "surrogatepass")) - 2**63
                         whose += [i] * len(at)
-                        found += [(mark, size, int(a), int(x), _slots(words, kind, a, size)) for a, x in zip(at, h.view(np.int64), strict=True)]
+                        found += [(mark, size, a, x, _slots(words, kind[a : a + size], a)) for a, x in zip(at.tolist(), names[at].view(np.int64).tolist(), strict=True)]
             if found:
                 columns = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(whose, pa.int32())), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True))], names=["k", "mark", "size", "at", "h", "slots"])
@@ -187,6 +229,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     pairs = F.transform(F.arrays_zip("places", "item_slots", "slots"), lambda p: F.struct(p["places"].alias("p"), p["item_slots"].alias("a"), p["slots"].alias("b")))
     diagonals = (
         hits.join(F.broadcast(known) if small else known, ["h", "size"])
+        .where(F.size("slots") == F.size("item_slots"))
         .select("k", "mark", "item", "item_words", "size", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", pairs.alias("pairs"))
         .groupBy("k", "mark", "item", "item_words", "size", "diagonal")
         .agg(F.collect_set("item_at").alias("starts"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))

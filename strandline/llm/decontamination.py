@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import MEMO_WORDS, staged, table, window_hashes
+from strandline.llm.common import MEMO_WORDS, mixed, staged, table, window_hashes
 
 FACTOR = 0x9E3779B97F4A7C15
 #: Benchmark windows up to so many bytes (checked) are broadcast, as hashes and as a side of the join; beyond, all document
@@ -57,9 +57,10 @@ class Templates(dict):
         at = len(self)
         if at == len(self.h):
             self.h, self.kind, self.ends = (np.concatenate((x, x)) for x in (self.h, self.kind, self.ends))
-        core = EDGES.sub("", word)
+        letters = word.isalpha()  # most words: no marks around them and no digits
+        core = word if letters else EDGES.sub("", word)
         low = core.lower()
-        if NUMBER_FORM.fullmatch(word.strip("()[]{}\"'.,;:!?")) or low in NUMBER_WORDS:
+        if low in NUMBER_WORDS or not letters and NUMBER_FORM.fullmatch(word.strip("()[]{}\"'.,;:!?")):
             kind = NUMBER
         elif low in UNITS or word == "%":
             kind = UNIT
@@ -68,7 +69,7 @@ class Templates(dict):
         else:
             kind = LITERAL
         self.h[at], self.kind[at] = xxhash.xxh3_64_intdigest((low or word).encode("utf-8", "surrogatepass")), kind
-        self.ends[at] = word.rstrip("\"')]”’")[-1:] in (".", "!", "?", ":")
+        self.ends[at] = not letters and word.rstrip("\"')]”’")[-1:] in (".", "!", "?", ":")
         self[word] = at
         return at
 
@@ -87,9 +88,15 @@ class Templates(dict):
 
 def _window_names(h: np.ndarray, kind: np.ndarray, size: int) -> np.ndarray:
     """Name of each window of ``size`` tokens: of its template, or of its words if it is less than half literal."""
-    literal = np.concatenate(([0], np.cumsum(kind == LITERAL)))
-    template = window_hashes(np.where(kind > 0, SLOT_HASH[kind], h), size, FACTOR + 2 * size)
-    return np.where(2 * (literal[size:] - literal[:-size]) >= size, template, window_hashes(h, size, FACTOR - 2 * size))
+    slots = np.concatenate(([0], np.cumsum(kind != LITERAL)))
+    names = window_hashes(np.where(kind > 0, SLOT_HASH[kind], h), size, FACTOR + 2 * size)
+    heavy = np.flatnonzero(2 * (slots[size:] - slots[:-size]) > size)
+    if len(heavy):
+        own, by = np.zeros(len(heavy), np.uint64), np.uint64(FACTOR - 2 * size)
+        for j in range(size):
+            own = own * by + h[heavy + j]
+        names[heavy] = mixed(own)
+    return names
 
 
 def _readings(h: np.ndarray, kind: np.ndarray, unsure: np.ndarray, size: int) -> Iterator[tuple[int, int, np.ndarray]]:

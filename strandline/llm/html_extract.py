@@ -37,7 +37,7 @@ ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertisements adve
 ASIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 MAIN_WORDS = frozenset({"article-body", "article-content", "articlebody", "content", "entry-content", "main", "main-content", "maincontent", "post-body", "post-content"})
 #: Pages of a host beyond which it is cut into cells of about as many pages, and the most cells of a host.
-CELL_PAGES, MOST_CELLS = 20_000, 4096
+CELL_PAGES, MOST_CELLS = 1_000, 4096
 #: Up to so many hosts that are cut (checked) are broadcast; beyond, the join shuffles.
 BROADCAST_HOSTS = 2_000
 #: Pages to each side that may be neighbours, and as many of them are compared.

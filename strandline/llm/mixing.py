@@ -40,38 +40,39 @@ def poisson_draw(rate: Column, key: Column, seed: str) -> Column:
     return F.aggregate(F.sequence(F.lit(0), parts - 1), F.lit(0), lambda total, j: total + one(j))
 
 
-def mix(df: DataFrame, targets: Mapping[str, float] | None = None, *, power: float = 0.5, total: float | None = None, key: str = "doc_id", source: str = "source", seed: str = "mix") -> DataFrame:
+def mix(df: DataFrame, targets: Mapping[str, float] | None = None, *, power: float = 0.5, total: float | None = None, key: str = "doc_id", source: str = "source", text: str = "text", seed: str = "mix") -> DataFrame:
     """Copies of the rows so that sources have the target shares in expectation, in a global random order.
 
     targets: weight by source; a source that isn't named gets none (its rows go). None: weights are the sources' row
     counts to the ``power``. total: expected rows (default: as many as now). Adds ``replica`` (from 0) and
-    ``shuffle_key``; the frame is range-partitioned by that key and sorted in it. A row's count depends on its key, its
-    source's rate and the seed alone, so rerun tasks give the same rows. Rows with equal keys get equal counts. A null
-    key counts as empty text; rows of a null source are a source of their own. An empty table gives no rows.
+    ``shuffle_key`` (of seed, replica, key and text), in place of columns of these names; the frame is range-partitioned by
+    that key and sorted in it. A row's count depends on its key, its source's rate and the seed alone, so rerun tasks give
+    the same rows. Rows with equal keys get equal counts. A null key or text counts as empty text; rows of a null source
+    are a source of their own. An empty table gives no rows.
     """
-    own = F.col("__mix_source")
-    rows = df.withColumn("__mix_source", F.coalesce(F.col(source).cast("string"), F.lit("\u0000null")))
-    counts = rows.groupBy("__mix_source").agg(F.count(F.lit(1)).alias("__mix_n"))
+    columns = [F.col("row")[c].alias(c) for c in df.columns if c not in ("replica", "shuffle_key")]
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.coalesce(F.col(source).cast("string"), F.lit("\u0000null")).alias("own"))
+    counts = rows.groupBy("own").agg(F.count(F.lit(1)).alias("n"))
     if targets is None:
-        weighed = counts.withColumn("__mix_w", F.pow(F.col("__mix_n").cast("double"), F.lit(float(power))))
+        weighed = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(float(power))))
     else:
         if not targets or any(not w >= 0 for w in targets.values()) or not sum(targets.values()) > 0:
             raise ValueError("targets must be weights >= 0 with a positive sum")
-        named = df.sparkSession.createDataFrame([(str(k), float(v)) for k, v in targets.items()], "__mix_source string, __mix_w double")
-        weighed = counts.join(named, "__mix_source")
-    sum_w, sources = weighed.agg(F.sum("__mix_w"), F.count(F.lit(1))).first()
+        named = df.sparkSession.createDataFrame([(str(k), float(v)) for k, v in targets.items()], "own string, w double")
+        weighed = counts.join(named, "own")
+    sum_w, sources = weighed.agg(F.sum("w"), F.count(F.lit(1))).first()
     expected = float(total) if total is not None else float(rows.count())
-    rates = weighed.select("__mix_source", F.round(F.col("__mix_w") / F.lit(sum_w or 1.0) * F.lit(expected) / F.col("__mix_n"), 9).alias("__mix_rate"))
+    rates = weighed.select("own", F.round(F.col("w") / F.lit(sum_w or 1.0) * F.lit(expected) / F.col("n"), 9).alias("rate"))
     if sources <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    name = F.coalesce(F.col("row")[key].cast("string"), F.lit(""))
+    body = F.coalesce(F.col("row")[text].cast("string"), F.lit("")) if text in df.columns else F.lit("")
     copies = (
-        rows.join(rates, "__mix_source")
-        .withColumn("__mix_k", poisson_draw(F.col("__mix_rate"), name, seed))
-        .where(F.col("__mix_k") > 0)
-        .withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("__mix_k") - 1)))
-        .drop("__mix_source", "__mix_rate", "__mix_k")
-        .withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(seed), F.col("replica").cast("string"), name).cast("binary")))
+        rows.join(rates, "own")
+        .withColumn("copies", poisson_draw(F.col("rate"), name, seed))
+        .where(F.col("copies") > 0)
+        .select("row", F.md5(body.cast("binary")).alias("digest"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("replica"))
+        .select(*columns, "replica", F.md5(F.concat_ws("|", F.lit(seed), F.col("replica").cast("string"), name, "digest").cast("binary")).alias("shuffle_key"))
     )
     return copies.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key", "replica")
 
@@ -99,4 +100,4 @@ drawn AS (
 SELECT {columns} FROM (SELECT *, unnest(range(k)) AS rep FROM drawn WHERE k > 0)"""
 
 
-ORACLE_SQL = mix_sql("documents", "doc_id, source, rep::INTEGER AS replica, md5('mix|' || rep || '|' || mix_name) AS shuffle_key, text")
+ORACLE_SQL = mix_sql("documents", "doc_id, source, rep::INTEGER AS replica, md5('mix|' || rep || '|' || mix_name || '|' || md5(coalesce(text, ''))) AS shuffle_key, text")

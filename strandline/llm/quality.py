@@ -105,14 +105,19 @@ def _bin(cuts: Sequence[float], value: Column) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut <= value))
 
 
-def learn_rules(labelled: DataFrame, features: Sequence[str], bad: str, key: str, *, quantiles: int = 24, max_rules: int = 8, max_conditions: int = 3, least_cover: int = 8, least_precision: float = 0.95) -> list[Rule]:
+def learn_rules(labelled: DataFrame, features: Sequence[str], bad: str, key: str, *, quantiles: int = 24, max_rules: int = 8, max_conditions: int = 3, least_cover: int = 8, least_precision: float = 0.95, most_for_cuts: int = 200_000) -> list[Rule]:
     """Ordered rules for rows with ``bad`` true, from all labelled rows. No labels, or none bad: no rules.
 
+    Thresholds are exact quantiles; of more than about ``most_for_cuts`` labelled rows, those of a sample of as many that a
+    hash of the key picks. All rows count towards the rules themselves.
+
     A rule must cover ``least_cover`` bad rows of those it grew on and be right for ``least_precision`` of the rows it
     covers on the held-back third (where that third has any).
     """
     points = F.array(*[F.lit(i / quantiles) for i in range(quantiles + 1)])
-    found = labelled.agg(*[F.percentile_approx(F.when(F.col(bad) == F.lit(side), F.col(f).cast("double")), points, F.lit(10_000)).alias(f"{f}_{int(side)}") for f in features for side in (True, False)]).first()
+    every = max(1, math.ceil(labelled.count() / most_for_cuts))
+    sample = labelled.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("cuts")), F.lit(every)) == 0)
+    found = sample.agg(*[F.percentile(F.when(F.col(bad) == F.lit(side), F.col(f).cast("double")), points).alias(f"{f}_{int(side)}") for f in features for side in (True, False)]).first()
     cuts = {f: sorted({*(found[f"{f}_1"] or []), *(found[f"{f}_0"] or [])}) for f in features}
     bins = [F.struct(F.lit(i).alias("feature"), _bin(cuts[f], F.col(f)).alias("bin")) for i, f in enumerate(features) if cuts[f]]
     if not bins:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import table
+from strandline.llm.common import staged, table
 
 #: Records of one shard that are numbered together in one task.
 ROWS_PER_RANGE = 20_000
@@ -35,19 +35,31 @@ def rendezvous(key: Column, weights: Sequence[float], seed: int = 0, first: int
     return F.array_min(F.array(*scores))
 
 
-def assign_shards(df: DataFrame, key: str, weights: Sequence[float], *, text: str = "text", seed: int = 0, grown_by: float | None = None) -> DataFrame:
+def assign_shards(df: DataFrame, key: str, weights: Sequence[float], *, text: str = "text", seed: int = 0, grown_by: float | None = None, keep: Sequence[str] = (), spread: bool = False) -> DataFrame:
     """Shard, gapless slot and digest columns for each record; returns key, size, text_crc32, law, shard, slot, grown_shard.
 
-    A null key counts as the empty string; a null text as empty (size 1, checksum 0). Equal keys share a shard; rows that
-    are equal in key, checksum and size get consecutive slots. An empty table gives no rows; other columns, whatever
-    their names, are not read. Slots follow the MD5 of the key, so a shard is numbered in ranges of that digest: counts
-    by range give each range's first slot, and no task numbers a whole shard.
+    A null key counts as the empty string; a null text as empty (size 1, checksum 0). Equal keys share a shard. Slots
+    follow a digest of key, checksum and size, so rows equal in these get consecutive slots; with ``spread`` such rows are
+    numbered and their numbers enter the digest, so copies of a row lie anywhere in the shard. keep: columns of ``df``
+    returned as well; names of the columns above aren't allowed there. Other columns, whatever their names, are not read.
+    An empty table gives no rows. A shard is numbered in ranges of the digest: counts by range give each range's first
+    slot, and no task numbers a whole shard.
     """
+    clash = {key, "size", "text_crc32", "law", "shard", "slot", "grown_shard"} & set(keep)
+    if clash:
+        raise ValueError(f"columns that can't be kept: {sorted(clash)}")
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     ranges = max(1, math.ceil(df.count() / (len(weights) * ROWS_PER_RANGE)))
+    kept = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None).cast("int")
+    rows = df.select(F.col(key).alias("k"), name.alias("name"), (F.octet_length(body) + 1).cast("bigint").alias("size"), F.crc32(body).alias("crc"), kept.alias("kept"))
+    what = ["name", F.col("crc").cast("string"), F.col("size").cast("string")]
+    if spread:
+        copies = Window.partitionBy("name", "crc", "size").orderBy("k")
+        rows = rows.withColumn("copy", F.row_number().over(copies))
+        what.append(F.col("copy").cast("string"))
     rows = (
-        df.select(F.col(key).alias("k"), name.alias("name"), (F.octet_length(body) + 1).cast("bigint").alias("size"), F.crc32(body).alias("crc"), F.md5(name.cast("binary")).alias("digest"))
+        rows.withColumn("digest", F.md5(F.concat_ws("|", *what).cast("binary")))
         .withColumn("best", rendezvous(F.col("name"), weights, seed))
         .withColumn("part", F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("bigint") * F.lit(ranges) / F.lit(2**32)).cast("int"))
     )
@@ -56,12 +68,13 @@ def assign_shards(df: DataFrame, key: str, weights: Sequence[float], *, text: st
         new = F.col("newcomer")
         rows = rows.withColumn("newcomer", rendezvous(F.col("name"), [grown_by], seed, first=len(weights)))
         grown = F.when(new["score"] < F.col("best")["score"], new["shard"]).otherwise(F.col("best")["shard"])
-    rows = rows.withColumn("shard", F.col("best")["shard"]).withColumn("grown_shard", grown).drop("best", "newcomer", "name")
+    # written once: the scores would be worked out again for the counts
+    rows = staged(rows.select("k", "size", "crc", "kept", "digest", "part", F.col("best")["shard"].alias("shard"), grown.alias("grown_shard")), "shards")
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n")).select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     within = Window.partitionBy("shard", "part").orderBy("digest", "k", "crc", "size")
     return rows.join(starts, ["shard", "part"]).select(
-        F.col("k").alias(key), "size", F.col("crc").alias("text_crc32"), F.lit("key").alias("law"), "shard",
+        F.col("k").alias(key), *[F.col("kept")[c].alias(c) for c in keep], "size", F.col("crc").alias("text_crc32"), F.lit("key").alias("law"), "shard",
         (F.col("start") + F.row_number().over(within) - 1).cast("bigint").alias("slot"), "grown_shard",
     )
 
@@ -85,11 +98,11 @@ WITH crc_table AS (
 ), picked AS (
   SELECT name, arg_min(j, score) FILTER (WHERE j < {shards}) AS shard, arg_min(j, score) AS grown_shard FROM scored GROUP BY name
 ), measured AS (
-  SELECT doc_id, b.name, p.shard, p.grown_shard, strlen(body)::BIGINT + 1 AS size,
+  SELECT doc_id, b.name AS name, p.shard, p.grown_shard, strlen(body)::BIGINT + 1 AS size,
     xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(body)), '..'), lambda x: ('0x' || x)::BIGINT)),
       lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
   FROM base b JOIN picked p USING (name), crc_table
 )
 SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
-  (row_number() OVER (PARTITION BY shard ORDER BY md5(name), doc_id, text_crc32, size) - 1)::BIGINT AS slot, grown_shard::INTEGER AS grown_shard
+  (row_number() OVER (PARTITION BY shard ORDER BY md5(name || '|' || text_crc32 || '|' || size), doc_id, text_crc32, size) - 1)::BIGINT AS slot, grown_shard::INTEGER AS grown_shard
 FROM measured"""

@@ -44,11 +44,11 @@ def test_query_equals_sql(spark, name):
     assert sorted(tuple(str(r[c]) for c in columns) for r in df.collect()) == sorted(tuple(map(str, r)) for r in want)
 
 
-def near_reference(docs):
+def near_reference(docs, size=3, percent=85):
     sets = {}
     for i, t in docs:
         w = [x.lower() for x in words(t)]
-        sets[i] = {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
+        sets[i] = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set())
     least = {i: i for i in sets}
 
     def find(x):
@@ -60,7 +60,7 @@ def near_reference(docs):
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = find(a), find(b)
                 least[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in ids}

@@ -1,10 +1,16 @@
-"""Token counts without tokens: a segmentation's score and number of pieces, carried together, by the file's own model.
+"""Token counts without tokens: dynamic programming over vocabulary matches carries a score and a number of pieces.
 
-A file of merges (BPE) joins, of all neighbours whose joint piece it knows, the pair of the best score, leftmost first,
-until none is left; characters without a piece count as their UTF-8 bytes. A unigram file takes the best path: an Aho-Corasick automaton of the vocabulary lists, for each position, the pieces that end there, longest first; the best
-path to a position is the first of the best candidates, that is the one whose last piece starts earliest, as unigram
-tokenizers break ties. A character that no one-character piece covers may be unknown, at the least score less 10, and
-counts as its UTF-8 bytes. Words are segmented once and remembered, as far as no piece crosses the start of a word.
+An Aho-Corasick automaton of the vocabulary lists, for each position of a text, the pieces that end there, longest first.
+Which of them ends the best path to the position is the tokenizer's own rule, by the kind of its file:
+
+* Unigram: the best score; among equal ones the piece that starts earliest. A character that no one-character piece covers
+  may be unknown, at the least score less 10.
+* Merges (BPE): the piece that stays apart from the one before it, that is, whose merges with it in the order of their
+  scores, leftmost first, end in just these two pieces. There is exactly one. A sequence of pieces is what all merges of a
+  text leave if and only if each two neighbours stay apart, so the path is the tokenizer's. Pairs are judged once.
+
+Unknown characters count as their UTF-8 bytes. Words are segmented once and remembered, as far as no piece crosses the
+start of a word.
 """
 
 from __future__ import annotations
@@ -103,11 +109,14 @@ class MergeCounter(Counter):
     def __init__(self, vocabulary: Vocabulary) -> None:
         if not vocabulary.byte_fallback:
             raise ValueError("merges without byte pieces aren't supported")
-        super().__init__(vocabulary)
         self.scores = dict(vocabulary.pieces)
+        # a piece that its own merges don't end in never stands in a text
+        whole = tuple((p, v) for p, v in vocabulary.pieces if self.merged(p) == [p])
+        super().__init__(Vocabulary(whole, vocabulary.least, True, True))
+        self.pairs: dict[tuple[str, str], bool] = {}
 
-    def best(self, segment: str) -> tuple[int, float]:
-        """Number of pieces and score after all merges of a segment."""
+    def merged(self, segment: str) -> list[str]:
+        """What is left of a segment's characters after all merges."""
         size, scores = len(segment), self.scores
         parts, after, before = list(segment), list(range(1, size + 1)), list(range(-1, size - 1))
         waiting: list[tuple[float, int, int]] = []  # less score, start and length of a joint piece
@@ -132,15 +141,53 @@ class MergeCounter(Counter):
                 offer(i, after[i])
             if before[i] >= 0:
                 offer(before[i], i)
-        known = [scores.get(p) for p in parts if p]
-        n_bytes = sum(len(p.encode("utf-8", "surrogatepass")) for p in parts if p and p not in scores)
-        return sum(v is not None for v in known) + n_bytes, float(sum(v for v in known if v is not None))
+        return [p for p in parts if p]
+
+    def apart(self, one: str, two: str) -> bool:
+        """Whether two neighbours stay apart. A character that is no piece has no merges; nothing is before a start."""
+        if not one or len(one) == 1 and one not in self.scores:
+            return True
+        got = self.pairs.get((one, two))
+        if got is None:
+            got = self.merged(one + two) == [one, two]
+            if len(self.pairs) < MEMO_WORDS:
+                self.pairs[one, two] = got
+        return got
+
+    def best(self, segment: str) -> tuple[int, float]:
+        """Number of pieces and score of the one path of neighbours that stay apart."""
+        size = len(segment)
+        last, count, score = [""] * (size + 1), [0] * (size + 1), [0.0] * (size + 1)
+        reached = bytearray(size + 1)
+        reached[0] = 1
+        for end, (length, value) in self.found.iter(segment):
+            to, at = end + 1, end + 1 - length
+            if reached[to] or not self._reach(segment, at, reached, last, count, score):
+                continue
+            piece = segment[at:to]
+            if self.apart(last[at], piece):
+                reached[to], last[to], count[to], score[to] = 1, piece, count[at] + 1, score[at] + value
+        self._reach(segment, size, reached, last, count, score)
+        return count[size], score[size]
+
+    def _reach(self, segment: str, to: int, reached: bytearray, last: list[str], count: list[int], score: list[float]) -> bool:
+        """Whether a path ends at ``to``; characters that are no pieces, if such are before it, go as bytes."""
+        at = to
+        while not reached[at] and segment[at - 1] not in self.scores:
+            at -= 1
+        if not reached[at]:
+            return False
+        for i in range(at, to):
+            last[i + 1], count[i + 1], score[i + 1] = segment[i], count[i] + len(segment[i].encode("utf-8", "surrogatepass")), score[i]
+            reached[i + 1] = 1
+        return True
 
 
 def count_tokens(df: DataFrame, vocabulary: Vocabulary, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens and score (of the vocabulary's segmentation) of each whole text.
 
-    Null and empty texts have no tokens and score 0. Repeated rows are counted each; a null key is returned as it is. A
+    For a file of merges n_tokens is the number of ids that the file's library encodes the text in, for a unigram file
+    that of its model without normalisation of the text. Null and empty texts have no tokens and score 0. Repeated rows are counted each; a null key is returned as it is. A
     very long word is segmented in one pass, in memory linear in its length. An empty table gives no rows; other columns
     are not read. The vocabulary is broadcast (a tokenizer's file, about a megabyte).
     """

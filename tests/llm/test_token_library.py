@@ -28,7 +28,9 @@ def test_query_counts_as_the_library(spark):
     library = _library()
     got = token_count.query(spark, SF).collect()
     assert len(got) == len(texts)
-    assert {r["doc_id"]: r["n_tokens"] for r in got} == {k: len(library.encode(t or "")) for k, t in texts.items()}
+    ids = {k: library.encode(t or "") for k, t in texts.items()}
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {k: len(x) for k, x in ids.items()}
+    assert all(r["score"] == pytest.approx(sum(0.0 if library.is_byte(i) else library.get_score(i) for i in ids[r["doc_id"]]), rel=1e-9) for r in got)
 
 
 @settings(max_examples=300, deadline=None)
@@ -39,6 +41,13 @@ def test_merges_of_odd_texts(text):
     assert n == len(pieces) and abs(score - sum(map(_library().get_score, pieces))) < 1e-3
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(range(3, 32_000)), min_size=1, max_size=6))
+def test_merges_of_joined_pieces(ids):
+    text = "".join(_library().id_to_piece(i) for i in ids if not _library().is_byte(i)).replace("▁", " ")
+    assert _merges()(text)[0] == len(_library().encode(text))
+
+
 @functools.cache
 def _merges():
     return token_count.MergeCounter(token_count.Vocabulary.from_sentencepiece(TOKENIZER))

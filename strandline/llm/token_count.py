@@ -60,7 +60,7 @@ class Counter:
         self.unknown, self.bytes = vocabulary.least - UNKNOWN_PENALTY, vocabulary.byte_fallback
         self.found = ahocorasick.Automaton()
         for piece, score in vocabulary.pieces:
-            self.found.add_word(piece, (len(piece), score))
+            self.found.add_word(piece, (len(piece), score, piece))
         self.found.make_automaton()
         crosses = any(SPACE in p.lstrip(SPACE) for p, _ in vocabulary.pieces)
         lines = any("\n" in p for p, _ in vocabulary.pieces)
@@ -73,7 +73,7 @@ class Counter:
         size = len(segment)
         score, count, single = [0.0] + [float("-inf")] * size, [0] * (size + 1), bytearray(size + 1)
         matches = self.found.iter(segment)
-        end, (length, value) = next(matches, (size, (0, 0.0)))
+        end, (length, value, _) = next(matches, (size, (0, 0.0, "")))
         for at in range(size):
             to, top, n = at + 1, float("-inf"), 0
             while end == at:
@@ -81,7 +81,7 @@ class Counter:
                     single[to] = 1
                 if score[to - length] + value > top:
                     top, n = score[to - length] + value, count[to - length] + 1
-                end, (length, value) = next(matches, (size, (0, 0.0)))
+                end, (length, value, _) = next(matches, (size, (0, 0.0, "")))
             if not single[to] and score[at] + self.unknown > top:
                 top, n = score[at] + self.unknown, count[at] + (len(segment[at].encode("utf-8", "surrogatepass")) if self.bytes else 1)
             score[to], count[to] = top, n
@@ -113,6 +113,9 @@ class MergeCounter(Counter):
         # a piece that its own merges don't end in never stands in a text
         whole = tuple((p, v) for p, v in vocabulary.pieces if self.merged(p) == [p])
         super().__init__(Vocabulary(whole, vocabulary.least, True, True))
+        self.characters = frozenset(p for p, _ in whole if len(p) == 1)
+        if not all(self.characters.issuperset(p) for p, _ in whole):
+            raise ValueError("merges of characters that are no pieces aren't supported")
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def merged(self, segment: str) -> list[str]:
@@ -144,44 +147,45 @@ class MergeCounter(Counter):
         return [p for p in parts if p]
 
     def apart(self, one: str, two: str) -> bool:
-        """Whether two neighbours stay apart. A character that is no piece has no merges; nothing is before a start."""
-        if not one or len(one) == 1 and one not in self.scores:
-            return True
-        got = self.pairs.get((one, two))
-        if got is None:
-            got = self.merged(one + two) == [one, two]
-            if len(self.pairs) < MEMO_WORDS:
-                self.pairs[one, two] = got
+        """Whether two neighbouring pieces stay apart."""
+        got = self.merged(one + two) == [one, two]
+        if len(self.pairs) < MEMO_WORDS:
+            self.pairs[one, two] = got
         return got
 
     def best(self, segment: str) -> tuple[int, float]:
         """Number of pieces and score of the one path of neighbours that stay apart."""
-        size = len(segment)
-        last, count, score = [""] * (size + 1), [0] * (size + 1), [0.0] * (size + 1)
-        reached = bytearray(size + 1)
-        reached[0] = 1
-        for end, (length, value) in self.found.iter(segment):
-            to, at = end + 1, end + 1 - length
-            if reached[to] or not self._reach(segment, at, reached, last, count, score):
+        if self.characters.issuperset(segment):
+            return self.path(segment)
+        # a character that is no piece has no merges, so what is between such is apart from the rest
+        total, score, run = 0, 0.0, []
+        for c in [*segment, None]:
+            if c is not None and c in self.characters:
+                run.append(c)
+                continue
+            n, value = self.path("".join(run))
+            total, score, run = total + n + (len(c.encode("utf-8", "surrogatepass")) if c else 0), score + value, []
+        return total, score
+
+    def path(self, segment: str) -> tuple[int, float]:
+        size, pairs = len(segment), self.pairs
+        last: list[str | None] = [""] + [None] * size
+        count, score = [0] * (size + 1), [0.0] * (size + 1)
+        for end, (length, value, piece) in self.found.iter(segment):
+            to = end + 1
+            if last[to] is not None:
                 continue
-            piece = segment[at:to]
-            if self.apart(last[at], piece):
-                reached[to], last[to], count[to], score[to] = 1, piece, count[at] + 1, score[at] + value
-        self._reach(segment, size, reached, last, count, score)
+            at = to - length
+            before = last[at]
+            if before is None:
+                continue
+            if before:
+                stay = pairs.get((before, piece))
+                if not (self.apart(before, piece) if stay is None else stay):
+                    continue
+            last[to], count[to], score[to] = piece, count[at] + 1, score[at] + value
         return count[size], score[size]
 
-    def _reach(self, segment: str, to: int, reached: bytearray, last: list[str], count: list[int], score: list[float]) -> bool:
-        """Whether a path ends at ``to``; characters that are no pieces, if such are before it, go as bytes."""
-        at = to
-        while not reached[at] and segment[at - 1] not in self.scores:
-            at -= 1
-        if not reached[at]:
-            return False
-        for i in range(at, to):
-            last[i + 1], count[i + 1], score[i + 1] = segment[i], count[i] + len(segment[i].encode("utf-8", "surrogatepass")), score[i]
-            reached[i + 1] = 1
-        return True
-
 
 def count_tokens(df: DataFrame, vocabulary: Vocabulary, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_tokens and score (of the vocabulary's segmentation) of each whole text.

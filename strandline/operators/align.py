@@ -9,6 +9,8 @@ from enum import Enum
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators import rolling as R
+
 
 class OvernightStrategy(Enum):
     RESET = "reset"
@@ -44,7 +46,7 @@ def as_of(grid: DataFrame, obs: DataFrame, *, keys: Sequence[str], grid_us: str,
     """For each grid row the last observation at or before it: adds ``values`` and ``valid``.
 
     Later rows by ``order`` win among equal times; null values carry as values. One shuffle and one sort of both sides:
-    the observations are put among the grid rows and filled forward.
+    the observations are put among the grid rows and filled forward, in spans of time if a series is long.
     """
     carried = [c for c in grid.columns if c not in (*keys, grid_us)]
     value = F.struct(*values)
@@ -52,8 +54,8 @@ def as_of(grid: DataFrame, obs: DataFrame, *, keys: Sequence[str], grid_us: str,
     left = obs.select(*keys, F.col(obs_us).alias("__t"), F.lit(0).alias("__kind"), F.struct(*order_cols).alias("__seq"), value.alias("__v"), *[F.lit(None).cast(grid.schema[c].dataType).alias(c) for c in carried])
     none = left.schema
     right = grid.select(*keys, F.col(grid_us).alias("__t"), F.lit(1).alias("__kind"), F.lit(None).cast(none["__seq"].dataType).alias("__seq"), F.lit(None).cast(none["__v"].dataType).alias("__v"), *carried)
-    w = Window.partitionBy(*keys).orderBy("__t", "__kind", "__seq").rowsBetween(Window.unboundedPreceding, 0)
-    filled = left.unionByName(right).withColumn("__v", F.last("__v", ignorenulls=True).over(w)).where("__kind = 1")
+    rows = left.unionByName(right)
+    filled = R.last_known(rows, keys, ["__t", "__kind", "__seq"], F.col("__t"), F.col("__v"), "__last", cut=R.is_long(obs, keys)).where("__kind = 1").drop("__v").withColumnRenamed("__last", "__v")
     return filled.select(*keys, F.col("__t").alias(grid_us), *carried, *[F.col("__v")[c].alias(c) for c in values], F.col("__v").isNotNull().alias("valid"))
 
 
@@ -87,16 +89,24 @@ def valid_mask(strategy: OvernightStrategy, valid: Column, price: Column) -> Col
     return valid if strategy is OvernightStrategy.INTERPOLATE else valid & price.isNotNull()
 
 
-def longest_valid_run(df: DataFrame, *, keys: Sequence[str], index: str, valid: str, least_valid: float = 0.8) -> DataFrame:
-    """First longest run of valid rows as half-open [run_start, run_end); nulls if it is under the share of all rows."""
-    w = Window.partitionBy(*keys).orderBy(index)
-    islands = df.withColumn("__island", F.col(index) - F.row_number().over(Window.partitionBy(*keys, valid).orderBy(index)))
-    runs = islands.where(F.col(valid)).groupBy(*keys, "__island").agg(F.min(index).alias("s"), F.count(F.lit(1)).alias("len"))
-    best = runs.groupBy(*keys).agg(F.max_by(F.struct("s", "len"), F.struct("len", -F.col("s"))).alias("b"))
+def longest_valid_run(df: DataFrame, *, keys: Sequence[str], index: str, valid: str, least_valid: float = 0.8, chunk: int | None = None) -> DataFrame:
+    """First longest run of valid rows as half-open [run_start, run_end); nulls if it is under the share of all rows.
+
+    Runs are found in chunks of rows; those that touch the edge of a chunk are joined to their neighbours.
+    """
+    keys, chunk = list(keys), chunk or R.CHUNK_ROWS
+    rows = df.withColumn("__chunk", F.floor(F.col(index) / F.lit(chunk)))
+    islands = rows.withColumn("__island", F.col(index) - F.row_number().over(Window.partitionBy(*keys, "__chunk", valid).orderBy(index)))
+    runs = islands.where(F.col(valid)).groupBy(*keys, "__chunk", "__island").agg(F.min(index).alias("s"), F.count(F.lit(1)).alias("len")).select(*keys, "s", "len")
+    at_edge = (F.col("s") % chunk == 0) | ((F.col("s") + F.col("len")) % chunk == 0)
+    w = Window.partitionBy(*keys).orderBy("s")
+    opens = F.coalesce(F.col("s") != F.lag(F.col("s") + F.col("len")).over(w), F.lit(True)).cast("int")
+    edge = runs.where(at_edge).withColumn("__opens", opens).withColumn("__run", F.sum("__opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = edge.groupBy(*keys, "__run").agg(F.min("s").alias("s"), F.sum("len").alias("len")).select(*keys, "s", "len")
+    best = runs.where(~at_edge).unionByName(joined).groupBy(*keys).agg(F.max_by(F.struct("s", "len"), F.struct("len", -F.col("s"))).alias("b"))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     enough = F.col("b.len") / F.col("__n") >= least_valid
-    del w
-    return sizes.join(best, list(keys), "left").select(*keys, F.when(enough, F.col("b.s")).alias("run_start"), F.when(enough, F.col("b.s") + F.col("b.len")).alias("run_end"))
+    return sizes.join(best, keys, "left").select(*keys, F.when(enough, F.col("b.s")).alias("run_start"), F.when(enough, F.col("b.s") + F.col("b.len")).alias("run_end"))
 
 
 def band_join(left: DataFrame, right: DataFrame, *, keys: Sequence[str], left_us: str, right_us: str, band_us: int, how: str = "inner") -> DataFrame:

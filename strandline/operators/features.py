@@ -1,6 +1,7 @@
 """Price, volatility and order-flow features of ordered tick series.
 
-Missing is null. A feature of n rows is null until n rows exist. Columns are named by window, see ``*_names``.
+Missing is null, and NaN counts as missing. A feature of n rows is null until n rows exist. Columns are named by window, see
+``names`` of the configurations. Long series are cut, see :mod:`strandline.operators.rolling`.
 """
 
 from __future__ import annotations
@@ -125,25 +126,49 @@ def arrival_rate(w: WindowSpec, seconds: Column, n: int) -> Column:
 
 def price_features(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], cfg: PriceConfig = PriceConfig(), price: str = "price", volume: str = "volume") -> DataFrame:
     """Adds the columns of ``cfg.names()``, all over one sort; a window shorter than the interval gives nulls."""
-    w, p, v = R.series(keys, order), F.col(price).cast("double"), F.col(volume).cast("double")
-    out = {f"log_return_{s}s": log_return(w, p, s // cfg.sample_interval) if s >= cfg.sample_interval else F.lit(None).cast("double") for s in cfg.return_windows}
-    return df.withColumns(out | {"vwap_deviation": vwap_deviation(w, p, v, cfg.vwap_window)})
+    p, v = R.clean(F.col(price).cast("double")), R.clean(F.col(volume).cast("double"))
+
+    def add(rows: DataFrame, keys: list[str]) -> DataFrame:
+        w = R.series(keys, order)
+        out = {f"log_return_{s}s": log_return(w, p, s // cfg.sample_interval) if s >= cfg.sample_interval else F.lit(None).cast("double") for s in cfg.return_windows}
+        return rows.withColumns(out | {"vwap_deviation": vwap_deviation(w, p, v, cfg.vwap_window)})
+
+    return R.by_series(df, keys, order, max(*cfg.return_windows, cfg.vwap_window), add)
 
 
 def volatility_features(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], cfg: VolatilityConfig = VolatilityConfig(), price: str = "price", iv: str | None = None) -> DataFrame:
     """Adds the columns of ``cfg.names()``; spread and vol-of-vol use the first window, no iv column gives a null spread."""
-    w = R.series(keys, order)
-    rows = {f"rv_{s}s": s // cfg.sample_interval for s in cfg.windows}
-    step = df.withColumn("__r", log_return(w, F.col(price).cast("double"), 1))
-    step = step.withColumns({c: realized_volatility(w, F.col("__r"), n, cfg.annualization) if n >= 2 else F.lit(None).cast("double") for c, n in rows.items()})
-    first = F.col(next(iter(rows)))
-    return step.withColumns({"iv_rv_spread": (F.col(iv) - first) if iv else F.lit(None).cast("double"), "vol_of_vol": vol_of_vol(w, first, cfg.vol_of_vol_window)}).drop("__r")
+    rows_of = {f"rv_{s}s": s // cfg.sample_interval for s in cfg.windows}
+    first = F.col(next(iter(rows_of)))
+
+    def add(rows: DataFrame, keys: list[str]) -> DataFrame:
+        w = R.series(keys, order)
+        step = rows.withColumn("__r", log_return(w, R.clean(F.col(price).cast("double")), 1))
+        step = step.withColumns({c: realized_volatility(w, F.col("__r"), n, cfg.annualization) if n >= 2 else F.lit(None).cast("double") for c, n in rows_of.items()})
+        return step.withColumns({"iv_rv_spread": (R.clean(F.col(iv).cast("double")) - first) if iv else F.lit(None).cast("double"), "vol_of_vol": vol_of_vol(w, first, cfg.vol_of_vol_window)}).drop("__r")
+
+    return R.by_series(df, keys, order, max(cfg.windows) + 1 + cfg.vol_of_vol_window, add)
 
 
 def order_flow_features(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], cfg: OrderFlowConfig = OrderFlowConfig(), price: str = "price", size: str = "size", time: str = "time") -> DataFrame:
     """Adds ``direction`` and the columns of ``cfg.names()``."""
-    w = R.series(keys, order)
-    step = df.withColumn("__before", F.lag(F.col(price)).over(w)).withColumn("direction", trade_direction(w, F.col(price), F.col("__before"))).drop("__before")
-    n = cfg.imbalance_window
-    step = step.withColumns({"trade_imbalance": trade_imbalance(w, F.col("direction"), F.col(size), n), "__q": rolling_quantiles(w, F.col(size), n, cfg.quantiles), "arrival_rate": arrival_rate(w, F.unix_micros(time) / F.lit(1e6), cfg.arrival_window)})
-    return step.withColumns({f"size_q{int(q * 100)}": F.get("__q", F.lit(i)) for i, q in enumerate(cfg.quantiles)}).drop("__q")
+    p, n, long = R.clean(F.col(price).cast("double")), cfg.imbalance_window, R.is_long(df, keys)
+    amount = R.clean(F.col(size).cast("double"))
+
+    def add_before(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return rows.withColumn("__before", F.lag(p).over(R.series(keys, order)))
+
+    def add(rows: DataFrame, keys: list[str]) -> DataFrame:
+        w = R.series(keys, order)
+        step = rows.withColumns({"trade_imbalance": trade_imbalance(w, F.col("direction"), amount, n), "__q": rolling_quantiles(w, amount, n, cfg.quantiles), "arrival_rate": arrival_rate(w, F.unix_micros(time) / F.lit(1e6), cfg.arrival_window)})
+        return step.withColumns({f"size_q{int(q * 100)}": F.get("__q", F.lit(i)) for i, q in enumerate(cfg.quantiles)}).drop("__q")
+
+    if not long:
+        step = add_before(df, list(keys))
+        return add(step.withColumn("direction", trade_direction(R.series(keys, order), p, F.col("__before"))).drop("__before"), list(keys))
+    first, *rest = order
+    indexed = R.with_row_index(df, keys, first, rest, name="__index")
+    sign = F.signum(p - F.col("__before"))
+    known = R.last_known(R.in_chunks(indexed, keys, "__index", 1, add_before), keys, order, F.unix_micros(first), F.when(sign != 0, sign), "__sign", cut=True)
+    step = known.withColumn("direction", F.coalesce("__sign", F.lit(0.0)).cast("int")).drop("__before", "__sign")
+    return R.in_chunks(step, keys, "__index", max(n, cfg.arrival_window), add).drop("__index")

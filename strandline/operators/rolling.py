@@ -1,4 +1,9 @@
-"""Row frames over ordered series, gated until full; long frames as differences of running sums."""
+"""Row frames over ordered series, gated until full; long frames as differences of running sums.
+
+A series is worked through in one task while it is short (the length is checked). A longer one is cut into chunks of rows
+with a halo, or into spans of time with the last known value carried from span to span, so one symbol with a third of all
+ticks spreads over many tasks, and running sums start anew in each chunk.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +16,10 @@ from pyspark.sql.window import WindowSpec
 
 #: Longest frame that is summed directly; Spark walks a sliding frame anew for each row.
 DIRECT_ROWS = 60
+#: Rows of a series beyond which it is cut, and rows of a chunk.
+CHUNK_ROWS = 1_000_000
+#: Time of a span, in microseconds.
+SPAN_US = 86_400_000_000
 
 
 def clean(x: Column) -> Column:
@@ -60,7 +69,7 @@ def rolling_std(w: WindowSpec, n: int, x: Column) -> Column:
     return F.sqrt(F.greatest(rolling_sum(w, n, x * x) / F.nullif(count, F.lit(0)) - mean * mean, F.lit(0.0)))
 
 
-def with_row_index(df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], *, span_us: int = 86_400_000_000, name: str = "row_index") -> DataFrame:
+def with_row_index(df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], *, span_us: int = SPAN_US, name: str = "row_index") -> DataFrame:
     """0-based position in the series by (time, order), numbered in time spans so that no task sorts a whole series."""
     spanned = df.withColumn("__span", F.floor(F.unix_micros(time) / F.lit(span_us)))
     starts = Window.partitionBy(*keys).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
@@ -69,20 +78,53 @@ def with_row_index(df: DataFrame, keys: Sequence[str], time: str, order: Sequenc
     return spanned.join(counts, [*keys, "__span"]).withColumn(name, F.col("__start") + F.row_number().over(within) - 1).drop("__span", "__start")
 
 
-def in_chunks(df: DataFrame, keys: Sequence[str], index: str, halo: int, feature: Callable[[DataFrame, list[str]], DataFrame], *, chunk: int = 1_000_000) -> DataFrame:
-    """``feature(df, keys)`` of row frames up to ``halo`` + 1 rows, with long series cut into chunks of ``chunk`` rows.
+def in_chunks(df: DataFrame, keys: Sequence[str], index: str, halo: int, feature: Callable[[DataFrame, list[str]], DataFrame], *, chunk: int | None = None, ahead: int = 0) -> DataFrame:
+    """``feature(df, keys)`` of row frames of up to ``halo`` rows back and ``ahead`` rows on, with series cut into chunks.
 
-    The last ``halo`` rows of a chunk are copied to the next one and dropped after, so one very long series spreads over
-    many tasks and each row still sees its whole frame. Needs the position column ``index``.
+    The last ``halo`` rows of a chunk are copied to the next one, the first ``ahead`` to the one before, and the copies'
+    results dropped, so one very long series spreads over many tasks and each row still sees its whole frame. Needs the
+    position column ``index``, from 0, and keeps it.
     """
-    if not 0 <= halo <= chunk:
-        raise ValueError("halo must be 0 to chunk")
+    chunk = chunk or CHUNK_ROWS
+    if not 0 <= halo <= chunk or not 0 <= ahead <= chunk:
+        raise ValueError("halo and ahead must be 0 to chunk")
     at = F.floor(F.col(index) / F.lit(chunk))
     rest = F.col(index) % F.lit(chunk)
-    placed = df.withColumn("__chunk", F.explode(F.when(rest >= chunk - halo, F.array(at, at + 1)).otherwise(F.array(at))))
+    own = [at, F.when(rest >= chunk - halo, at + 1), F.when((rest < ahead) & (at > 0), at - 1)]
+    placed = df.withColumn("__chunk", F.explode(F.array_compact(F.array(*own)) if halo or ahead else F.array(at)))
     return feature(placed, [*keys, "__chunk"]).where(F.floor(F.col(index) / F.lit(chunk)) == F.col("__chunk")).drop("__chunk")
 
 
+def is_long(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether a series has more than CHUNK_ROWS rows; counts the keys."""
+    return (df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > CHUNK_ROWS
+
+
+def by_series(df: DataFrame, keys: Sequence[str], order: Sequence[str], halo: int, feature: Callable[[DataFrame, list[str]], DataFrame], *, ahead: int = 0) -> DataFrame:
+    """``feature(df, keys)`` of row frames, in chunks if a series is long; ``order`` starts with a timestamp then."""
+    if not is_long(df, keys):
+        return feature(df, list(keys))
+    time, *rest = order
+    indexed = with_row_index(df, keys, time, rest, name="__index")
+    return in_chunks(indexed, keys, "__index", halo, feature, ahead=ahead).drop("__index")
+
+
+def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], time_us: Column, value: Column, name: str, *, cut: bool) -> DataFrame:
+    """Adds ``name``: the last value that isn't null at or before each row.
+
+    cut: series in spans of time, the last value of each carried to the next ones.
+    """
+    back = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if not cut:
+        return df.withColumn(name, F.last(value, ignorenulls=True).over(back(series(keys, order))))
+    spans = df.withColumns({"__span": F.floor(time_us / F.lit(SPAN_US)), "__value": value})
+    ends = spans.where(F.col("__value").isNotNull()).groupBy(*keys, "__span").agg(F.max_by("__value", F.struct(*order)).alias("__end"))
+    every = spans.select(*keys, "__span").distinct().join(ends, [*keys, "__span"], "left")
+    carried = every.withColumn("__carried", F.last("__end", ignorenulls=True).over(series(keys, ["__span"]).rowsBetween(Window.unboundedPreceding, -1))).drop("__end")
+    inside = F.last("__value", ignorenulls=True).over(back(series([*keys, "__span"], order)))
+    return spans.withColumn("__inside", inside).join(carried, [*keys, "__span"]).withColumn(name, F.coalesce("__inside", "__carried")).drop("__span", "__value", "__inside", "__carried")
+
+
 def annualization(trading_days: int = 252, hours: float = 6.5) -> float:
     """Root of the seconds in a trading year."""
     return math.sqrt(trading_days * hours * 3600)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators import rolling as R
+
 #: Display name by split.
 SPLIT_NAMES = {"train": "Training", "val": "Validation", "test": "Test"}
 
@@ -46,26 +48,53 @@ def chronological_split(df: DataFrame, *, keys: Sequence[str], index: str, cfg:
     return df.join(sizes, list(keys)).withColumn("split", name).drop("__n")
 
 
-def forward_labels(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], price: str, horizons: Sequence[int], bucket: Column | None = None) -> DataFrame:
-    """Adds ``price_h{h}``: the price h rows ahead, for each horizon."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumns({f"price_h{h}": F.lead(price, h).over(w) for h in horizons})
+def forward_labels(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], price: str, horizons: Sequence[int]) -> DataFrame:
+    """Adds ``price_h{h}``: the price h rows ahead, for each horizon. Long series are cut into chunks."""
+
+    def add(rows: DataFrame, keys: list[str]) -> DataFrame:
+        w = R.series(keys, order)
+        return rows.withColumns({f"price_h{h}": F.lead(price, h).over(w) for h in horizons})
+
+    return R.by_series(df, keys, order, 0, add, ahead=max(horizons))
 
 
-def sequences(df: DataFrame, *, keys: Sequence[str], index: str, features: Sequence[str], targets: Sequence[tuple[str, int]], length: int, targets_are_forward: bool = False) -> DataFrame:
+def sequences(df: DataFrame, *, keys: Sequence[str], index: str, features: Sequence[str], targets: Sequence[tuple[str, int]], length: int, targets_are_forward: bool = False, chunk: int | None = None) -> DataFrame:
     """One row for each valid start: ``start``, ``features`` (length rows of an array) and a target by (column, horizon).
 
     The target of horizon h is read h rows after the last row of the window, or at that row if the targets already look
-    forward. Valid starts leave room for the longest horizon.
+    forward. Valid starts leave room for the longest horizon. Series are cut into chunks of rows.
     """
     if length < 1 or not targets or min(h for _, h in targets) < 1:
         raise ValueError("length must be 1 or more, horizons 1 or more, at least one target")
     ahead = max(h for _, h in targets)
-    w = Window.partitionBy(*keys).orderBy(index)
-    window = F.collect_list(F.array(*[F.col(f).cast("double") for f in features])).over(w.rowsBetween(0, length - 1))
-    out = {f"target_{h}": F.lead(c, length - 1 + (0 if targets_are_forward else h)).over(w) for c, h in targets}
-    left = F.count(F.lit(1)).over(w.rowsBetween(0, length + ahead - 1))
-    return df.select(*keys, F.col(index).alias("start"), window.alias("features"), *[v.alias(k) for k, v in out.items()], left.alias("__left")).where(F.col("__left") == length + ahead).drop("__left")
+
+    def cut(rows: DataFrame, own: list[str]) -> DataFrame:
+        w = R.series(own, [index])
+        window = F.collect_list(F.array(*[F.col(f).cast("double") for f in features])).over(w.rowsBetween(0, length - 1))
+        out = {f"target_{h}": F.lead(c, length - 1 + (0 if targets_are_forward else h)).over(w) for c, h in targets}
+        left = F.count(F.lit(1)).over(w.rowsBetween(0, length + ahead - 1))
+        return rows.select(*own, F.col(index).alias("start"), window.alias("features"), *[v.alias(k) for k, v in out.items()], left.alias("__left")).where(F.col("__left") == length + ahead).drop("__left")
+
+    narrow = df.select(*{*keys, index, *features, *(c for c, _ in targets)})
+    return R.in_chunks(narrow, keys, index, 0, lambda rows, own: cut(rows, own).withColumn(index, F.col("start")), chunk=chunk, ahead=length + ahead - 1).drop(index)
+
+
+def split_loaders(df: DataFrame, *, keys: Sequence[str], index: str, features: Sequence[str], targets: Sequence[tuple[str, int]], length: int, batch_size: int, cfg: SplitConfig = SplitConfig(), drop_last: bool = True, targets_are_forward: bool = False) -> dict[str, DataFrame | None]:
+    """Batched sequences of the chronological splits, by split name; validation and test are None if they have none.
+
+    Windows and targets stay inside a split. ``batch`` numbers runs of ``batch_size`` starts of a series; only training
+    drops a last short one.
+    """
+    placed = chronological_split(df, keys=keys, index=index, cfg=cfg)
+    out: dict[str, DataFrame | None] = {}
+    for name in SPLIT_NAMES:
+        part = placed.where(F.col("split") == name).drop("split")
+        firsts = part.groupBy(*keys).agg(F.min(index).alias("__first"))
+        local = part.join(firsts, list(keys)).withColumn(index, F.col(index) - F.col("__first"))
+        rows = sequences(local.drop("__first"), keys=keys, index=index, features=features, targets=targets, length=length, targets_are_forward=targets_are_forward)
+        loader = batches(rows, keys=keys, index="start", size=batch_size, drop_last=drop_last and name == "train")
+        out[name] = None if name != "train" and loader.isEmpty() else loader
+    return out
 
 
 def batches(df: DataFrame, *, keys: Sequence[str], index: str, size: int, drop_last: bool = False) -> DataFrame:

@@ -1,10 +1,13 @@
 """The exploration and data-quality queries, as Spark SQL over the views ``trades`` and ``options``.
 
-Each entry is one SQL text. The DuckDB text of the same query differs by function names only, see ``_DUCKDB``.
+Each entry is one SQL text. The DuckDB text of the same query differs by function names only, see ``_DUCKDB``, but for
+the band joins, see ``_PLAIN``.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable
 from typing import Any
 
@@ -15,10 +18,13 @@ from strandline import schema
 # Spark function and its DuckDB name.
 _DUCKDB = (("unix_micros(", "epoch_us("), ("percentile(", "quantile_cont("), ("from_utc_timestamp(time, 'America/New_York')", "timezone('America/New_York', timezone('UTC', time))"))
 
-_BANDED = """
+# band joins meet by cells of the band's width: one side lies in its own, the other in that and both beside it
+_CELL = "CAST(FLOOR(unix_micros(time) / 60000000) AS BIGINT)"
+_NEAR = "SELECT *, 0 AS beside FROM {0} UNION ALL SELECT *, -1 AS beside FROM {0} UNION ALL SELECT *, 1 AS beside FROM {0}"
+_BANDED = f"""
+WITH o AS (SELECT *, {_CELL} AS cell FROM trades WHERE ticker = 'click'), t AS (SELECT *, {_CELL} AS cell FROM trades WHERE ticker = 'view')
 SELECT o.id AS option_id, t.id AS trade_id, o.size % 5 AS symbol, ABS(unix_micros(o.time) - unix_micros(t.time)) AS gap_us
-FROM (SELECT * FROM trades WHERE ticker = 'click') o JOIN (SELECT * FROM trades WHERE ticker = 'view') t
-  ON o.size % 5 = t.size % 5 AND ABS(unix_micros(o.time) - unix_micros(t.time)) < 60000000"""
+FROM o JOIN ({_NEAR.format("t")}) t ON o.size % 5 = t.size % 5 AND o.cell = t.cell + t.beside AND ABS(unix_micros(o.time) - unix_micros(t.time)) < 60000000"""
 
 QUERIES: dict[str, str] = {
     "q04_underlyings": "SELECT DISTINCT underlying_ticker FROM options ORDER BY underlying_ticker LIMIT 100",
@@ -41,10 +47,10 @@ SELECT day, option_type, days_to_expiry, ROUND(moneyness, 6) AS moneyness, ROUND
     "q18_put_call_ratio": "SELECT CAST(CAST(time AS DATE) AS STRING) AS day, SUM(CASE WHEN option_type = 'put' THEN option_volume ELSE 0 END) AS put_volume, SUM(CASE WHEN option_type = 'call' THEN option_volume ELSE 0 END) AS call_volume, ROUND(SUM(CASE WHEN option_type = 'put' THEN option_volume ELSE 0 END) / NULLIF(SUM(CASE WHEN option_type = 'call' THEN option_volume ELSE 0 END), 0), 6) AS ratio FROM options GROUP BY CAST(time AS DATE)",
     "q19_greeks_by_bucket": "SELECT m, ROUND(days_to_expiry / 7) * 7 AS week_days, ROUND(AVG(delta), 6) AS avg_delta, ROUND(AVG(gamma), 6) AS avg_gamma, ROUND(AVG(vega), 6) AS avg_vega, SUM(option_volume) AS volume FROM (SELECT FLOOR((FLOOR(moneyness * 1000 + 0.5) + 5) / 10) / 100 AS m, days_to_expiry, delta, gamma, vega, option_volume FROM options) x GROUP BY m, ROUND(days_to_expiry / 7) * 7",
     "q20_band_join": f"{_BANDED} ORDER BY option_id, trade_id LIMIT 1000",
-    "q21_iv_rv_spread": """
-WITH iv AS (SELECT size % 5 AS symbol, unix_micros(time) AS us, AVG(price) AS iv FROM trades WHERE ticker = 'click' GROUP BY size % 5, unix_micros(time)),
-rv AS (SELECT size % 5 AS symbol, unix_micros(time) AS us, price AS rv FROM trades WHERE ticker = 'view')
-SELECT iv.symbol, iv.us AS ts_us, ROUND(iv.iv, 6) AS iv, rv.rv, ROUND(iv.iv - rv.rv, 6) AS spread FROM iv JOIN rv ON iv.symbol = rv.symbol AND ABS(iv.us - rv.us) < 60000000 ORDER BY iv.us, iv.symbol, rv.rv LIMIT 1000""",
+    "q21_iv_rv_spread": f"""
+WITH iv AS (SELECT size % 5 AS symbol, unix_micros(time) AS us, {_CELL} AS cell, AVG(price) AS iv FROM trades WHERE ticker = 'click' GROUP BY size % 5, unix_micros(time), {_CELL}),
+rv AS (SELECT size % 5 AS symbol, unix_micros(time) AS us, {_CELL} AS cell, price AS rv FROM trades WHERE ticker = 'view')
+SELECT iv.symbol, iv.us AS ts_us, ROUND(iv.iv, 6) AS iv, rv.rv, ROUND(iv.iv - rv.rv, 6) AS spread FROM iv JOIN ({_NEAR.format("rv")}) rv ON iv.symbol = rv.symbol AND iv.cell = rv.cell + rv.beside AND ABS(iv.us - rv.us) < 60000000 ORDER BY iv.us, iv.symbol, rv.rv LIMIT 1000""",
     "q22_lookback": "SELECT unix_micros(time) AS ts_us, price, size FROM trades WHERE ticker = 'view' AND time >= TIMESTAMP '2024-01-10 12:00:00' - INTERVAL 300 MINUTES AND time <= TIMESTAMP '2024-01-10 12:00:00' ORDER BY time",
     "q23_horizon_labels": """
 WITH reference_time AS (SELECT unix_micros(MIN(time)) AS t0 FROM trades WHERE ticker = 'click' AND time >= TIMESTAMP '2024-01-10 00:00:00')
@@ -67,10 +73,26 @@ SELECT ticker, COUNT(*) AS n, ROUND(AVG(gap_us), 3) AS avg_gap_us, MAX(gap_us) A
 }
 
 
+#: Band joins by their definition, for the check.
+_PLAIN = {
+    "q20_band_join": """
+SELECT o.id AS option_id, t.id AS trade_id, o.size % 5 AS symbol, ABS(unix_micros(o.time) - unix_micros(t.time)) AS gap_us
+FROM (SELECT * FROM trades WHERE ticker = 'click') o JOIN (SELECT * FROM trades WHERE ticker = 'view') t
+  ON o.size % 5 = t.size % 5 AND ABS(unix_micros(o.time) - unix_micros(t.time)) < 60000000 ORDER BY option_id, trade_id LIMIT 1000""",
+    "q21_iv_rv_spread": """
+WITH iv AS (SELECT size % 5 AS symbol, unix_micros(time) AS us, AVG(price) AS iv FROM trades WHERE ticker = 'click' GROUP BY size % 5, unix_micros(time)),
+rv AS (SELECT size % 5 AS symbol, unix_micros(time) AS us, price AS rv FROM trades WHERE ticker = 'view')
+SELECT iv.symbol, iv.us AS ts_us, ROUND(iv.iv, 6) AS iv, rv.rv, ROUND(iv.iv - rv.rv, 6) AS spread FROM iv JOIN rv ON iv.symbol = rv.symbol AND ABS(iv.us - rv.us) < 60000000 ORDER BY iv.us, iv.symbol, rv.rv LIMIT 1000""",
+}
+
+
 def run(spark: SparkSession, sf_dir: str, sql: str, args: dict[str, Any] | None = None) -> DataFrame:
-    """The SQL text over the views; named parameters as ``:name``."""
-    schema.trades(spark, sf_dir).createOrReplaceTempView("trades")
-    schema.options(spark, sf_dir).createOrReplaceTempView("options")
+    """The SQL text over the views; named parameters as ``:name``. The session's own views stay as they are."""
+    for view, frame in (("trades", schema.trades), ("options", schema.options)):
+        name = f"{view}_{zlib.crc32(sf_dir.encode()):08x}"
+        if re.search(rf"\b{view}\b", sql):
+            frame(spark, sf_dir).createOrReplaceTempView(name)
+            sql = re.sub(rf"\b{view}\b", name, sql)
     return spark.sql(sql, args=args or {})
 
 
@@ -87,4 +109,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: duckdb_sql(sql) for name, sql in QUERIES.items()}
+    return {name: duckdb_sql(_PLAIN.get(name, sql)) for name, sql in QUERIES.items()}

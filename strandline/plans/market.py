@@ -248,9 +248,13 @@ def profile(spark: SparkSession, d: str) -> DataFrame:
 
 def cross_correlation(spark: SparkSession, d: str) -> DataFrame:
     """Rolling correlation of price and size, a cross-series feature."""
-    w = rolling.last_rows(rolling.series(KEYS, ORDER), 50)
-    x = F.corr(F.col("price"), F.col("size").cast("double")).over(w)
-    return schema.trades(spark, d).select("id", F.round(rolling.gated(rolling.series(KEYS, ORDER), 50, x), 5).alias("corr"))
+
+    def add(rows: DataFrame, keys: list[str]) -> DataFrame:
+        w = rolling.series(keys, ORDER)
+        x = F.corr(rolling.clean(F.col("price")), F.col("size").cast("double")).over(rolling.last_rows(w, 50))
+        return rows.withColumn("corr", rolling.gated(w, 50, x))
+
+    return rolling.by_series(schema.trades(spark, d), KEYS, ORDER, 50, add).select("id", F.round("corr", 5).alias("corr"))
 
 
 _W = "(PARTITION BY ticker ORDER BY time, sequence_number)"

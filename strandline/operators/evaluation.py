@@ -148,7 +148,7 @@ class TemperatureScaling:
         self.max_steps, self.tolerance, self.temperatures = max_steps, tolerance, None
 
     def fit(self, df: DataFrame, logits: str = "logits", target: str = "target", horizon: str = "horizon") -> TemperatureScaling:
-        rows = df.select(F.col(horizon).alias("h"), F.col(logits).alias("x"), F.get(logits, F.col(target)).alias("xt"))
+        rows = df.select(F.col(horizon).alias("h"), F.col(logits).alias("x"), F.get(logits, F.col(target)).alias("xt")).persist()
         beta = {r["h"]: 1.0 for r in rows.select("h").distinct().collect()}
         for _ in range(self.max_steps):
             b = F.element_at(F.create_map(*[v for h, x in beta.items() for v in (F.lit(h), F.lit(x))]), F.col("h"))
@@ -162,6 +162,7 @@ class TemperatureScaling:
                 moved = max(moved, abs(change))
             if moved < self.tolerance:
                 break
+        rows.unpersist()
         self.temperatures = {h: 1.0 / b for h, b in beta.items()}
         return self
 
@@ -183,7 +184,7 @@ class PlattScaling:
         from pyspark.ml.functions import array_to_vector
 
         rows = df.select(array_to_vector(F.array(F.array_max(logits))).alias("features"), (A.argmax(F.col(logits)) == F.col(target)).cast("double").alias("label"))
-        model = LogisticRegression(regParam=0.0, maxIter=100).fit(rows)
+        model = LogisticRegression(regParam=0.0, maxIter=200, tol=1e-12).fit(rows)
         self.a, self.b = float(model.coefficients[0]), float(model.intercept)
         return self
 
@@ -194,6 +195,32 @@ class PlattScaling:
         return out.withColumn("right", F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.array_max(logits) * F.lit(self.a) + F.lit(self.b)))))
 
 
+def calibration_tail(df: DataFrame, *, keys: Sequence[str], index: str, share: float = 0.2) -> DataFrame:
+    """The last ``share`` of each series, which calibration is fitted on; at least one row of a series that isn't empty."""
+    if not 0 < share < 1:
+        raise ValueError("share must be between 0 and 1")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return df.join(sizes, list(keys)).where(F.col(index) >= F.least(F.floor(F.col("__n") * F.lit(1 - share)), F.col("__n") - 1)).drop("__n")
+
+
+def calibration_report(before: Mapping[int, Mapping[str, float]], after: Mapping[int, Mapping[str, float]], temperatures: Mapping[int, float] | None = None) -> str:
+    """Text of what calibration changed: by horizon nll and ece before and after, the temperature, and a verdict."""
+    lines = ["horizon    nll before  nll after  ece before  ece after  temperature"]
+    for h in sorted(after):
+        b, a = before[h], after[h]
+        t = f"{temperatures[h]:.3f}" if temperatures else "-"
+        lines.append(f"{h}s".ljust(8) + f"{b['nll']:13.4f}{a['nll']:11.4f}{b['ece']:12.4f}{a['ece']:11.4f}{t:>13}")
+    mean = sum(a["ece"] for a in after.values()) / max(1, len(after))
+    return "\n".join([*lines, f"mean ece {mean:.4f}: {calibration_quality(mean)}"])
+
+
+def parity_report(checked: DataFrame) -> str:
+    """Text of a :func:`parity` result: rows, failures and greatest differences."""
+    r = checked.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("passed")).alias("failed"), F.max("abs_diff").alias("a"), F.max("rel_diff").alias("r")).first()
+    verdict = "FAILED" if r["failed"] else "passed"
+    return f"{verdict}: {r['n']} compared, {r['failed']} over tolerance, greatest difference {r['a'] or 0:.3g} absolute, {r['r'] or 0:.3g} relative"
+
+
 # Training-side helpers
 
 
@@ -209,6 +236,17 @@ def keep_best(history: DataFrame, n: int, loss_column: str = "val_loss") -> Data
     return history.orderBy(loss_column, *[c for c in history.columns if c != loss_column]).limit(n)
 
 
+def append_history(df: DataFrame, path: str) -> int:
+    """Adds rows of a training history (epoch, losses, metrics, checkpoint path) to a table; returns how many."""
+    before = df.persist()
+    try:
+        n = before.count()
+        before.write.mode("append").parquet(path)
+        return n
+    finally:
+        before.unpersist()
+
+
 def parity(left: DataFrame, right: DataFrame, *, keys: Sequence[str], column: str, atol: float = 1e-5, rtol: float = 1e-3) -> DataFrame:
     """Greatest absolute and relative difference of two array columns by key; fails only if both are over tolerance."""
     both = left.select(*keys, F.col(column).alias("a")).join(right.select(*keys, F.col(column).alias("b")), list(keys))

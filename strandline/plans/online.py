@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,12 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline import schema
+from strandline.operators import rolling
 from strandline.streaming import buffers
 
 
 def _finished(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
     """Output of a stream over all that is there now."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join("/tmp", "strandline-streams")
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="strandline-")
     path = f"{base}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
@@ -30,7 +35,7 @@ def _ticks(spark: SparkSession, d: str) -> DataFrame:
 def online(spark: SparkSession, d: str) -> DataFrame:
     ticks = _ticks(spark, d).drop("time")
     out = _finished(spark, buffers.online_features(ticks, buffers.BufferConfig(lookback_seconds=301)))
-    return out.select("series", "ts_us", "buffered", *[F.round(F.get("last", F.lit(i)), 5).alias(c) for i, c in enumerate(buffers.FEATURES[:8])])
+    return out.select("series", "ts_us", "buffered", *[F.round(F.get("last", F.lit(i)), 5).alias(c) for i, c in enumerate(buffers.FEATURES)])
 
 
 def bars(spark: SparkSession, d: str) -> DataFrame:
@@ -39,14 +44,20 @@ def bars(spark: SparkSession, d: str) -> DataFrame:
     return out.select("ticker", F.unix_micros("bar_start").alias("bar_us"), F.round("avg_price", 6).alias("avg_price"), "volume", "n")
 
 
+_RV = ", ".join(f"CASE WHEN count(CASE WHEN k <= {w} THEN r END) = {w} THEN round(stddev_pop(CASE WHEN k <= {w} THEN r END) * {rolling.annualization()} * 100, 5) ELSE 0 END AS rv_{w}s" for w in buffers.RV_WINDOWS)
 _LAST = f"""WITH {schema.TRADES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY time DESC, sequence_number DESC) AS k FROM trades),
 b AS (SELECT ticker AS series, max(CASE WHEN k = 1 THEN epoch_us(time) END) AS ts_us, least(count(*), 301)::INT AS buffered, {", ".join(f"max(CASE WHEN k = {w + 1} THEN price END) AS p{w}" for w in (0, *buffers.RETURN_WINDOWS))},
-  sum(CASE WHEN k <= 60 THEN price * size END) / greatest(sum(CASE WHEN k <= 60 THEN size END), 1e-10) AS vwap FROM r GROUP BY ticker)
-SELECT series, ts_us, buffered, {", ".join(f"coalesce(round(ln(p0 / p{w}), 5), 0) AS log_return_{w}s" for w in buffers.RETURN_WINDOWS)}, coalesce(round(ln(p0 / vwap), 5), 0) AS vwap_deviation FROM b WHERE buffered >= 60"""
+  sum(CASE WHEN k <= 60 THEN price * size END) / greatest(sum(CASE WHEN k <= 60 THEN size END), 1e-10) AS vwap FROM r GROUP BY ticker),
+held AS (SELECT ticker, k, ln(price / lead(price) OVER (PARTITION BY ticker ORDER BY k)) AS r FROM r WHERE k <= 301),
+v AS (SELECT ticker AS series, {_RV} FROM held GROUP BY ticker)
+SELECT b.series, ts_us, buffered, {", ".join(f"coalesce(round(ln(p0 / p{w}), 5), 0) AS log_return_{w}s" for w in buffers.RETURN_WINDOWS)}, coalesce(round(ln(p0 / vwap), 5), 0) AS vwap_deviation, {", ".join(f"coalesce(rv_{w}s, 0) AS rv_{w}s" for w in buffers.RV_WINDOWS)} FROM b JOIN v ON b.series = v.series WHERE buffered >= 60"""
+# bars are out once the watermark, two hours behind the newest tick, has passed their end
+_BARS = f"""WITH {schema.TRADES_SQL}, b AS (SELECT ticker, epoch_us(time) // 3600000000 * 3600000000 AS bar_us, round(avg(price), 6) AS avg_price, sum(size)::DOUBLE AS volume, count(*) AS n FROM trades GROUP BY 1, 2)
+SELECT * FROM b WHERE bar_us + 3600000000 <= (SELECT max(epoch_us(time)) FROM trades) - 7200000000"""
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "st4_online_features": (online, _LAST),
-    "st8_streaming_bars": (bars, None),  # bars that the watermark hasn't passed aren't out yet
+    "st8_streaming_bars": (bars, _BARS),
 }
 
 

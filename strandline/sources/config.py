@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings that must be there.
 REQUIRED = ("DB_HOST", "DB_PORT", "DB_NAME", "DB_USER", "DB_PASSWORD")
@@ -58,8 +59,11 @@ def read_jdbc(spark: SparkSession, cfg: DatabaseConfig, table_or_query: str, *,
     return reader.load()
 
 
-def write_jdbc(df: DataFrame, cfg: DatabaseConfig, name: str, mode: str = "append") -> None:
-    df.write.format("jdbc").options(**cfg.jdbc_options(), dbtable=name).mode(mode).save()
+def write_jdbc(df: DataFrame, cfg: DatabaseConfig, name: str, mode: str = "append") -> int:
+    """Writes the rows and returns how many were sent, counted as they pass."""
+    observed = Observation()
+    df.observe(observed, F.count(F.lit(1)).alias("rows")).write.format("jdbc").options(**cfg.jdbc_options(), dbtable=name).mode(mode).save()
+    return observed.get["rows"]
 
 
 def query(spark: SparkSession, sql: str, args: Mapping[str, Any] | list[Any] | None = None) -> DataFrame:

@@ -131,3 +131,46 @@ def test_files_round_trip(spark, tmp_path):
     dated = df.withColumn("time", F.to_timestamp(F.lit("2024-01-01 10:00:00")))
     files.write_table(dated, str(tmp_path / "t"))
     assert files.read_table(spark, str(tmp_path / "t")).where("date = '2024-01-01'").count() == 2
+
+
+def test_parity_can_fail(spark):
+    left = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [1e-7, 5.0])], "id long, x array<double>")
+    right = spark.createDataFrame([(1, [1.0, 2.1]), (2, [1.0, 2.0000001]), (3, [3e-7, 5.0])], "id long, x array<double>")
+    out = E.parity(left, right, keys=["id"], column="x")
+    got = {r["id"]: r for r in out.collect()}
+    assert [got[i]["passed"] for i in (1, 2, 3)] == [False, True, True]
+    assert got[1]["rel_diff"] == pytest.approx(0.1 / 2.1) and got[3]["rel_diff"] == pytest.approx(2 / 3)
+    assert E.parity_report(out).startswith("FAILED: 3 compared, 1 over")
+
+
+def test_calibration_tail_and_report(spark):
+    rows = spark.range(10).selectExpr("'a' as k", "id as i").unionByName(spark.range(1).selectExpr("'b' as k", "id as i"))
+    tail = E.calibration_tail(rows, keys=["k"], index="i", share=0.3)
+    assert sorted((r["k"], r["i"]) for r in tail.collect()) == [("a", 7), ("a", 8), ("a", 9), ("b", 0)]
+    text = E.calibration_report({1: {"nll": 2.0, "ece": 0.2}}, {1: {"nll": 1.5, "ece": 0.04}}, {1: 1.25})
+    assert "1.250" in text and text.endswith("mean ece 0.0400: excellent")
+
+
+def test_history_is_appended(spark, tmp_path):
+    path = str(tmp_path / "history")
+    assert E.append_history(spark.createDataFrame([(1, 0.5)], "epoch int, val_loss double"), path) == 1
+    assert E.append_history(spark.createDataFrame([(2, 0.4), (3, 0.6)], "epoch int, val_loss double"), path) == 2
+    assert [r["epoch"] for r in E.keep_best(spark.read.parquet(path), 2).collect()] == [2, 1]
+
+
+def test_state_over_triggers_and_gaps(spark, tmp_path):
+    """One file a trigger gives the state of one batch; a gap clears the buffer."""
+    ticks = [("a", i * 1_000_000 + (10**10 if i >= 70 else 0), i, 100.0 + i % 9, 1.0 + i % 4) for i in range(140)]
+    for n in range(4):
+        spark.createDataFrame(ticks[n * 35 : n * 35 + 35], buffers.TICK_SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={n}"))
+
+    def run(name, per_trigger, gap):
+        stream = spark.readStream.schema(buffers.TICK_SCHEMA).option("maxFilesPerTrigger", per_trigger).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        cfg = buffers.BufferConfig(lookback_seconds=100, sequence_length=60, reset_gap_seconds=gap)
+        out = buffers.online_features(stream, cfg).writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start()
+        out.awaitTermination()
+        return max(spark.read.parquet(str(tmp_path / name)).collect(), key=lambda r: r["ts_us"])
+
+    once, often = run("once", 100, None), run("often", 1, None)
+    assert once == often and once["buffered"] == 100
+    assert run("gap", 1, 3600.0)["buffered"] == 70

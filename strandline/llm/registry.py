@@ -28,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_near_dedup": near_dedup.ORACLE_SQL,
         "op3_mix_sources": mixing.ORACLE_SQL,
         "op5_line_dedup": line_dedup.ORACLE_SQL,
         "op10_substring_dedup": substring_dedup.ORACLE_SQL,

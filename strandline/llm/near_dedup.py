@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import WordHasher, mixed, staged, table
@@ -135,8 +135,15 @@ def sketch(docs: DataFrame, shingle: int, rows: int, full: bool = False) -> Data
 
 
 def connected(edges: DataFrame, least: str = "a", other: str = "b") -> DataFrame:
-    """node, component (least node reachable) of undirected edges, by rounds of least neighbour and pointer jumping."""
-    links = staged(edges.select(F.col(least).alias("x"), F.col(other).alias("y")).unionByName(edges.select(F.col(other).alias("x"), F.col(least).alias("y"))).distinct(), "links")
+    """node, component (least node reachable) of undirected edges, by rounds of least neighbour and pointer jumping.
+
+    First each node's lesser neighbours are tied to the least of them instead of to the node: many nodes share those, so
+    few distinct edges are left for the rounds.
+    """
+    pairs = edges.select(F.least(least, other).alias("a"), F.greatest(least, other).alias("b")).distinct()
+    stars = pairs.withColumn("m", F.min("a").over(Window.partitionBy("b")))
+    pairs = stars.select(F.col("m").alias("x"), F.col("b").alias("y")).unionByName(stars.where("a <> m").select(F.col("m").alias("x"), F.col("a").alias("y"))).distinct()
+    links = staged(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))), "links")
     state = links.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("c"))
     state, before = staged(state, "components"), None
     while True:
@@ -151,7 +158,11 @@ def connected(edges: DataFrame, least: str = "a", other: str = "b") -> DataFrame
 
 
 def _compare(t: pa.Table, percent: int) -> pa.Table:
-    """Links among rows of the same g: of a row with its partners, or where these are null with all of other components."""
+    """Links among rows of the same g: of a row with its partners, or where these are null with all of other components.
+
+    Of links that would close a circle with those found here before, or inside a component, none is needed: each task
+    returns a forest, so links don't grow with the square of a group.
+    """
     t = t.sort_by([("g", "ascending"), ("k", "ascending")])
     g, k, c, block, apart = (t.column(x).to_numpy() for x in ("g", "k", "c", "block", "apart"))
     partners = t.column("partners").to_pylist()
@@ -178,11 +189,22 @@ def _compare(t: pa.Table, percent: int) -> pa.Table:
         return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
     i, j, greater, less = (np.array(x) for x in zip(*tested, strict=True))
     likely = likeliest_similarity(n[i], n[j], greater, less) >= least_estimate(percent)
-    links = set()
+    links, above = set(), {}
+    node = [int(k[x]) if partners[x] is not None else int(c[x]) for x in range(len(k))]
+
+    def top(x: int) -> int:
+        while above.get(x, x) != x:
+            above[x] = x = above.get(above[x], above[x])
+        return x
+
     for x, y in zip(i[likely].tolist(), j[likely].tolist(), strict=True):
+        one, two = top(node[x]), top(node[y])
+        if one == two:
+            continue
         both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-        if k[x] != k[y] and 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+        if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
             links.add((int(min(k[x], k[y])), int(max(k[x], k[y]))))
+            above[one] = two
     return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 

@@ -179,3 +179,13 @@ def test_html_cases(spark):
 def test_sha_of_kept_text(spark):
     out = line_dedup.drop_repeated_lines(documents(spark)).where("doc_id = 5").select(F.sha2(F.col("text").cast("binary"), 256).alias("s")).first()["s"]
     assert out == hashlib.sha256(b"").hexdigest()
+
+
+def test_mixing_of_odd_rows(spark):
+    df = documents(spark).withColumns({"replica": F.lit(77), "shuffle_key": F.lit("mine"), "row": F.lit(1), "own": F.lit(2), "copies": F.lit(3), "digest": F.lit(4), "rate": F.lit(5.0)})
+    got = mixing.mix(df, total=60).collect()
+    times = {str(r[0]) for r in ROWS}
+    assert got and {str(r["doc_id"]) for r in got} <= times
+    assert all(r["row"] == 1 and r["own"] == 2 and r["copies"] == 3 and r["digest"] == 4 and r["rate"] == 5.0 for r in got)
+    assert all(r["replica"] < 70 and len(r["shuffle_key"]) == 32 for r in got)
+    assert mixing.mix(df.limit(0)).collect() == []

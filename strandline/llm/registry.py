@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from strandline.llm import decontamination, html_extract, language_model, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, token_alignment, token_count
+from strandline.llm import decontamination, html_extract, language_model, lexical_search, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, token_alignment, token_count
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_counts": token_count.query,
         "op10_substring_dedup": substring_dedup.query,
         "op12_token_alignment": token_alignment.query,
+        "op13_lexical_search": lexical_search.query,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -33,5 +34,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_mix_sources": mixing.ORACLE_SQL,
         "op5_line_dedup": line_dedup.ORACLE_SQL,
         "op10_substring_dedup": substring_dedup.ORACLE_SQL,
+        "op13_lexical_search": lexical_search.ORACLE_SQL,
         "op6_rendezvous_sharding": sharding.shard_sql("documents"),
     }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from strandline.llm import decontamination, html_extract, language_model, lexical_search, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, token_alignment, token_count
+from strandline.llm import decontamination, html_extract, language_id, language_model, lexical_search, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, token_alignment, token_count
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": quality.query,
         "op9_token_counts": token_count.query,
         "op10_substring_dedup": substring_dedup.query,
+        "op11_language_id": language_id.query,
         "op12_token_alignment": token_alignment.query,
         "op13_lexical_search": lexical_search.query,
         "pipeline": corpus_pipeline.run,

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,7 +35,7 @@ _OTHER = re.sub("[ \n]", "", WHITE)
 #: Some pieces end with a carriage return, so only a space or a line end begins a segment.
 SEGMENT = re.compile(f"[{WHITE}]*[^{WHITE}]+(?:[{_OTHER}][{WHITE}]*[^{WHITE}]*)*|[{WHITE}]+")
 #: Distinct segments that a task remembers before it starts anew, and bytes of texts worked on together.
-MEMO_SEGMENTS, CHUNK = 400_000, 2**22
+MEMO_SEGMENTS, CHUNK = 300_000, 2**22
 #: Id pairs that are broadcast with their counts (24 bytes each); the others are joined.
 MOST_PAIRS = 2**19
 #: Pairs in a row of partial counts.
@@ -53,7 +52,6 @@ class Files:
     @classmethod
     def read(cls, a: str, b: str) -> Files:
         """Checks that the segments can be tokenized apart."""
-        import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         spec = json.loads(Path(a).read_text(encoding="utf-8"))
@@ -68,9 +66,8 @@ class Files:
         if any(len(SEGMENT.findall(x)) > 1 for x in plain):
             raise ValueError(f"{b} has pieces that go on after white space")
         rules.add_dummy_prefix = False  # segments bring their own space
-        out = model.SerializeToString()
-        sentencepiece.SentencePieceProcessor(model_proto=out)
-        return cls(Path(a).read_text(encoding="utf-8"), out)
+        byte_ranks(spec)
+        return cls(Path(a).read_text(encoding="utf-8"), model.SerializeToString())
 
 
 def byte_level_alphabet() -> dict[str, int]:
@@ -80,21 +77,34 @@ def byte_level_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+#: The pattern by which byte-level files of this kind cut texts before they merge (a fixed value).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_ranks(spec: dict) -> dict[bytes, int]:
+    """Id of each token of a byte-level file by its bytes; ids must rise in the order of merges."""
+    to_byte, special = byte_level_alphabet(), {x["content"] for x in spec["added_tokens"]}
+    ranks = {bytes(map(to_byte.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in special}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+    ids = [ranks[bytes(map(to_byte.__getitem__, "".join(m)))] for m in merges]
+    if ids != sorted(set(ids)) or len(ranks) != 256 + len(ids):
+        raise ValueError("merges aren't in the order of ids")
+    return ranks
+
+
 class Tokenizers:
     """Ids of both sides and the bytes of each id."""
 
     def __init__(self, files: Files) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_str(files.a)
-        self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=files.b)
-        to_byte = byte_level_alphabet()
-        self.a_bytes = [b""] * self.a.get_vocab_size()
-        for token, i in self.a.get_vocab().items():
-            self.a_bytes[i] = bytes(map(to_byte.get, token)) if all(c in to_byte for c in token) else token.encode("utf-8")
+        ranks = byte_ranks(json.loads(files.a))
+        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.a_bytes = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            self.a_bytes[i] = token
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
 
     def _piece(self, i: int) -> bytes:
@@ -102,7 +112,7 @@ class Tokenizers:
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode("utf-8")
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        return [x.ids for x in self.a.encode_batch(texts, add_special_tokens=False)], self.b.encode(texts, num_threads=1)
+        return list(map(self.a.encode_ordinary, texts)), self.b.encode(texts, num_threads=1)
 
 
 class Aligner:
@@ -132,8 +142,10 @@ class Aligner:
         ids = self.tokenizers.encode(segments)
         names = (self.tokenizers.a_bytes, self.tokenizers.b_bytes)
         raw = [x.encode("utf-8") for x in segments]
-        good = np.array([all(b"".join(map(of.__getitem__, side[i])) == text for of, side in zip(names, ids, strict=True)) for i, text in enumerate(raw)], bool)
-        ids = [[x if ok else [] for x, ok in zip(side, good, strict=True)] for side in ids]
+        good = np.ones(len(raw), bool)
+        if any(b"".join(map(of.__getitem__, chain.from_iterable(side))) != b"".join(raw) for of, side in zip(names, ids, strict=True)):
+            good = np.array([all(b"".join(map(of.__getitem__, side[i])) == text for of, side in zip(names, ids, strict=True)) for i, text in enumerate(raw)], bool)
+            ids = [[x if ok else [] for x, ok in zip(side, good, strict=True)] for side in ids]
         sizes = np.array([len(text) if ok else 0 for text, ok in zip(raw, good, strict=True)])
         n_a, n_b = (np.array(list(map(len, side))) for side in ids)
         a, b = (np.fromiter(chain.from_iterable(side), np.int64) for side in ids)

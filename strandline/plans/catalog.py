@@ -35,7 +35,6 @@ QUERIES: dict[str, str] = {
     "q09_daily_availability": "SELECT CAST(CAST(time AS DATE) AS STRING) AS day, COUNT(*) AS n, COUNT(DISTINCT ticker) AS tickers FROM trades WHERE time BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00' GROUP BY CAST(time AS DATE) ORDER BY day",
     "q10_options_nulls": "SELECT COUNT(*) AS n, CAST(SUM(CASE WHEN implied_vol IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_iv, CAST(SUM(CASE WHEN delta IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_delta, CAST(SUM(CASE WHEN underlying_price IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_spot FROM options",
     "q11_trades_nulls": "SELECT COUNT(*) AS n, CAST(SUM(CASE WHEN price IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_price, CAST(SUM(CASE WHEN size IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_size, CAST(SUM(CASE WHEN exchange IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_exchange FROM trades",
-    "q12_lag_distribution": "SELECT ticker, ROUND(AVG(size), 6) AS avg_lag, MIN(size) AS min_lag, MAX(size) AS max_lag, ROUND(percentile(size, 0.5), 6) AS median_lag, ROUND(percentile(size, 0.95), 6) AS p95_lag FROM trades WHERE size IS NOT NULL GROUP BY ticker",
     "q13_value_range": "SELECT ticker, ROUND(AVG(price), 6) AS avg_rv, MIN(price) AS min_rv, MAX(price) AS max_rv, COUNT(*) AS n FROM trades WHERE price IS NOT NULL GROUP BY ticker",
     "q14_iv_range_by_type": "SELECT underlying_ticker, option_type, ROUND(AVG(implied_vol), 6) AS avg_iv, ROUND(MIN(implied_vol), 6) AS min_iv, ROUND(MAX(implied_vol), 6) AS max_iv, COUNT(*) AS n FROM options WHERE implied_vol IS NOT NULL GROUP BY underlying_ticker, option_type",
     "q15_price_history": "SELECT unix_micros(time) AS ts_us, price, size, sequence_number FROM trades WHERE ticker = 'click' AND time BETWEEN TIMESTAMP '2024-01-02 00:00:00' AND TIMESTAMP '2024-01-04 00:00:00' ORDER BY time, sequence_number",
@@ -69,7 +68,6 @@ SELECT ticker, COUNT(*) AS n, ROUND(AVG(gap_us), 3) AS avg_gap_us, MAX(gap_us) A
     "q30_sanity": "SELECT option_type, COUNT(*) AS n, ROUND(MIN(delta), 6) AS min_delta, ROUND(MAX(delta), 6) AS max_delta, ROUND(MIN(implied_vol), 6) AS min_iv, ROUND(MAX(implied_vol), 6) AS max_iv, CAST(SUM(CASE WHEN option_type = 'call' AND delta < 0 THEN 1 WHEN option_type = 'put' AND delta > 0 THEN 1 ELSE 0 END) AS BIGINT) AS wrong_sign FROM options GROUP BY option_type",
     "q31_options_filter": "SELECT COUNT(*) AS n, SUM(option_volume) AS volume FROM options WHERE implied_vol IS NOT NULL AND implied_vol > 0 AND implied_vol <= 2.0 AND option_volume > 0 AND underlying_price > 0 AND moneyness BETWEEN 0.95 AND 1.05 AND days_to_expiry >= 7",
     "q31_trades_filter": "SELECT ticker, COUNT(*) AS n, CAST(SUM(size) AS BIGINT) AS volume FROM trades WHERE price > 0 AND size > 0 AND ticker NOT LIKE '%err%' GROUP BY ticker",
-    "q32_completeness": "SELECT ticker, ROUND(CAST(COUNT(price) AS DOUBLE) / COUNT(*), 6) AS price_share, ROUND(CAST(COUNT(size) AS DOUBLE) / COUNT(*), 6) AS size_share, ROUND(percentile(price, 0.5), 6) AS median_price, ROUND(percentile(price, 0.95), 6) AS p95_price, ROUND(percentile(price, 0.99), 6) AS p99_price, COUNT(DISTINCT CAST(time AS DATE)) AS days FROM trades GROUP BY ticker",
 }
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,17 +10,13 @@ from pyspark.sql import functions as F
 
 from strandline import schema
 from strandline.operators import rolling
+from strandline.sources import files
 from strandline.streaming import buffers
 
 
 def _finished(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
     """Output of a stream over all that is there now."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="strandline-")
-    path = f"{base}/stream-{uuid.uuid4().hex}"
+    path = f"{files.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.plans import catalog, market, online
+from strandline.plans import catalog, market, online, sequential
 
-PARTS = (catalog, market, online)
+PARTS = (catalog, market, online, sequential)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

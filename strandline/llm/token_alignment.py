@@ -35,7 +35,7 @@ _OTHER = re.sub("[ \n]", "", WHITE)
 #: Some pieces end with a carriage return, so only a space or a line end begins a segment.
 SEGMENT = re.compile(f"[{WHITE}]*[^{WHITE}]+(?:[{_OTHER}][{WHITE}]*[^{WHITE}]*)*|[{WHITE}]+")
 #: Distinct segments that a task remembers before it starts anew, and bytes of texts worked on together.
-MEMO_SEGMENTS, CHUNK = 300_000, 2**22
+MEMO_SEGMENTS, CHUNK = 150_000, 2**21
 #: Id pairs that are broadcast with their counts (24 bytes each); the others are joined.
 MOST_PAIRS = 2**19
 #: Pairs in a row of partial counts.

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import decontamination, mixing, near_dedup, quality, sharding
@@ -20,9 +20,14 @@ BROADCAST_IDS = 500_000
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id isn't in ``ids``."""
-    ids = staged(ids.select(F.col("doc_id").alias("__gone")).where(F.col("__gone").isNotNull()).distinct(), "removed")
+    ids = staged(ids.select("doc_id").where("doc_id IS NOT NULL").distinct(), "removed")
     small = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti").select(*_columns(docs))
+
+
+def _columns(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs``, whatever their names."""
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +60,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Rows of one doc_id are repeated equally often; a null doc_id counts as the empty key, a null source is one of its own.
     """
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs).select(*_columns(docs))
 
 
 def rendezvous_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

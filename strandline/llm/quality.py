@@ -75,7 +75,7 @@ def text_statistics(df: DataFrame, *, key: str = "doc_id", text: str = "text", w
     row: instead of the key, the whole row as the struct ``key``.
     """
     body = F.col("body")
-    rows = df.select((F.struct(*df.columns) if row else F.col(key)).alias(key), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    rows = df.select((F.struct(*[F.col(f"`{c}`") for c in df.columns]) if row else F.col(key)).alias(key), F.coalesce(F.col(text), F.lit("")).alias("body"))
     rows = rows.withColumn("words", F.array_remove(F.split(body, f"{WS_CLASS}+"), "")).withColumn("lines", F.filter(F.split(body, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
     starts = F.size("words") - F.lit(window - 1)
     rows = rows.withColumn("hashes", F.when(starts > 1, F.transform(F.sequence(F.lit(1), starts), lambda i: F.xxhash64(F.slice("words", i, window)))).otherwise(F.array().cast("array<bigint>")))

@@ -51,7 +51,7 @@ def assign_shards(df: DataFrame, key: str, weights: Sequence[float], *, text: st
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
     body = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     ranges = max(1, math.ceil(df.count() / (len(weights) * ROWS_PER_RANGE)))
-    kept = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None).cast("int")
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("int")
     rows = df.select(F.col(key).alias("k"), name.alias("name"), (F.octet_length(body) + 1).cast("bigint").alias("size"), F.crc32(body).alias("crc"), kept.alias("kept"))
     what = ["name", F.col("crc").cast("string"), F.col("size").cast("string")]
     if spread:

@@ -17,7 +17,7 @@ ROWS = [
     (4, None, None), (5, "", "t"), (None, "A line that is long enough to count", "t"), (None, None, "t"), (6, LONG, "t"), (7, LONG, "t"), (7, LONG, "t"), (8, "   \n \t ", "t"), (9, "éè \U0001f642 日本語", "t"),
 ]
 #: Names that clash with columns operators use inside.
-EXTRA = {"k": "0", "n": "'x'", "body": "cast(null as string)", "size": "1", "shard": "2", "words": "3", "mark": "4", "line": "5"}
+EXTRA = {"a.b": "9", "__gone": "8", "row": "7", "k": "0", "n": "'x'", "body": "cast(null as string)", "size": "1", "shard": "2", "words": "3", "mark": "4", "line": "5"}
 VOCAB = token_count.Vocabulary((("▁", -2.0), ("a", -3.0), ("▁a", -4.0), ("l", -3.5), ("in", -4.0), ("line", -6.0)), -6.0, True)
 ITEMS = [(1, "What is the sum of twelve and the number nine in this case ?"), (2, None), (3, "")]
 
@@ -144,7 +144,7 @@ def test_decontamination_cases(spark):
 def test_pipeline_stages(spark, tmp_path):
     good = lambda i: " ".join(f"g{i}w{j}" for j in range(60))
     rows = [(1000 + i, good(i % 40), f"s{i % 3}") for i in range(60)] + [(100 + i, " ".join(["junk###", "more$$$"] * 40), "s0") for i in range(30)] + [(200, good(200) + " " + ITEMS[0][1], "s1"), *ROWS]
-    documents(spark, rows, extra=False).write.parquet(str(tmp_path / "documents.parquet"))
+    documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, int(i >= 1000)) for i in [*range(1000, 1060), *range(100, 130)]], "doc_id long, quality int").withColumn("toxic", F.lit(0)).write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))

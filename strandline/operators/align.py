@@ -46,7 +46,7 @@ def as_of(grid: DataFrame, obs: DataFrame, *, keys: Sequence[str], grid_us: str,
     """For each grid row the last observation at or before it: adds ``values`` and ``valid``.
 
     Later rows by ``order`` win among equal times; null values carry as values. One shuffle and one sort of both sides:
-    the observations are put among the grid rows and filled forward, in spans of time if a series is long.
+    the observations are put among the grid rows and filled forward, in spans of time if a series has many of both.
     """
     carried = [c for c in grid.columns if c not in (*keys, grid_us)]
     value = F.struct(*values)
@@ -55,7 +55,7 @@ def as_of(grid: DataFrame, obs: DataFrame, *, keys: Sequence[str], grid_us: str,
     none = left.schema
     right = grid.select(*keys, F.col(grid_us).alias("__t"), F.lit(1).alias("__kind"), F.lit(None).cast(none["__seq"].dataType).alias("__seq"), F.lit(None).cast(none["__v"].dataType).alias("__v"), *carried)
     rows = left.unionByName(right)
-    filled = R.last_known(rows, keys, ["__t", "__kind", "__seq"], F.col("__t"), F.col("__v"), "__last", cut=R.is_long(obs, keys)).where("__kind = 1").drop("__v").withColumnRenamed("__last", "__v")
+    filled = R.last_known(rows, keys, ["__t", "__kind", "__seq"], F.col("__t"), F.col("__v"), "__last", cut=R.is_long(rows.select(*keys), keys)).where("__kind = 1").drop("__v").withColumnRenamed("__last", "__v")
     return filled.select(*keys, F.col("__t").alias(grid_us), *carried, *[F.col("__v")[c].alias(c) for c in values], F.col("__v").isNotNull().alias("valid"))
 
 
@@ -69,10 +69,26 @@ def volume_cells(grid: DataFrame, trades: DataFrame, *, keys: Sequence[str], ori
 
 
 def gap_flag(keys: Sequence[str], order: Sequence[str], seconds: Column, gap_seconds: float = 14_400.0) -> Column:
-    """True where more than ``gap_seconds`` passed since the row before; False at the first row."""
+    """True where more than ``gap_seconds`` passed since the row before; False at the first row. See also :func:`with_gaps`."""
     return F.coalesce(seconds - F.lag(seconds).over(Window.partitionBy(*keys).orderBy(*order)) > gap_seconds, F.lit(False))
 
 
+def with_gaps(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], gap_seconds: float = 14_400.0, name: str = "gap", passed: str | None = None) -> DataFrame:
+    """Adds ``name``: whether more than ``gap_seconds`` passed since the row before; False at the first row.
+
+    ``order`` starts with a timestamp. passed: adds the microseconds since the row before under this name. Long series
+    are cut into chunks.
+    """
+
+    def add(rows: DataFrame, own: list[str]) -> DataFrame:
+        us = F.unix_micros(order[0])
+        since = rows.withColumn("__passed", us - F.lag(us).over(R.series(own, order)))
+        out = since.withColumn(name, F.coalesce(F.col("__passed") / F.lit(1e6) > gap_seconds, F.lit(False)))
+        return out.withColumnRenamed("__passed", passed) if passed else out.drop("__passed")
+
+    return R.by_series(df, keys, order, 1, add)
+
+
 def handle_overnight(df: DataFrame, strategy: OvernightStrategy, *, keys: Sequence[str], index: str, gap: str, columns: Sequence[str]) -> DataFrame:
     """RESET: null before the last gap. MASK: null at gaps. INTERPOLATE: unchanged."""
     if strategy is OvernightStrategy.INTERPOLATE:
@@ -80,8 +96,14 @@ def handle_overnight(df: DataFrame, strategy: OvernightStrategy, *, keys: Sequen
     if strategy is OvernightStrategy.MASK:
         keep = ~F.col(gap)
     else:
-        last = F.max(F.when(F.col(gap), F.col(index))).over(Window.partitionBy(*keys))
-        keep = F.coalesce(F.col(index) >= last, F.lit(True))
+        # a row a series, so no task holds a series; series with a null key have gaps of their own
+        last = df.where(F.col(gap)).groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.max(index).alias("__last"))
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & df[k].eqNullSafe(last[f"__k{i}"])
+        df = df.join(last, same, "left").drop(*[f"__k{i}" for i in range(len(keys))])
+        keep = F.coalesce(F.col(index) >= F.col("__last"), F.lit(True))
+        return df.withColumns({c: F.when(keep, F.col(c)) for c in columns}).drop("__last")
     return df.withColumns({c: F.when(keep, F.col(c)) for c in columns})
 
 

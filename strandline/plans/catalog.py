@@ -62,9 +62,6 @@ SELECT t.id, unix_micros(t.time) - r.t0 AS after_us, t.price FROM trades t, refe
 SELECT COUNT(DISTINCT CASE WHEN a.exchange IS NOT NULL THEN a.exchange END) AS left_symbols, COUNT(DISTINCT CASE WHEN b.exchange IS NOT NULL THEN b.exchange END) AS right_symbols,
   COUNT(DISTINCT CASE WHEN a.exchange IS NOT NULL AND b.exchange IS NOT NULL THEN a.exchange END) AS in_both
 FROM (SELECT DISTINCT exchange FROM trades WHERE ticker = 'click') a FULL OUTER JOIN (SELECT DISTINCT exchange FROM trades WHERE ticker = 'signup') b ON a.exchange = b.exchange""",
-    "q29_gap_profile": """
-WITH gaps AS (SELECT ticker, unix_micros(time) - LAG(unix_micros(time)) OVER (PARTITION BY ticker ORDER BY time, sequence_number) AS gap_us FROM trades)
-SELECT ticker, COUNT(*) AS n, ROUND(AVG(gap_us), 3) AS avg_gap_us, MAX(gap_us) AS max_gap_us, CAST(SUM(CASE WHEN gap_us > 3600000000 THEN 1 ELSE 0 END) AS BIGINT) AS long_gaps FROM gaps GROUP BY ticker""",
     "q30_sanity": "SELECT option_type, COUNT(*) AS n, ROUND(MIN(delta), 6) AS min_delta, ROUND(MAX(delta), 6) AS max_delta, ROUND(MIN(implied_vol), 6) AS min_iv, ROUND(MAX(implied_vol), 6) AS max_iv, CAST(SUM(CASE WHEN option_type = 'call' AND delta < 0 THEN 1 WHEN option_type = 'put' AND delta > 0 THEN 1 ELSE 0 END) AS BIGINT) AS wrong_sign FROM options GROUP BY option_type",
     "q31_options_filter": "SELECT COUNT(*) AS n, SUM(option_volume) AS volume FROM options WHERE implied_vol IS NOT NULL AND implied_vol > 0 AND implied_vol <= 2.0 AND option_volume > 0 AND underlying_price > 0 AND moneyness BETWEEN 0.95 AND 1.05 AND days_to_expiry >= 7",
     "q31_trades_filter": "SELECT ticker, COUNT(*) AS n, CAST(SUM(size) AS BIGINT) AS volume FROM trades WHERE price > 0 AND size > 0 AND ticker NOT LIKE '%err%' GROUP BY ticker",

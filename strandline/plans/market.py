@@ -60,7 +60,7 @@ def volume_cells(spark: SparkSession, d: str) -> DataFrame:
 
 def aligned_sequence(spark: SparkSession, d: str) -> DataFrame:
     """The whole alignment: prices as of the grid, volumes by cell, gaps of ticks, overnight reset, validity."""
-    ticks = _observed(spark, d).withColumn("gap", align.gap_flag(KEYS, ORDER, F.col("ts_us") / 1e6, 7200.0))
+    ticks = align.with_gaps(_observed(spark, d), keys=KEYS, order=ORDER, gap_seconds=7200.0)
     ticks = align.handle_overnight(ticks, align.OvernightStrategy.MASK, keys=KEYS, index="ts_us", gap="gap", columns=["price"])
     out = align.as_of(_grid(spark, d), ticks, keys=KEYS, grid_us="grid_us", obs_us="ts_us", order=["sequence_number"], values=["price"])
     out = out.withColumn("valid", align.valid_mask(align.OvernightStrategy.MASK, F.col("valid"), F.col("price")))
@@ -68,7 +68,7 @@ def aligned_sequence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gap_reset(spark: SparkSession, d: str) -> DataFrame:
-    rows = _indexed(spark, d).withColumn("gap", align.gap_flag(KEYS, ORDER, F.unix_micros("time") / 1e6, 7200.0))
+    rows = align.with_gaps(_indexed(spark, d), keys=KEYS, order=ORDER, gap_seconds=7200.0)
     return align.handle_overnight(rows, align.OvernightStrategy.RESET, keys=KEYS, index="i", gap="gap", columns=["price"]).select("id", "gap", "price")
 
 
@@ -250,7 +250,7 @@ def profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cross_correlation(spark: SparkSession, d: str) -> DataFrame:
-    """Rolling correlation of price and size, a cross-series feature."""
+    """Rolling correlation of price and size of one series."""
 
     def add(rows: DataFrame, keys: list[str]) -> DataFrame:
         w = rolling.series(keys, ORDER)

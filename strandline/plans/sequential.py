@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline import schema
-from strandline.operators import cross, order_statistics, sampler, scan
+from strandline.operators import align, cross, order_statistics, sampler, scan
 from strandline.sources import files
 
 KEYS, ORDER = ["ticker"], ["time", "sequence_number"]
@@ -82,6 +82,12 @@ def completeness(spark: SparkSession, d: str) -> DataFrame:
     return sums.join(exact, "ticker").select("ticker", "price_share", "size_share", *[F.round(F.get("percentiles", F.lit(i)), 6).alias(n) for i, n in enumerate(("median_price", "p95_price", "p99_price"))], "days")
 
 
+def gap_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Times between the ticks of each symbol; long series are cut."""
+    rows = align.with_gaps(schema.trades(spark, d).select("ticker", "time", "sequence_number"), keys=KEYS, order=ORDER, gap_seconds=3600.0, passed="gap_us")
+    return rows.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("gap_us"), 3).alias("avg_gap_us"), F.max("gap_us").alias("max_gap_us"), F.count_if("gap").alias("long_gaps"))
+
+
 def exponential_vwap(spark: SparkSession, d: str) -> DataFrame:
     out = scan.exponential_vwap(schema.trades(spark, d), keys=KEYS, order=ORDER, seconds=DECAYS)
     return out.select("id", *[F.round(c, 6).alias(c) for c in DECAYS])
@@ -135,6 +141,8 @@ SELECT ticker, bar_us, row_number() OVER w AS n, round(sqrt(greatest(sum(v) OVER
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "q12_lag_distribution": (lag_distribution, f"{_T} SELECT ticker, round(avg(size), 6) AS avg_lag, min(size) AS min_lag, max(size) AS max_lag, round(quantile_cont(size, 0.5), 6) AS median_lag, round(quantile_cont(size, 0.95), 6) AS p95_lag FROM trades WHERE size IS NOT NULL GROUP BY ticker"),
     "q32_completeness": (completeness, f"{_T} SELECT ticker, round(count(price)::DOUBLE / count(*), 6) AS price_share, round(count(size)::DOUBLE / count(*), 6) AS size_share, round(quantile_cont(price, 0.5), 6) AS median_price, round(quantile_cont(price, 0.95), 6) AS p95_price, round(quantile_cont(price, 0.99), 6) AS p99_price, count(DISTINCT time::DATE) AS days FROM trades GROUP BY ticker"),
+    "q29_gap_profile": (gap_profile, f"""{_T}, gaps AS (SELECT ticker, epoch_us(time) - lag(epoch_us(time)) OVER (PARTITION BY ticker ORDER BY time, sequence_number) AS gap_us FROM trades)
+SELECT ticker, count(*) AS n, round(avg(gap_us), 3) AS avg_gap_us, max(gap_us) AS max_gap_us, count(CASE WHEN gap_us > 3600000000 THEN 1 END) AS long_gaps FROM gaps GROUP BY ticker"""),
     "a03_exact_percentiles": (percentiles, "SELECT l_returnflag, l_linestatus, count(l_extendedprice) AS n, " + ", ".join(f"round(quantile_cont(l_extendedprice::DOUBLE, {p}), 4) AS p{i}" for i, p in enumerate(SHARES)) + " FROM lineitem GROUP BY l_returnflag, l_linestatus"),
     "w14_long_quantiles": (long_quantiles, f"{_T}, r AS (SELECT *, row_number() OVER (ORDER BY time, sequence_number) AS i FROM trades) SELECT id, {_QUANTILES} FROM r WINDOW w600 AS (ORDER BY i ROWS 599 PRECEDING), w3600 AS (ORDER BY i ROWS 3599 PRECEDING)"),
     "w20_exponential_vwap": (exponential_vwap, _VWAP),

@@ -9,10 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.operators import features, rolling, splits
-from strandline.plans import market
+from strandline.plans import registry
 
 SF = "/root/testdata/sf0.01"
-CUT = ["j01_as_of", "j02_as_of_vector", "j03_aligned_sequence", "w07_price_features", "w11_volatility_features", "w16_order_flow_features", "w22_rolling_correlation", "j10_horizon_labels", "x03_sequences", "a11_longest_valid_run"]
+CUT = ["j01_as_of", "j02_as_of_vector", "j03_aligned_sequence", "w07_price_features", "w11_volatility_features", "w16_order_flow_features", "w22_rolling_correlation", "j10_horizon_labels", "x03_sequences", "a11_longest_valid_run", "w17_gap_reset", "q29_gap_profile", "w20_exponential_vwap", "w23_lead_lag"]
 
 
 def _rows(df):
@@ -22,7 +22,7 @@ def _rows(df):
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables here")
 @pytest.mark.parametrize("name", CUT)
 def test_cut_series_give_the_same(spark, monkeypatch, name):
-    query = market.queries()[name]
+    query = registry.queries()[name]
     whole = _rows(query(spark, SF))
     monkeypatch.setattr(rolling, "CHUNK_ROWS", 700)
     monkeypatch.setattr(rolling, "SPAN_US", 40_000_000_000)

@@ -17,6 +17,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp".split())
 SKIPPED = frozenset("script style noscript template head title nav footer aside form button select textarea iframe object svg canvas dialog menu audio video".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Starting one of these ends an open paragraph.
 ENDS_PARAGRAPH = BLOCKS - {"body", "html", "tbody", "thead", "tfoot", "tr", "caption", "legend"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -50,6 +52,7 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 class Line:
     text: str
     level: int  # 2 in an article, 1 in a main part, 0 elsewhere
+    heading: bool = False
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -88,7 +91,7 @@ def text_lines(page: str) -> list[Line]:
             text = " ".join(html.unescape("".join(held)).split())
             held.clear()
             if text:
-                lines.append(Line(text, stack[-1][2]))
+                lines.append(Line(text, stack[-1][2], stack[-1][0] in HEADINGS))
 
     def pop_to(depth: int) -> None:
         if any(s[0] in BLOCKS or s[1] != stack[depth - 1][1] for s in stack[depth:]):
@@ -191,7 +194,8 @@ def main_text(lines: list[Line], neighbours: list[list[Line]]) -> str:
     """The page's article: lines of the innermost declared part, or all lines, without template.
 
     neighbours: different pages, the nearest first. In a declared part, template is what all neighbours share, three or
-    more that don't share over four fifths of the part (copies of the article do). If a page declares no part, template
+    more that don't share over four fifths of the part (copies of the article do), at the part's ends or if the page says
+    it outside of the part as well; section headings and what stands between own lines are the article's. If a page declares no part, template
     is what most of three neighbours or more share, and what the nearest shares, unless the latter is over four fifths of
     the rest (two copies). If nothing would be left, nothing is template.
     """
@@ -201,7 +205,10 @@ def main_text(lines: list[Line], neighbours: list[list[Line]]) -> str:
     shares = [shared_lines(texts, [x.text for x in n]) for n in neighbours]
     if level:
         others = [s for s in shares if not _mostly(lines, part, s)]
-        template = set.intersection(*others) if len(others) >= 3 else set()
+        shared = set.intersection(*others) if len(others) >= 3 else set()
+        ends = {*takewhile(shared.__contains__, part), *takewhile(shared.__contains__, reversed(part))}
+        outside = {x.text for x in lines if x.level != level}
+        template = {i for i in shared if not lines[i].heading and (i in ends or texts[i] in outside)}
     else:
         template = _most_share(shares)
         if template.issuperset(part):

@@ -6,7 +6,7 @@ import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import arrays as A
@@ -236,6 +236,27 @@ def keep_best(history: DataFrame, n: int, loss_column: str = "val_loss") -> Data
     return history.orderBy(loss_column, *[c for c in history.columns if c != loss_column]).limit(n)
 
 
+def checkpoint_index(history: DataFrame, n: int, *, epoch: str = "epoch", loss_column: str = "val_loss") -> DataFrame:
+    """Adds rank (1 is the least loss, the earlier epoch among equals), kept (the first n), improved and since_best.
+
+    improved: the loss is below all earlier ones; since_best: epochs since the last improvement, for early stopping. A
+    row without a loss ranks last and improves nothing. One row an epoch: a history is small.
+    """
+    if n < 1:
+        raise ValueError("n must be 1 or more")
+    by_epoch = Window.orderBy(epoch)
+    before = F.min(loss_column).over(by_epoch.rowsBetween(Window.unboundedPreceding, -1))
+    ranked = history.withColumn("rank", F.row_number().over(Window.orderBy(F.col(loss_column).asc_nulls_last(), epoch)))
+    out = ranked.withColumns({"kept": F.col("rank") <= n, "improved": F.coalesce(F.col(loss_column) < before, before.isNull() & F.col(loss_column).isNotNull())})
+    last = F.last(F.when(F.col("improved"), F.col(epoch)), ignorenulls=True).over(by_epoch.rowsBetween(Window.unboundedPreceding, 0))
+    return out.withColumn("since_best", F.col(epoch) - last)
+
+
+def calibration_grade(mean_ece: Column) -> Column:
+    """The word of :func:`calibration_quality` for a column."""
+    return F.when(mean_ece < 0.05, "excellent").when(mean_ece < 0.10, "good").when(mean_ece < 0.15, "fair").otherwise("poor")
+
+
 def append_history(df: DataFrame, path: str) -> int:
     """Adds rows of a training history (epoch, losses, metrics, checkpoint path) to a table; returns how many."""
     before = df.persist()

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-#: Longest frame that is summed directly; Spark walks a sliding frame anew for each row.
-DIRECT_ROWS = 60
+#: Longest frames whose deviation, and whose sum or count, is worked out directly: Spark walks a sliding frame anew for each row.
+DIRECT_ROWS, SUM_ROWS = 60, 12
 #: Rows of a series beyond which it is cut, and rows of a chunk.
 CHUNK_ROWS = 1_000_000
 #: Time of a span, in microseconds.
@@ -43,7 +43,7 @@ def gated(w: WindowSpec, n: int, value: Column) -> Column:
 def rolling_sum(w: WindowSpec, n: int, x: Column) -> Column:
     """Sum of the last n rows without nulls (0 if there are none)."""
     x = F.coalesce(x, F.lit(0.0))
-    if n <= DIRECT_ROWS:
+    if n <= SUM_ROWS:
         return F.sum(x).over(last_rows(w, n))
     until = lambda end: F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, end))
     return until(0) - F.coalesce(until(-n), F.lit(0.0))
@@ -51,7 +51,7 @@ def rolling_sum(w: WindowSpec, n: int, x: Column) -> Column:
 
 def rolling_count(w: WindowSpec, n: int, x: Column) -> Column:
     """Rows of the last n where ``x`` isn't null."""
-    if n <= DIRECT_ROWS:
+    if n <= SUM_ROWS:
         return F.count(x).over(last_rows(w, n))
     until = lambda end: F.count(x).over(w.rowsBetween(Window.unboundedPreceding, end))
     return until(0) - F.coalesce(until(-n), F.lit(0))
@@ -96,7 +96,9 @@ def in_chunks(df: DataFrame, keys: Sequence[str], index: str, halo: int, feature
 
 
 def is_long(df: DataFrame, keys: Sequence[str]) -> bool:
-    """Whether a series has more than CHUNK_ROWS rows; counts the keys."""
+    """Whether a series has more than CHUNK_ROWS rows; counts the rows, and the keys only if all rows together are more."""
+    if df.count() <= CHUNK_ROWS:
+        return False
     return (df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > CHUNK_ROWS
 
 

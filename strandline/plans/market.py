@@ -220,11 +220,6 @@ def platt(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", F.round(F.array_max("probs"), 3).alias("greatest"), F.round("right", 3).alias("p_right"))
 
 
-def learning_rate(spark: SparkSession, d: str) -> DataFrame:
-    steps = spark.range(0, 1000).select(F.col("id").alias("step"))
-    return steps.select("step", F.round(evaluation.cosine_warmup(F.col("step"), warmup=100, total=1000, least=0.1), 6).alias("factor"))
-
-
 def parity(spark: SparkSession, d: str) -> DataFrame:
     p = schema.predictions(spark, d)
     factor, shift = F.lit(1.0) + (F.col("id") % 3).cast("double") * F.lit(0.001), (F.col("id") % 4).cast("double") * F.lit(0.0004)
@@ -232,11 +227,6 @@ def parity(spark: SparkSession, d: str) -> DataFrame:
     return rounded(evaluation.parity(p, shifted, keys=["id"], column="logits", atol=1e-3), ["abs_diff", "rel_diff"], 5).select("id", "abs_diff", "rel_diff", "passed")
 
 
-def best_checkpoints(spark: SparkSession, d: str) -> DataFrame:
-    history = schema.trades(spark, d).select("id", F.col("price").alias("val_loss")).where("val_loss is not null")
-    return evaluation.keep_best(history, 5)
-
-
 def columns(spark: SparkSession, d: str) -> DataFrame:
     from strandline.sources.introspect import table_schema
 
@@ -406,7 +396,6 @@ SELECT f.ticker, f.grid_us, any_value(f.price) AS price, any_value(f.price) IS N
     "x03_sequences": (sequences, f"{_T}, {_INDEXED}, b AS (SELECT *, {_bucket_sql(RETURNS, '(price - 60.0::DOUBLE)')} AS bucket, count(*) OVER (PARTITION BY ticker) AS n_all FROM indexed), s AS (SELECT ticker, i AS start, n_all, 20 AS n, round(sum(price) OVER f, 4) AS price_sum, (sum(size) OVER f)::DOUBLE AS size_sum, lead(bucket, 20) OVER w AS target_1, lead(bucket, 29) OVER w AS target_10 FROM b WINDOW w AS (PARTITION BY ticker ORDER BY i), f AS (PARTITION BY ticker ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)) SELECT ticker, start, n, price_sum, size_sum, target_1, target_10 FROM s WHERE start <= n_all - 30"),
     "x05_rolling_folds": (folds, f"{_T}, {_INDEXED}, f AS (SELECT ticker, unnest(range((n - 500) // 200 + 1)) AS fold FROM (SELECT ticker, count(*) AS n FROM indexed GROUP BY ticker) WHERE n >= 500) SELECT f.ticker, f.fold, f.fold * 200 AS fold_start, count(*) AS n, min(x.id) AS first_id, max(x.id) AS last_id FROM f JOIN indexed x ON x.ticker = f.ticker AND x.i >= f.fold * 200 AND x.i < f.fold * 200 + 500 GROUP BY f.ticker, f.fold"),
     "t07_batches": (batched, f"{_T}, {_INDEXED} SELECT ticker, i // 64 AS batch, count(*)::INT AS n, min(id) AS first_id FROM indexed GROUP BY ticker, i // 64 HAVING count(*) = 64"),
-    "t04_best_checkpoints": (best_checkpoints, f"{_T} SELECT id, price AS val_loss FROM trades WHERE price IS NOT NULL ORDER BY val_loss, id LIMIT 5"),
     "m10_metrics_by_horizon": (metrics, f"{_METRICS} SELECT horizon, round(nll, 6) AS nll, round(brier, 6) AS brier, round(entropy, 6) AS entropy, round(sharpness, 6) AS sharpness, round(directional_accuracy, 6) AS directional_accuracy, n, round(ece, 6) AS ece, round(mce, 6) AS mce FROM m JOIN ce USING (horizon)"),
     "m10_metrics_overall": (metrics_mean, f"{_METRICS} SELECT round(avg(nll), 6) AS nll, round(avg(brier), 6) AS brier, round(avg(ece), 6) AS ece, round(avg(directional_accuracy), 6) AS directional_accuracy FROM m JOIN ce USING (horizon)"),
     "m03_brier_by_bucket": (brier_by_bucket, f"{_P}, l AS (SELECT horizon, target, unnest(probs) AS p, unnest(range({N_LOGITS}))::INT AS bucket FROM probabilities) SELECT horizon, bucket, round(avg(power(p - (bucket = target)::INT, 2)), 6) AS brier FROM l GROUP BY horizon, bucket"),
@@ -417,7 +406,6 @@ SELECT f.ticker, f.grid_us, any_value(f.price) AS price, any_value(f.price) IS N
     "l06_weighted_loss": (weighted_loss, f"{_LOSSES}, h AS (SELECT horizon, avg(f) AS loss FROM rows_ GROUP BY horizon) SELECT round(sum(loss * (list_position([{', '.join(map(str, schema.HORIZONS))}], horizon)) / 36.0::DOUBLE), 6) AS loss FROM h"),
     "c01_temperature": (temperature, _TEMPERATURE_SQL),
     "c02_platt": (platt, _PLATT_SQL),
-    "nn4_learning_rate": (learning_rate, "SELECT step, round(CASE WHEN step < 100 THEN step / 100.0::DOUBLE ELSE 0.1::DOUBLE + 0.9::DOUBLE * 0.5::DOUBLE * (1 + cos(pi() * least((step - 100) / 900.0::DOUBLE, 1))) END, 6) AS factor FROM range(1000) r(step)"),
     "nn6_parity": (parity, _PARITY_SQL),
 }
 

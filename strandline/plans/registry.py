@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.plans import catalog, market, online, sequential, storage
+from strandline.plans import catalog, market, online, sequential, storage, training
 
-PARTS = (catalog, market, online, sequential, storage)
+PARTS = (catalog, market, online, sequential, storage, training)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

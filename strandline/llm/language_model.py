@@ -6,8 +6,8 @@ new to that context costs an escape (method C: as many escapes as distinct bytes
 the bytes that the longer context would have offered (exclusion); bytes never seen share what is left evenly.
 
 Counts are gathered by hash aggregation over all training texts, and no count is dropped. The trie is partitioned by the
-last two bytes of a context: all contexts that a byte can fall back to down to that length are in one part, and the two
-shortest levels (65,536 grams at most) go with each part. The cost of the most frequent grams is broadcast; other grams of
+last bytes of a context, two or as many more as a part's size asks for: all contexts that a byte can fall back to down to
+that length are in one part, and the shorter levels above it go with each part. The cost of the most frequent grams is broadcast; other grams of
 a text, seen or not, are looked up once each in their part of the trie and join the texts again.
 """
 
@@ -31,6 +31,8 @@ END = b"\n"
 MOST_WORDS = 2**19
 #: Bytes of texts whose grams are worked out together, and grams of a part of the trie.
 CHUNK, PART_GRAMS = 2**20, 200_000
+#: Crowded contexts that are broadcast (8 bytes each; there is one in PART_GRAMS grams at most); beyond, the join shuffles.
+MOST_CROWDED = 1_000_000
 
 
 def text_bytes(words: list[bytes]) -> bytes:
@@ -240,30 +242,74 @@ def _summed(grams: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarra
     return low[at], np.add.reduceat(counts, at) if len(at) else counts
 
 
+def _context(size: int) -> Column:
+    """The last ``size`` bytes of a gram's context."""
+    return F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(2 ** (8 * size) - 1))
+
+
+def _crowded(grams: DataFrame, short: int, order: int) -> dict[int, DataFrame]:
+    """By length, from ``short`` on, the contexts under which more than PART_GRAMS grams lie: one in PART_GRAMS grams at most."""
+    out: dict[int, DataFrame] = {}
+    rest = grams
+    for size in range(short, order):
+        counts = rest.groupBy(_context(size).alias("context")).count().where(F.col("count") > PART_GRAMS).select("context")
+        found = staged(counts, "crowded")
+        n = found.count()
+        if not n:
+            break
+        out[size] = F.broadcast(found) if n <= MOST_CROWDED else found
+        rest = rest.join(out[size], _context(size) == F.col("context"), "left_semi")
+    return out
+
+
+def _placed(rows: DataFrame, crowded: dict[int, DataFrame], short: int, parts: int) -> DataFrame:
+    """Adds size, the least number of context bytes (from ``short`` on) that aren't crowded, and the part of these bytes."""
+    length = F.lit(short)
+    for size, contexts in crowded.items():
+        mark = f"in_{size}"
+        rows = rows.join(contexts.select(F.col("context").alias(mark)), _context(size) == F.col(mark), "left")
+        length = length + F.col(mark).isNotNull().cast("int")
+    rows = rows.withColumn("size", length).drop(*[f"in_{size}" for size in crowded])
+    context = F.shiftrightunsigned("key", 8).bitwiseAND(F.expr("shiftleft(1L, size * 8) - 1"))
+    return rows.withColumn("part", F.pmod(F.xxhash64("size", context), F.lit(parts)).cast("int"))
+
+
 def gram_costs(wanted: DataFrame, grams: DataFrame, order: int, n_grams: int) -> DataFrame:
-    """key and cost of the distinct grams ``wanted``, by the trie of all ``grams`` (key, n), part by part."""
+    """key and cost of the distinct grams ``wanted``, by the trie of all ``grams`` (key, n), part by part.
+
+    A part has the grams under a context of two bytes, or of as many more as it takes to have PART_GRAMS grams at most
+    (one context of full length can't be cut). What lies above a longer one, 256 grams a level, is copied to its part.
+    """
     short = min(2, order)
     mask = lambda size: F.lit(2 ** (8 * size) - 1)
     low = [tuple(_columns(grams.groupBy(F.col("key").bitwiseAND(mask(j + 1)).alias("g")).agg(F.sum("n").alias("n")))) for j in range(short)]
     shared = grams.sparkSession.sparkContext.broadcast(low)
     parts = power_of_two(n_grams / PART_GRAMS, 16, 2**16)
-    part = F.pmod(F.xxhash64(F.shiftrightunsigned("key", 8).bitwiseAND(mask(short))), F.lit(parts)).cast("int").alias("part")
+    crowded = _crowded(grams, short, order)
+    asked, own = (_placed(x, crowded, short, parts) for x in (wanted.select("key"), grams.select("key", "n")))
+    held = own.select("key", "n", "size", "part", F.lit(-1).alias("level"))
+    for size, contexts in crowded.items():
+        under = grams.join(contexts, _context(size) == F.col("context"))
+        level = under.groupBy("context", F.col("key").bitwiseAND(mask(size + 1)).alias("key")).agg(F.sum("n").alias("n"))
+        below = asked.select("key", "size", "part").unionByName(own.select("key", "size", "part")).where(F.col("size") > size).select(_context(size).alias("context"), "part").distinct()
+        held = held.unionByName(level.join(below, "context").select("key", "n", F.lit(0).alias("size"), "part", F.lit(size).alias("level")))
 
     def look_up(asked: pa.Table, held: pa.Table) -> pa.Table:
         want, g = (t.column("key").to_numpy().astype(np.int64).view(np.uint64) for t in (asked, held))
         if not len(want):
             return pa.table({"key": pa.array([], pa.int64()), "cost": pa.array([], pa.float64())})
-        tables, counts = [], held.column("n").to_numpy().astype(float)
-        for size in range(order + 1, short, -1):
-            g, counts = _summed(g, counts, size)
-            tables.insert(0, (g, counts))
-        tables = [*shared.value, *tables]
+        counts = held.column("n").to_numpy().astype(float)
+        size, level = (held.column(c).to_numpy() for c in ("size", "level"))
+        tables = list(shared.value)
+        for k in range(short, order + 1):
+            mine = (level == k) | (level == -1) & (size <= k)
+            tables.append(_summed(g[mine], counts[mine], k + 1))
         while tables and not len(tables[-1][0]):
             tables.pop()
         costs = Trie(tables).costs(want & np.uint64(2 ** (8 * len(tables)) - 1)) if tables else np.full(len(want), -math.log10(256))
         return pa.table({"key": pa.array(want.view(np.int64)), "cost": pa.array(costs)})
 
-    return wanted.select("key", part).groupBy("part").cogroup(grams.select("key", "n", part).groupBy("part")).applyInArrow(look_up, "key long, cost double")
+    return asked.select("key", "part").groupBy("part").cogroup(held.groupBy("part")).applyInArrow(look_up, "key long, cost double")
 
 
 def score(df: DataFrame, *, key: str = "doc_id", text: str = "text", order: int = 5, most_frequent: int = 2**21) -> DataFrame:

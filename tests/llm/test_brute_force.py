@@ -16,6 +16,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from strandline.llm import html_extract, language_model, near_dedup, quality, registry, substring_dedup, token_count
 
 SF = "/root/testdata/sf0.001"
@@ -154,11 +156,12 @@ def test_language_model(spark):
 
 
 @tables
-@pytest.mark.parametrize("order", [1, 5])
-def test_broadcast_grams_do_not_matter(spark, monkeypatch, order):
+@pytest.mark.parametrize(("order", "part_grams", "most_crowded"), [(1, 2000, 9), (5, 2000, 9), (5, 40, 10**6), (4, 100, 0)])
+def test_broadcast_grams_do_not_matter(spark, monkeypatch, order, part_grams, most_crowded):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = {r["doc_id"]: r for r in language_model.score(docs, order=order).collect()}
-    monkeypatch.setattr(language_model, "PART_GRAMS", 2000)
+    monkeypatch.setattr(language_model, "PART_GRAMS", part_grams)
+    monkeypatch.setattr(language_model, "MOST_CROWDED", most_crowded)
     monkeypatch.setattr(language_model, "MOST_WORDS", 100)
     monkeypatch.setattr(language_model, "CHUNK", 1000)
     for r in language_model.score(docs, order=order, most_frequent=1000).collect():
@@ -167,6 +170,16 @@ def test_broadcast_grams_do_not_matter(spark, monkeypatch, order):
         assert r["score"] == pytest.approx(w["score"], rel=1e-9) and r["base_score"] == pytest.approx(w["base_score"], rel=1e-9)
 
 
+@tables
+def test_no_context_is_crowded(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "PART_GRAMS", 40)
+    body = spark.read.parquet(f"{SF}/documents.parquet").select(F.coalesce("text", F.lit("")).cast("binary").alias("body"))
+    grams = language_model.gather_counts(body, 5).where(F.col("kind") == language_model.GRAM).select("key", "n")
+    placed = language_model._placed(grams, language_model._crowded(grams, 2, 5), 2, 64).withColumn("context", F.shiftrightunsigned("key", 8).bitwiseAND(F.expr("shiftleft(1L, size * 8) - 1")))
+    most = {r["size"]: r["m"] for r in placed.groupBy("size", "context").count().groupBy("size").agg(F.max("count").alias("m")).collect()}
+    assert set(most) >= {2, 3, 4} and all(n <= 40 for size, n in most.items() if size < 5)
+
+
 @tables
 def test_quality_statistics(spark):
     texts = dict(rows("documents", "doc_id, text"))

@@ -82,12 +82,15 @@ SELECT iv.symbol, iv.us AS ts_us, ROUND(iv.iv, 6) AS iv, rv.rv, ROUND(iv.iv - rv
 
 
 def run(spark: SparkSession, sf_dir: str, sql: str, args: dict[str, Any] | None = None) -> DataFrame:
-    """The SQL text over the views; named parameters as ``:name``. The session's own views stay as they are."""
+    """The SQL text over the views, where they stand after FROM or JOIN; named parameters as ``:name``.
+
+    The session's own views stay as they are.
+    """
     for view, frame in (("trades", schema.trades), ("options", schema.options)):
-        name = f"{view}_{zlib.crc32(sf_dir.encode()):08x}"
-        if re.search(rf"\b{view}\b", sql):
+        name, place = f"{view}_{zlib.crc32(sf_dir.encode()):08x}", rf"\b(FROM|JOIN)(\s+){view}\b"
+        if re.search(place, sql, re.IGNORECASE):
             frame(spark, sf_dir).createOrReplaceTempView(name)
-            sql = re.sub(rf"\b{view}\b", name, sql)
+            sql = re.sub(place, rf"\g<1>\g<2>{name}", sql, flags=re.IGNORECASE)
     return spark.sql(sql, args=args or {})
 
 

@@ -127,7 +127,7 @@ _DAILY = f"""{_STEPS}, c AS (
   SELECT p.a, p.b, x.e // {DAY_US} AS day, count(y.r) AS n_overlaps, sum(x.r * y.r) AS cov
   FROM pairs p JOIN steps x ON x.ticker = p.a LEFT JOIN steps y ON y.ticker = p.b AND x.s < y.e AND y.s < x.e GROUP BY ALL),
 v AS (SELECT ticker, e // {DAY_US} AS day, sum(r * r) AS r2 FROM steps GROUP BY ALL)
-SELECT a, b, day, n_overlaps, CASE WHEN va.r2 > 0 AND vb.r2 > 0 THEN round(coalesce(cov, 0) / sqrt(va.r2 * vb.r2), 6) END AS correlation FROM c JOIN v va ON va.ticker = a AND va.day = c.day LEFT JOIN v vb ON vb.ticker = b AND vb.day = c.day"""
+SELECT a, b, c.day AS day, n_overlaps, CASE WHEN va.r2 > 0 AND vb.r2 > 0 THEN round(coalesce(cov, 0) / sqrt(va.r2 * vb.r2), 6) END AS correlation FROM c JOIN v va ON va.ticker = a AND va.day = c.day LEFT JOIN v vb ON vb.ticker = b AND vb.day = c.day"""
 _QUANTILES = ", ".join(f"CASE WHEN i >= {n} THEN quantile_cont(size::DOUBLE, {q}) OVER w{n} END AS size_q{int(q * 100)}_{n}" for n in (600, 3600) for q in QUARTILES)
 _VWAP = f"""{_T.replace("WITH ", "WITH RECURSIVE ")}, rows_ AS (SELECT ticker, id, price, size, row_number() OVER w AS i, (epoch_us(time) - epoch_us(lag(time) OVER w)) / 1e6::DOUBLE AS passed FROM trades WINDOW w AS (PARTITION BY ticker ORDER BY time, sequence_number)),
 b AS (SELECT ticker, id, i, passed, coalesce(price * size, 0)::DOUBLE AS pv, CASE WHEN price IS NOT NULL THEN coalesce(size, 0) ELSE 0 END::DOUBLE AS v FROM rows_),

@@ -12,7 +12,7 @@ from strandline import schema
 from strandline.functions import arrays as A
 from strandline.functions import discretize as D
 from strandline.operators import evaluation, rolling, splits
-from strandline.plans.market import CENTERS, KEYS, N_LOGITS, rounded
+from strandline.plans.market import CENTERS, KEYS, N_LOGITS, ORDER, rounded
 from strandline.sources import files
 
 BATCH, WARMUP_SHARE, LEAST = 50, 10, 0.1

@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 
 from strandline import schema
-from strandline.plans import registry
+from strandline.plans import catalog, registry
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables here")
@@ -28,3 +28,8 @@ def test_greeks_hold_every_contract(spark):
     for r in registry.queries()["q19_greeks_by_bucket"](spark, SF).collect():
         got[r["m"]] += float(r["volume"])
     assert got == want
+
+
+def test_names_of_views_in_text_stay(spark):
+    got = catalog.run(spark, SF, "SELECT 'all trades' AS trades, COUNT(*) AS n FROM trades WHERE ticker <> :t", {"t": "trades"}).first()
+    assert got["trades"] == "all trades" and got["n"] > 0

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators import align
+from strandline.operators import align, scan
 from strandline.operators import rolling as R
 
 
@@ -36,6 +36,22 @@ def tick_steps(ticks: DataFrame, *, key: str, time: str, order: Sequence[str], p
     return R.in_chunks(indexed, ["key"], "i", 1, add, ahead=1).select("key", "start_us", "end_us", "step", "level", "next_level", "i")
 
 
+def index_ticks(steps: DataFrame, *, groups: DataFrame | None = None) -> DataFrame:
+    """key, time, price, order: an equally weighted index of the steps of all series, a tick wherever one of them has one.
+
+    The index's log price is the sum so far of all steps over the number of series; its ticks go into :func:`tick_steps`
+    like any other series'. groups: (key, index) rows say which index a series counts in, a key in several if need be;
+    without it all count in the index "all". The running sum is made in chunks, see :mod:`strandline.operators.scan`.
+    """
+    named = steps.select("key").distinct().withColumn("index", F.lit("all")) if groups is None else groups.select("key", "index").distinct()
+    members = named.join(steps.select("key").distinct(), "key", "left_semi").groupBy("index").agg(F.count(F.lit(1)).alias("__members"))
+    rows = steps.join(named, "key").join(members, "index")
+    # series' first ticks have no step, but the index has a level there
+    moves = rows.groupBy("index", F.timestamp_micros("end_us").alias("time")).agg((F.sum(F.coalesce("step", F.lit(0.0))) / F.first("__members")).alias("__move"))
+    summed = scan.affine_scan(moves, keys=["index"], order=["time"], maps={"__level": (F.lit(1.0), F.col("__move"))})
+    return summed.select(F.col("index").alias("key"), "time", F.exp("__level").alias("price"), F.lit(0).alias("order"))
+
+
 def lead_lag(steps: DataFrame, pairs: DataFrame, lags_us: Sequence[int], *, window_us: int | None = None) -> DataFrame:
     """a, b, lag_us, n_overlaps, covariance and correlation of each pair (a, b) of ``pairs`` at each lag.
 

@@ -18,7 +18,7 @@ from strandline.sources.files import staged
 #: Values of a block of a frame, at most.
 BLOCK = 512
 #: Bins of a histogram, and values that are sorted out in the end (of a wanted rank, in one task).
-BINS, SORTED = 1024, 20_000
+BINS, SORTED = 1024, 100_000
 #: Ranges that are broadcast (some tens of bytes each).
 MOST_RANGES = 100_000
 
@@ -112,12 +112,13 @@ def long_quantiles(df: DataFrame, *, keys: Sequence[str], order: Sequence[str],
     return R.in_chunks(indexed, keys, "__i", n - 1, feature, chunk=chunk).drop("__i", "__x")
 
 
-def exact_percentiles(df: DataFrame, *, keys: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
+def exact_percentiles(df: DataFrame, *, keys: Sequence[str], value: str, probabilities: Sequence[float], few: int | None = None) -> DataFrame:
     """keys, n and percentiles: the exact interpolated percentiles of each group's values, in the order asked for.
 
     For groups of any size: a histogram of a group's range says in which bin each wanted rank lies; the bin becomes the
     range, until it holds few values or a single one; the values of that bin are sorted. No task holds a group. Each
-    round reads the rows once and narrows all ranks of all groups. Nulls and NaN don't count; groups without values, and
+    round reads the rows once and narrows all ranks of all groups. few (SORTED unless given): values that a task may sort; if
+    no group has more, Spark's own exact aggregate is used at once. Nulls and NaN don't count; groups without values, and
     those with a null key, are groups too, with n = 0 and nulls.
     """
     if not probabilities or any(not 0 <= p <= 1 for p in probabilities):
@@ -125,13 +126,19 @@ def exact_percentiles(df: DataFrame, *, keys: Sequence[str], value: str, probabi
     keys = list(keys)
     named = [f"__k{i}" for i in range(len(keys))]
     rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)], R.clean(F.col(value).cast("double")).alias("__x"))
+    few = few or SORTED
+    if (rows.groupBy(*named).agg(F.count("__x").alias("n")).agg(F.max("n")).first()[0] or 0) <= few:
+        exact = F.percentile("__x", F.array(*[F.lit(float(p)) for p in probabilities]))
+        nothing = F.array(*[F.lit(None).cast("double")] * len(probabilities))
+        return rows.groupBy(*named).agg(F.count("__x").alias("n"), exact.alias("percentiles")).select(*[F.col(c).alias(k) for c, k in zip(named, keys, strict=True)], "n", F.coalesce("percentiles", nothing).alias("percentiles"))
+    wide = f"held > {few} AND low < high"
     whole = staged(rows.groupBy(*named).agg(F.count("__x").alias("n"), F.min("__x").alias("low"), F.max("__x").alias("high")), "groups")
     places = F.array(*[F.lit(float(p)) * (F.col("n") - 1) for p in probabilities])
     ranks = F.explode(F.array_distinct(F.flatten(F.transform(places, lambda p: F.array(F.floor(p), F.ceil(p))))))
     # below: values under the range of a rank; held: values in it
     targets = staged(whole.where("n > 0").select(*named, ranks.alias("rank"), "low", "high", F.lit(0).cast("bigint").alias("below"), F.col("n").alias("held")), "ranks")
-    while targets.where(_OPEN).limit(1).count():
-        targets = staged(_narrowed(rows, targets, named), "ranks")
+    while targets.where(wide).limit(1).count():
+        targets = staged(_narrowed(rows, targets, named, wide), "ranks")
     single = targets.where("low = high").select(*named, "rank", F.col("low").alias("x"))
     few = targets.where("low < high")
     inside = _within(rows, few, named)
@@ -148,9 +155,6 @@ def exact_percentiles(df: DataFrame, *, keys: Sequence[str], value: str, probabi
     return out.select(*keys, "n", F.when(F.col("n") > 0, F.transform(places, between)).otherwise(nothing).alias("percentiles"))
 
 
-_OPEN = f"held > {SORTED} AND low < high"
-
-
 def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
     out = F.lit(True)
     for c in names:
@@ -167,18 +171,18 @@ def _within(rows: DataFrame, targets: DataFrame, named: list[str]) -> DataFrame:
     return held.select(*[rows[c] for c in named], "low", "high", "__x")
 
 
-def _narrowed(rows: DataFrame, targets: DataFrame, named: list[str]) -> DataFrame:
+def _narrowed(rows: DataFrame, targets: DataFrame, named: list[str], wide: str) -> DataFrame:
     """``targets`` with each wide range cut down to the bin that its rank lies in."""
-    wide = targets.where(_OPEN)
+    broad = targets.where(wide)
     # halves, so that the width of a range can't overflow; infinities have bins of their own
     most = 1.7976931348623157e308
     low, high = (F.greatest(F.least(F.col(c), F.lit(most)), F.lit(-most)) / 2 for c in ("low", "high"))
     share = (F.col("__x") / 2 - low) / (high - low)
     bin_ = F.when(F.col("__x") > most, BINS).when(F.col("__x") < -most, -1).otherwise(F.least(F.floor(share * BINS), F.lit(BINS - 1)))
-    bins = _within(rows, wide, named).groupBy(*named, "low", "high", bin_.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("size"), F.min("__x").alias("first"), F.max("__x").alias("last"))
+    bins = _within(rows, broad, named).groupBy(*named, "low", "high", bin_.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("size"), F.min("__x").alias("first"), F.max("__x").alias("last"))
     before = F.coalesce(F.sum("size").over(Window.partitionBy(*named, "low", "high").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counted = bins.withColumn("before", before)
     inside = F.col("rank") - F.col("below")
-    met = wide.join(counted, _same(wide, counted, [*named, "low", "high"]) & (inside >= F.col("before")) & (inside < F.col("before") + F.col("size")))
-    done = met.select(*[wide[c] for c in named], "rank", F.col("first").alias("low"), F.col("last").alias("high"), (F.col("below") + F.col("before")).alias("below"), F.col("size").alias("held"))
-    return targets.where(f"NOT ({_OPEN})").unionByName(done)
+    met = broad.join(counted, _same(broad, counted, [*named, "low", "high"]) & (inside >= F.col("before")) & (inside < F.col("before") + F.col("size")))
+    done = met.select(*[broad[c] for c in named], "rank", F.col("first").alias("low"), F.col("last").alias("high"), (F.col("below") + F.col("before")).alias("below"), F.col("size").alias("held"))
+    return targets.where(f"NOT ({wide})").unionByName(done)

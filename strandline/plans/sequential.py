@@ -51,6 +51,17 @@ def daily_comovement(spark: SparkSession, d: str) -> DataFrame:
     return out.select("a", "b", F.col("window").alias("day"), "n_overlaps", F.round("correlation", 6).alias("correlation"))
 
 
+def index_comovement(spark: SparkSession, d: str) -> DataFrame:
+    """How each symbol moves with an index of all symbols, and with one of the symbols of its own initial's half."""
+    steps = _steps(spark, d)
+    halves = steps.select("key").distinct().withColumn("index", F.when(F.col("key") < "p", "a to o").otherwise("p to z"))
+    groups = halves.unionByName(halves.withColumn("index", F.lit("all")))
+    indexes = cross.tick_steps(cross.index_ticks(steps, groups=groups), key="key", time="time", order=["order"], price="price")
+    every = files.staged(steps.unionByName(indexes.select(*steps.columns)), "steps")
+    out = cross.lead_lag(every, groups.select(F.col("key").alias("a"), F.col("index").alias("b")), [0])
+    return out.select("a", F.col("b").alias("index_name"), "n_overlaps", F.round("correlation", 5).alias("correlation"))
+
+
 def long_quantiles(spark: SparkSession, d: str) -> DataFrame:
     """Sizes of all ticks as one series, over the last 600 and 3,600 of them."""
     rows = schema.trades(spark, d).select("id", "time", "sequence_number", "size")
@@ -60,8 +71,9 @@ def long_quantiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of groups that no task may sort more than a thousand values of."""
     lines = schema.table(spark, d, "lineitem")
-    out = order_statistics.exact_percentiles(lines, keys=["l_returnflag", "l_linestatus"], value="l_extendedprice", probabilities=SHARES)
+    out = order_statistics.exact_percentiles(lines, keys=["l_returnflag", "l_linestatus"], value="l_extendedprice", probabilities=SHARES, few=1000)
     return out.select("l_returnflag", "l_linestatus", "n", *[F.round(F.get("percentiles", F.lit(i)), 4).alias(f"p{i}") for i in range(len(SHARES))])
 
 
@@ -128,6 +140,15 @@ _DAILY = f"""{_STEPS}, c AS (
   FROM pairs p JOIN steps x ON x.ticker = p.a LEFT JOIN steps y ON y.ticker = p.b AND x.s < y.e AND y.s < x.e GROUP BY ALL),
 v AS (SELECT ticker, e // {DAY_US} AS day, sum(r * r) AS r2 FROM steps GROUP BY ALL)
 SELECT a, b, c.day AS day, n_overlaps, CASE WHEN va.r2 > 0 AND vb.r2 > 0 THEN round(coalesce(cov, 0) / sqrt(va.r2 * vb.r2), 6) END AS correlation FROM c JOIN v va ON va.ticker = a AND va.day = c.day LEFT JOIN v vb ON vb.ticker = b AND vb.day = c.day"""
+_INDEX = f"""{_T}, single AS (SELECT ticker, epoch_us(time) AS e, arg_max(ln(price), sequence_number) AS x FROM trades WHERE price > 0 GROUP BY ticker, epoch_us(time)),
+every AS (SELECT ticker, lag(e) OVER w AS s, e, x - lag(x) OVER w AS r FROM single WINDOW w AS (PARTITION BY ticker ORDER BY e)),
+member AS (SELECT DISTINCT ticker, CASE WHEN ticker < 'p' THEN 'a to o' ELSE 'p to z' END AS name FROM single UNION ALL SELECT DISTINCT ticker, 'all' FROM single),
+size AS (SELECT name, count(*) AS m FROM member GROUP BY name),
+moves AS (SELECT name, e, sum(coalesce(r, 0)) / any_value(m) AS r FROM every JOIN member USING (ticker) JOIN size USING (name) GROUP BY name, e),
+idx AS (SELECT * FROM (SELECT name, lag(e) OVER (PARTITION BY name ORDER BY e) AS s, e, r FROM moves) WHERE s IS NOT NULL),
+c AS (SELECT a.ticker, i.name, count(*) AS n, sum(a.r * i.r) AS cov FROM every a JOIN member g USING (ticker) JOIN idx i ON i.name = g.name AND a.s < i.e AND i.s < a.e WHERE a.r IS NOT NULL GROUP BY ALL)
+SELECT c.ticker AS a, c.name AS index_name, n AS n_overlaps, round(cov / sqrt(va.r2 * vi.r2), 5) AS correlation
+FROM c JOIN (SELECT ticker, sum(r * r) AS r2 FROM every GROUP BY ticker) va ON va.ticker = c.ticker JOIN (SELECT name, sum(r * r) AS r2 FROM idx GROUP BY name) vi ON vi.name = c.name"""
 _QUANTILES = ", ".join(f"CASE WHEN i >= {n} THEN quantile_cont(size::DOUBLE, {q}) OVER w{n} END AS size_q{int(q * 100)}_{n}" for n in (600, 3600) for q in QUARTILES)
 _VWAP = f"""{_T.replace("WITH ", "WITH RECURSIVE ")}, rows_ AS (SELECT ticker, id, price, size, row_number() OVER w AS i, (epoch_us(time) - epoch_us(lag(time) OVER w)) / 1e6::DOUBLE AS passed FROM trades WINDOW w AS (PARTITION BY ticker ORDER BY time, sequence_number)),
 b AS (SELECT ticker, id, i, passed, coalesce(price * size, 0)::DOUBLE AS pv, CASE WHEN price IS NOT NULL THEN coalesce(size, 0) ELSE 0 END::DOUBLE AS v FROM rows_),
@@ -152,6 +173,7 @@ SELECT ticker, count(*) AS n, round(avg(gap_us), 3) AS avg_gap_us, max(gap_us) A
     "w24_best_lag": (best_lag, f"""{_LAGGED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY abs(corr) DESC, abs(lag_us), lag_us) AS k FROM lagged)
 SELECT a, b, max(CASE WHEN k = 1 THEN lag_us END) AS lag_us, round(max(CASE WHEN k = 1 THEN corr END), 6) AS correlation, round(sum(CASE WHEN lag_us > 0 THEN corr * corr END) / sum(CASE WHEN lag_us < 0 THEN corr * corr END), 4) AS lead_ratio FROM ranked GROUP BY a, b"""),
     "w25_daily_comovement": (daily_comovement, _DAILY),
+    "w26_index_comovement": (index_comovement, _INDEX),
     "t06_temporal_sampler": (temporal_sampler, "WITH p AS (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS position, count(*) OVER () // 3 AS start FROM events) SELECT event_id, position, (position - start) // 100 AS batch FROM p WHERE position >= start"),
 }
 

@@ -53,6 +53,16 @@ def test_lead_lag_equals_all_pairs(spark, monkeypatch):
     assert best["a", "a"]["lag_us"] == 0 and ("a", "c") not in best
 
 
+def test_index_of_series(spark):
+    rows = [("a", 0.0, 0, 1.0, 1.0), ("b", 5.0, 0, 4.0, 1.0), ("a", 10.0, 0, 2.0, 1.0), ("b", 10.0, 0, 8.0, 1.0), ("a", 20.0, 0, 1.0, 1.0), ("c", 7.0, 0, 3.0, 1.0)]
+    steps = cross.tick_steps(ticks(spark, rows), key="key", time="time", order=["seq"], price="price")
+    groups = spark.createDataFrame([("a", "two"), ("b", "two"), ("c", "one"), ("a", "one"), ("none", "one")], "key string, index string")
+    got = {(r["key"], r["time"].second): r["price"] for r in cross.index_ticks(steps, groups=groups).collect()}
+    half = math.log(2) / 2
+    assert {k: pytest.approx(math.log(v), abs=1e-12) for k, v in got.items()} == {("two", 0): 0, ("two", 5): 0, ("two", 10): 2 * half, ("two", 20): half, ("one", 0): 0, ("one", 7): 0, ("one", 10): half, ("one", 20): 0}
+    assert {r["key"] for r in cross.index_ticks(steps).collect()} == {"all"}
+
+
 def test_follower_is_found(spark):
     rng = random.Random(11)
     price, leader = 100.0, []
@@ -128,20 +138,18 @@ def test_long_quantiles_in_chunks(spark):
 @pytest.mark.parametrize(("bins", "held", "most"), [(3, 2, 0), (64, 1, 100_000), (1024, 20_000, 100_000)])
 def test_exact_percentiles(spark, monkeypatch, bins, held, most):
     monkeypatch.setattr(order_statistics, "BINS", bins)
-    monkeypatch.setattr(order_statistics, "SORTED", held)
-    monkeypatch.setattr(order_statistics, "_OPEN", f"held > {held} AND low < high")
     monkeypatch.setattr(order_statistics, "MOST_RANGES", most)
     rng = random.Random(1)
     groups = {"u": [rng.random() for _ in range(40)], "ties": [1.0] * 30 + [2.0] * 11, "one": [5.0], "wide": [-1e308, 1e308, 0.0, 1.0, 2.0**-1000], None: [3.0, 4.0], "inf": [math.inf, -math.inf, math.inf, 1.0, 2.0]}
     rows = [(k, x) for k, xs in groups.items() for x in xs] + [("none", None), ("none", math.nan), ("one", None)]
     p = [0.0, 0.25, 0.5, 1.0]
-    got = {r["k"]: r for r in order_statistics.exact_percentiles(spark.createDataFrame(rows, "k string, x double"), keys=["k"], value="x", probabilities=p).collect()}
+    got = {r["k"]: r for r in order_statistics.exact_percentiles(spark.createDataFrame(rows, "k string, x double"), keys=["k"], value="x", probabilities=p, few=held).collect()}
     assert set(got) == {*groups, "none"} and got["none"]["n"] == 0 and got["none"]["percentiles"] == [None] * 4
     for k, xs in groups.items():
         if k != "inf":
             assert got[k]["n"] == len(xs) and got[k]["percentiles"] == pytest.approx(np.quantile(xs, p).tolist())
     assert got["inf"]["percentiles"] == [-math.inf, 1.0, 2.0, math.inf]
-    whole = order_statistics.exact_percentiles(spark.createDataFrame(rows, "k string, x double").where("k = 'u'"), keys=[], value="x", probabilities=[0.5]).first()
+    whole = order_statistics.exact_percentiles(spark.createDataFrame(rows, "k string, x double").where("k = 'u'"), keys=[], value="x", probabilities=[0.5], few=held).first()
     assert whole["percentiles"][0] == pytest.approx(float(np.median(groups["u"])))
     with pytest.raises(ValueError):
         order_statistics.exact_percentiles(spark.range(1), keys=[], value="id", probabilities=[2.0])

@@ -140,3 +140,11 @@ def test_equals_plain_loops(spark):
     want = _reference(docs, items)
     got = {r["doc_id"]: r["item_ids"] for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert set(got) == set(want) and len(got) > 30 and all(set(got[d]) <= set(want[d]) for d in got)
+
+
+def test_repeated_rows_and_items(spark):
+    items = spark.createDataFrame([(1, "What is the sum of twelve and the number nine in this case ?"), (1, "What is the sum of twelve and the number nine in this case ?"), (2, "Name the largest of these four rivers that flow to the north sea .")], "item_id long, text string")
+    rows = [(5, "Intro. What is the sum of fifteen and the number seven in this case ? Right.")] * 3 + [(5, "clean words only"), (6, "Name the largest of these four rivers that flow to the north sea .")] + [(7, "clean words only")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as `a.b`", "2 as __gone", "3 as item")
+    got = decontamination.contaminated(docs, items).collect()
+    assert sorted((r["doc_id"], list(r["item_ids"])) for r in got) == [(5, [1]), (6, [2])]

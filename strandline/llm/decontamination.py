@@ -11,6 +11,10 @@ alignment, whose slots should agree: each item value goes with one document valu
 value, by type. Where they don't, a pair of values holds if it is at more positions than each pair it conflicts with, at
 equal numbers if it is the only one with equal values; windows with other pairs don't count. A document is contaminated by
 an item if the windows that count cover enough of the item's tokens.
+
+Windows that many items share make no pairs of items and documents. The windows of an item that most items share are set
+aside while all of them together cover too little of it; a document that the item contaminates has one of the others, the
+probes, so only probes are joined for candidates, and only candidates are compared over all their windows.
 """
 
 from __future__ import annotations
@@ -32,8 +36,8 @@ FACTOR = 0x9E3779B97F4A7C15
 #: Benchmark windows up to so many bytes (checked) are broadcast, as hashes and as a side of the join; beyond, all document
 #: windows go to the join, which shuffles.
 MOST_BROADCAST = 2**25
-#: With more sentence starts in a window than this, they are read all one way, or one of them the other way.
-MOST_READINGS = 6
+#: Longest window: each of its words may start a sentence, and all readings of these are joined.
+MOST_WORDS = 12
 LITERAL, NUMBER, UNIT, CAPITAL = 0, 1, 2, 3
 SLOT_HASH = np.array([0, 0x51ED270B3A5F1C11, 0x6C8E9CF570932BD5, 0x2545F4914F6CDD1D], np.uint64)
 # Units of measure and number words, lower case.
@@ -100,19 +104,31 @@ def _window_names(h: np.ndarray, kind: np.ndarray, size: int) -> np.ndarray:
 
 
 def _readings(h: np.ndarray, kind: np.ndarray, unsure: np.ndarray, size: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Start, name and kinds of each window of an item, in each reading of its sentence starts."""
+    """Start, name and kinds of each window of an item, in each reading of its sentence starts; once if joined by its words."""
     for a in range(len(h) - size + 1):
-        places = np.flatnonzero(unsure[a : a + size]).tolist()
-        if len(places) <= MOST_READINGS:
-            chosen = [[p for i, p in enumerate(places) if bits >> i & 1] for bits in range(2 ** len(places))]
-        else:
-            chosen = [[], places, *([p] for p in places), *([q for q in places if q != p] for p in places)]
-        for plain in chosen:
+        places, by_words = np.flatnonzero(unsure[a : a + size]), False
+        for bits in range(2 ** len(places)):
             k = kind[a : a + size].copy()
-            k[plain] = LITERAL
+            k[places[(bits >> np.arange(len(places)) & 1).astype(bool)]] = LITERAL
+            if 2 * (k != LITERAL).sum() > size:
+                if by_words:
+                    continue
+                by_words = True
             yield a, int(_window_names(h[a : a + size], k, size).view(np.int64)[0]), k
 
 
+def _probes(item_words: int, size: int, sharers: dict[int, int], least_share: float) -> list[int]:
+    """Window positions left when those of most sharers are set aside, as long as these cover less than ``least_share``."""
+    covered, out = np.zeros(item_words, bool), []
+    for at in sorted(sharers, key=lambda at: (-sharers[at], at)):
+        fresh = size - int(covered[at : at + size].sum())
+        if (int(covered.sum()) + fresh) / item_words < least_share:
+            covered[at : at + size] = True
+        else:
+            out.append(at)
+    return out
+
+
 def _is_slot(kind: np.ndarray) -> np.ndarray:
     """Slots of a window; one that is joined by its words has none."""
     return (kind > 0) & (2 * (kind == LITERAL).sum() >= len(kind))
@@ -174,17 +190,37 @@ def template_classes(benchmark: DataFrame, *, item_key: str = "item_id", item_te
     return named.join(named.groupBy("pattern").agg(F.min("item").alias("class")), "pattern").select("item", "body", "class")
 
 
+def _probe_windows(known: DataFrame, item_type: str, least_share: float) -> DataFrame:
+    """item, size and h of the windows that candidates are joined by, of an item's windows in all readings."""
+    shared = known.join(known.groupBy("h", "size").agg(F.count_distinct("item").alias("sharers")), ["h", "size"])
+    at = shared.groupBy("item", "item_words", "size", "item_at").agg(F.max("sharers").alias("sharers"), F.collect_set("h").alias("hs"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whose, names = [], []
+            for i, (item_words, size, windows) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
+                hs = {w["item_at"]: w["hs"] for w in windows}
+                for a in _probes(item_words, size, {w["item_at"]: w["sharers"] for w in windows}, least_share):
+                    names += hs[a]
+                    whose += [i] * len(hs[a])
+            at = pa.array(whose, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(names, pa.int64())], names=["item", "size", "h"])
+
+    lists = at.groupBy("item", "item_words", "size").agg(F.collect_list(F.struct("item_at", "sharers", "hs")).alias("windows"))
+    return lists.mapInArrow(choose, f"item {item_type}, size int, h long").distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", window: int = 8, least_share: float = 0.6) -> DataFrame:
     """One row for each contaminated document: key, item_ids (sorted), n_items and share (most of an item covered).
 
     item_ids name classes of items by their least id, see :func:`template_classes`. Items of fewer than ``window`` words
-    are one window of their own; items of fewer than 4 words, null or empty, match nothing. Null and empty documents are
+    are one window of their own; items of fewer than 4 words, null or empty, match nothing. window: 4 to 12 words. Null and empty documents are
     clean. Texts are judged whole; rows with equal keys and texts count once, and equal keys with different texts are
     judged apart and reported together. A null document key is reported as null. An empty table on either side gives no
     rows; other columns are not read.
     """
-    if window < 4:
-        raise ValueError("window must be 4 or more")
+    if not 4 <= window <= MOST_WORDS:
+        raise ValueError(f"window must be 4 to {MOST_WORDS}")
     spark = docs.sparkSession
     items = staged(template_classes(benchmark, item_key=item_key, item_text=item_text, window=window).groupBy("class").agg(F.min_by("body", F.struct("item", "body")).alias("body")), "classes")
 
@@ -205,17 +241,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
     known = staged(items.mapInArrow(item_windows, f"item {item_type}, item_words long, size int, item_at long, h long, item_slots array<string>, places array<long>"), "templates")
     held = known.agg(F.sum(F.octet_length(F.concat_ws("", "item_slots")) + 8 * F.size("places") + 64), F.collect_set("size")).first()
     sizes, small = sorted(held[1]), (held[0] or 0) <= MOST_BROADCAST
-    wanted = spark.sparkContext.broadcast(np.unique(known.select("h").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)) if small else None)
+    probes = staged(_probe_windows(known, item_type, least_share), "probes")
+    every, probing = (np.unique(x.select("h").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)) if small else None for x in (known, probes))
+    wanted = spark.sparkContext.broadcast((every, np.isin(every, probing)) if small else (None, None))
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     key_type = rows.schema["k"].dataType.simpleString()
 
     def doc_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates, hashes = Templates(), wanted.value
+        templates, (hashes, probing) = Templates(), wanted.value
         for batch in batches:
             whose, found = [], []
             for i in range(batch.num_rows):
                 body = batch.column(1)[i].as_py()
-                words, mark = body.split(), None
+                words, mine, probed = body.split(), [], hashes is None
                 h, kind, _ = templates.tokens(words)
                 for size in sizes:
                     if len(h) < size or hashes is not None and not len(hashes):
@@ -223,19 +261,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id",
                     names = _window_names(h, kind, size)
                     at = np.arange(len(names))
                     if hashes is not None:
-                        at = np.flatnonzero(hashes[np.minimum(np.searchsorted(hashes, names), len(hashes) - 1)] == names)
-                    if len(at):
-                        mark = mark if mark is not None else xxhash.xxh3_64_intdigest(body.encode("utf-8", "surrogatepass")) - 2**63
-                        whose += [i] * len(at)
-                        found += [(mark, size, a, x, _slots(words, kind[a : a + size], a)) for a, x in zip(at.tolist(), names[at].view(np.int64).tolist(), strict=True)]
+                        place = np.minimum(np.searchsorted(hashes, names), len(hashes) - 1)
+                        at = np.flatnonzero(hashes[place] == names)
+                        probed |= bool(probing[place[at]].any())
+                    mine += [(size, a, x) for a, x in zip(at.tolist(), names[at].view(np.int64).tolist(), strict=True)]
+                if mine and probed:
+                    mark = xxhash.xxh3_64_intdigest(body.encode("utf-8", "surrogatepass")) - 2**63
+                    whose += [i] * len(mine)
+                    found += [(mark, size, a, x, _slots(words, kind[a : a + size], a)) for size, a, x in mine]
             if found:
                 columns = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(whose, pa.int32())), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string())), strict=True))], names=["k", "mark", "size", "at", "h", "slots"])
 
     hits = rows.mapInArrow(doc_windows, f"k {key_type}, mark long, size int, at long, h long, slots array<string>")
+    if not small:
+        hits = hits.join(known.select("h", "size").distinct(), ["h", "size"], "left_semi")
+    hits = staged(hits, "hits")
+    near = (lambda x: F.broadcast(x)) if small else (lambda x: x)
+    candidates = hits.select("k", "mark", "h", "size").join(near(probes), ["h", "size"]).select("k", "mark", "item").distinct()
+    asked = candidates.withColumnsRenamed({"k": "_k", "mark": "_mark", "item": "_item"}).join(near(known), F.col("_item").eqNullSafe(F.col("item"))).withColumnsRenamed({"h": "_h", "size": "_size"})
+    same = F.col("_k").eqNullSafe(F.col("k")) & (F.col("_mark") == F.col("mark")) & (F.col("_h") == F.col("h")) & (F.col("_size") == F.col("size"))
     pairs = F.transform(F.arrays_zip("places", "item_slots", "slots"), lambda p: F.struct(p["places"].alias("p"), p["item_slots"].alias("a"), p["slots"].alias("b")))
     diagonals = (
-        hits.join(F.broadcast(known) if small else known, ["h", "size"])
+        hits.join(asked, same)
         .where(F.size("slots") == F.size("item_slots"))
         .select("k", "mark", "item", "item_words", "size", (F.col("at") - F.col("item_at")).alias("diagonal"), "item_at", pairs.alias("pairs"))
         .groupBy("k", "mark", "item", "item_words", "size", "diagonal")

@@ -121,7 +121,7 @@ def _reference(docs, items):
             for s in starts:
                 if not bad & set(range(s, s + size)):
                     covered[item, n].update(range(s, s + size))
-        hit = [item for (item, n), c in covered.items() if len(c) / n >= 0.6]
+        hit = {item: len(c) / n for (item, n), c in covered.items() if len(c) / n >= 0.6}
         if hit:
             found[doc] = hit
     return found
@@ -138,8 +138,9 @@ def test_equals_plain_loops(spark):
             words[rng.randrange(len(words))] = "different"
         docs.append((10**6 + i, f"Before. {' '.join(words)} after"))
     want = _reference(docs, items)
-    got = {r["doc_id"]: r["item_ids"] for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert set(got) == set(want) and len(got) > 30 and all(set(got[d]) <= set(want[d]) for d in got)
+    got = {r["doc_id"]: r for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == set(want) and len(got) > 30 and all(set(r["item_ids"]) <= set(want[d]) for d, r in got.items())
+    assert all(r["share"] == max(want[d][i] for i in r["item_ids"]) for d, r in got.items())
 
 
 def test_repeated_rows_and_items(spark):
@@ -148,3 +149,40 @@ def test_repeated_rows_and_items(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as `a.b`", "2 as __gone", "3 as item")
     got = decontamination.contaminated(docs, items).collect()
     assert sorted((r["doc_id"], list(r["item_ids"])) for r in got) == [(5, [1]), (6, [2])]
+
+
+OPENING = "Read the passage below and answer the question that follows it with care :"
+
+
+@pytest.mark.parametrize("most", [2**25, 1])
+def test_windows_of_many_items_make_no_pairs(spark, monkeypatch, most):
+    """Items and documents that share an opening phrase: candidates come from other windows, and none is lost."""
+    monkeypatch.setattr(decontamination, "MOST_BROADCAST", most)
+    tables, write = {}, decontamination.staged
+    monkeypatch.setattr(decontamination, "staged", lambda df, name: tables.setdefault(name, write(df, name)))
+    rng = random.Random(5)
+    own = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n))
+    items = [(i, f"{OPENING} {own(25)}") for i in range(60)]
+    docs = [(i, f"{own(9)} {OPENING} {own(20)}") for i in range(60)] + [(100 + i, f"{own(5)} {items[i][1]} {own(5)}") for i in range(7)]
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["doc_id"]: (list(r["item_ids"]), r["share"]) for r in got} == {100 + i: ([i], 1.0) for i in range(7)}
+    probes, hits = tables["probes"], tables["hits"]
+    assert hits.join(probes, ["h", "size"]).select("k", "item").distinct().count() == 7
+
+
+def test_probes():
+    assert decontamination._probes(20, 8, dict.fromkeys(range(13), 1), 0.6) == [4, 5, 6, 7, 8, 9, 10, 11, 12]
+    assert decontamination._probes(20, 8, dict.fromkeys(range(9), 1) | dict.fromkeys(range(9, 13), 9), 0.6) == [0, 1, 2, 3, 4, 5, 6, 7, 8]
+    assert decontamination._probes(5, 5, {0: 9}, 0.6) == [0] and decontamination._probes(20, 8, {0: 1}, 1.1) == []
+    assert decontamination._probes(20, 8, dict.fromkeys(range(13), 1), 0.0) == list(range(13))
+
+
+def test_all_sentence_starts(spark):
+    """A window of eight words that all may start sentences is met in each reading."""
+    text = "Yes. Clara! Then. Maria? Once. Again. Down. Under. all of them went home and nobody said a word of it"
+    docs = [(1, text), (2, text.replace("Clara", "Dora")), (3, f"{text.lower()}")]
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    got = {r["doc_id"] for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items, window=8).collect()}
+    h, kind, unsure = decontamination.Templates().tokens(text.split()[:8])
+    names = {n for _, n, _ in decontamination._readings(h, kind, unsure, 8)}
+    assert unsure.all() and len(names) == sum(1 for bits in range(256) if bits.bit_count() >= 4) + 1 and 1 in got

@@ -119,11 +119,12 @@ def _readings(h: np.ndarray, kind: np.ndarray, unsure: np.ndarray, size: int) ->
 
 def _probes(item_words: int, size: int, sharers: dict[int, int], least_share: float) -> list[int]:
     """Window positions left when those of most sharers are set aside, as long as these cover less than ``least_share``."""
-    covered, out = np.zeros(item_words, bool), []
+    covered, total, out = np.zeros(item_words, bool), 0, []
     for at in sorted(sharers, key=lambda at: (-sharers[at], at)):
         fresh = size - int(covered[at : at + size].sum())
-        if (int(covered.sum()) + fresh) / item_words < least_share:
+        if (total + fresh) / item_words < least_share:
             covered[at : at + size] = True
+            total += fresh
         else:
             out.append(at)
     return out

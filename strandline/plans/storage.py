@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline import schema
 from strandline.operators import sketches
-from strandline.sources import database, file_index, files, introspect
+from strandline.sources import file_index, files, introspect, shards
 
 LOW, HIGH = "2024-01-10 12:00:00", "2024-01-12 06:00:00"
 INDEX_FILES = 16
@@ -21,16 +21,10 @@ def _path(spark: SparkSession, name: str) -> str:
 
 
 def database_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Orders written to an embedded database and read by four tasks, with filters that the database applies.
-
-    An embedded database belongs to one process, so this query needs a local master; a server's url has no such limit.
-    """
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("an embedded database can't be opened by the executors of a cluster")
-    db = database.Database.derby(_path(spark, "orders-db").removeprefix("file:"))
-    db.write(schema.table(spark, d, "orders"), "orders", mode="overwrite", partitions=4)
-    db.execute(spark, 'DELETE FROM orders WHERE "o_orderstatus" = ?', ["P"])
-    rows = db.read_ranges(spark, "orders", "o_orderkey", 4).where((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 1000))
+    """Orders written to embedded databases, changed there and read again with filters that the databases apply."""
+    table, _ = shards.ShardedTable.write(schema.table(spark, d, "orders"), _path(spark, "orders-db"), "o_orderkey")
+    table, _ = table.execute(spark, "DELETE FROM rows WHERE o_orderstatus = ?", ["P"])
+    rows = table.read(spark, ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"], "o_orderstatus = ? AND o_totalprice > ?", ["F", 1000.0])
     return rows.select("o_orderkey", "o_custkey", F.round("o_totalprice", 2).alias("o_totalprice"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("date_us"))
 
 

@@ -114,7 +114,7 @@ def valid_mask(strategy: OvernightStrategy, valid: Column, price: Column) -> Col
 def longest_valid_run(df: DataFrame, *, keys: Sequence[str], index: str, valid: str, least_valid: float = 0.8, chunk: int | None = None) -> DataFrame:
     """First longest run of valid rows as half-open [run_start, run_end); nulls if it is under the share of all rows.
 
-    Runs are found in chunks of rows; those that touch the edge of a chunk are joined to their neighbours.
+    Without a valid row there are nulls at any share; at 0 every run counts. Runs are found in chunks of rows; those that touch the edge of a chunk are joined to their neighbours.
     """
     keys, chunk = list(keys), chunk or R.CHUNK_ROWS
     rows = df.withColumn("__chunk", F.floor(F.col(index) / F.lit(chunk)))

@@ -19,6 +19,11 @@ def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, y: a + y)
 
 
+def known_total(x: Column) -> Column:
+    """Sum of the elements that aren't null; null if there are none, like SQL's sum."""
+    return F.aggregate(x, F.lit(None).cast("double"), lambda a, y: F.when(y.isNull(), a).otherwise(F.coalesce(a, F.lit(0.0)) + y))
+
+
 def softmax(x: Column) -> Column:
     shifted = lambda v: let(F.array_max(v), lambda top: F.transform(v, lambda y: F.exp(y - top)))
     return let(let(x, shifted), lambda e: let(total(e), lambda s: F.transform(e, lambda y: y / s)))

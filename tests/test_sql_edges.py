@@ -28,6 +28,13 @@ def _against_sql(spark, name, d):
     return sorted(tuple(cell(r[c]) for c in columns) for r in df.collect()), sorted(tuple(map(cell, r)) for r in want)
 
 
+def test_sequences_with_nulls(spark, tmp_path):
+    # a value of 0 is no price; rows 100 to 130 have none, so some windows have no price at all
+    rows = _events(spark, 200, "if(id = 40 OR id BETWEEN 100 AND 130, 0D, id + 0.25D)")
+    ours, want = _against_sql(spark, "x03_sequences", _written(rows, tmp_path))
+    assert ours == want and len(ours) == 171 and any(r[1] == "null" for r in ours)
+
+
 @pytest.mark.parametrize(("value", "n"), [("if(id % 3 = 0 OR id = 1000, 50D, 150D)", 1), ("150D", 0)])
 def test_short_run_of_a_long_series(spark, tmp_path, value, n):
     ours, want = _against_sql(spark, "a11_longest_valid_run", _written(_events(spark, 3000, value), tmp_path))

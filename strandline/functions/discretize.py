@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandline.functions import arrays as A
+
 
 @dataclass(frozen=True)
 class Buckets:
@@ -48,7 +50,8 @@ class Buckets:
         if sigma <= 0:
             raise ValueError("sigma must be positive")
         weights = F.transform(F.sequence(F.lit(0), F.lit(self.n - 1)), lambda i: F.exp(F.lit(-0.5) * F.pow((i - bucket) / F.lit(float(sigma)), F.lit(2.0))))
-        normal = F.element_at(F.transform(F.array(weights), lambda w: F.transform(w, lambda x: x / F.aggregate(w, F.lit(0.0), lambda a, y: a + y))), 1)
+        # the sum is made once a row, not once an element
+        normal = A.let(weights, lambda w: A.let(A.total(w), lambda s: F.transform(w, lambda x: x / s)))
         return F.when((bucket >= 0) & (bucket < self.n), normal).otherwise(F.when(bucket.isNotNull(), F.raise_error(F.lit("bucket out of range")).cast("array<double>")))
 
 

@@ -90,7 +90,9 @@ def online_features(ticks: DataFrame, cfg: BufferConfig = BufferConfig()) -> Dat
         buffer = RollingBuffer(cfg.capacity)
         if state.exists:
             buffer.push(np.array([list(x) for x in state.get]).T.reshape(-1, 3))
-        news = pd.concat(list(frames)).sort_values(["ts_us", "seq"])
+        news = pd.DataFrame()
+        for frame in frames:  # no more rows are kept than the buffer takes
+            news = pd.concat([news, frame] if len(news) else [frame]).sort_values(["ts_us", "seq"]).tail(cfg.capacity)
         rows = news[["ts_us", "price", "volume"]].to_numpy(float)
         if cfg.reset_gap_seconds is not None:
             times = np.concatenate((buffer.rows[-1:, 0], rows[:, 0]))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from itertools import repeat
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -64,19 +66,21 @@ class TickProcessor(StatefulProcessor):
         self.ticks = handle.getListState("ticks", _STATE_SCHEMA, int(pd.Timedelta(idle).total_seconds() * 1000)) if idle else handle.getListState("ticks", _STATE_SCHEMA)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        news = pd.concat(list(rows)).sort_values(["ts_us", "seq"])
-        fresh = list(zip(news["ts_us"].tolist(), news["seq"].tolist(), *([None if pd.isna(x) else x for x in news[c]] for c in ("price", "volume")), strict=True))
-        held = list(self.ticks.get())
-        table = np.array([[x[0], x[1]] for x in [*held, *fresh]], np.int64)
-        order = np.lexsort((table[:, 1], table[:, 0]))
-        times = table[order, 0]
-        first = self.cfg.current(times)
-        every = [*held, *fresh]
-        mine = [tuple(every[i]) for i in order[first:]]
-        if len(every) - len(mine) > self.cfg.buffer.capacity:
+        capacity, place = self.cfg.buffer.capacity, itemgetter(0, 1)
+        held = [(*x, False) for x in self.ticks.get()]
+        # only the last ``capacity`` ticks can count, so a trigger's rows are taken frame by frame and no more are kept
+        last_ones = sorted(held, key=place)[-capacity:]
+        for frame in rows:
+            news = frame.sort_values(["ts_us", "seq"]).tail(capacity)
+            fresh = zip(news["ts_us"].tolist(), news["seq"].tolist(), *([None if pd.isna(x) else x for x in news[c]] for c in ("price", "volume")), repeat(True), strict=False)
+            last_ones = sorted([*last_ones, *fresh], key=place)[-capacity:]
+        times = np.array([x[0] for x in last_ones], np.int64)
+        mine = [x[:4] for x in last_ones[self.cfg.current(times) :]]
+        added = [x[:4] for x in last_ones if x[4]]
+        if len(held) + len(added) - len(mine) > capacity:
             self.ticks.put(mine)
-        else:
-            self.ticks.appendList(fresh)
+        elif added:
+            self.ticks.appendList(added)
         if self.cfg.close_us is not None:
             at = self.cfg.next_close(int(times[-1])) // 1000
             if at not in set(self.handle.listTimers()):

@@ -55,7 +55,9 @@ def as_of(grid: DataFrame, obs: DataFrame, *, keys: Sequence[str], grid_us: str,
     none = left.schema
     right = grid.select(*keys, F.col(grid_us).alias("__t"), F.lit(1).alias("__kind"), F.lit(None).cast(none["__seq"].dataType).alias("__seq"), F.lit(None).cast(none["__v"].dataType).alias("__v"), *carried)
     rows = left.unionByName(right)
-    filled = R.last_known(rows, keys, ["__t", "__kind", "__seq"], F.col("__t"), F.col("__v"), "__last", cut=R.is_long(rows.select(*keys), keys)).where("__kind = 1").drop("__v").withColumnRenamed("__last", "__v")
+    cut = R.spans_of(rows.select(*keys, "__t"), keys, "__t")
+    span_us, tasks = cut or (None, 0)
+    filled = R.last_known(rows, keys, ["__t", "__kind", "__seq"], F.col("__t"), F.col("__v"), "__last", cut=cut is not None, span_us=span_us, tasks=tasks).where("__kind = 1").drop("__v").withColumnRenamed("__last", "__v")
     return filled.select(*keys, F.col("__t").alias(grid_us), *carried, *[F.col("__v")[c].alias(c) for c in values], F.col("__v").isNotNull().alias("valid"))
 
 

@@ -18,7 +18,9 @@ from pyspark.sql.window import WindowSpec
 DIRECT_ROWS, SUM_ROWS = 60, 12
 #: Rows of a series beyond which it is cut, and rows of a chunk.
 CHUNK_ROWS = 1_000_000
-#: Time of a span, in microseconds.
+#: Rows that a task sorts, as far as their number is known, and rows of a span where a series is dense.
+TASK_ROWS, SPAN_ROWS = 500_000, 250_000
+#: Time of a span, in microseconds; shorter where a series is dense.
 SPAN_US = 86_400_000_000
 
 
@@ -69,16 +71,26 @@ def rolling_std(w: WindowSpec, n: int, x: Column) -> Column:
     return F.sqrt(F.greatest(rolling_sum(w, n, x * x) / F.nullif(count, F.lit(0)) - mean * mean, F.lit(0.0)))
 
 
-def with_row_index(df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], *, span_us: int = SPAN_US, name: str = "row_index") -> DataFrame:
+def tasks_for(df: DataFrame) -> int:
+    """Tasks of about TASK_ROWS rows each; counts the rows."""
+    return -(-df.count() // TASK_ROWS)
+
+
+def spread(df: DataFrame, tasks: int, *columns: str) -> DataFrame:
+    """The rows by these columns over ``tasks`` tasks; unchanged if Spark's own number is as high."""
+    return df.repartition(tasks, *columns) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def with_row_index(df: DataFrame, keys: Sequence[str], time: str, order: Sequence[str], *, span_us: int = SPAN_US, name: str = "row_index", tasks: int = 0) -> DataFrame:
     """0-based position in the series by (time, order), numbered in time spans so that no task sorts a whole series."""
     spanned = df.withColumn("__span", F.floor(F.unix_micros(time) / F.lit(span_us)))
     starts = Window.partitionBy(*keys).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
     counts = spanned.groupBy(*keys, "__span").agg(F.count(F.lit(1)).alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(starts), F.lit(0))).drop("__n")
     within = Window.partitionBy(*keys, "__span").orderBy(time, *order)
-    return spanned.join(counts, [*keys, "__span"]).withColumn(name, F.col("__start") + F.row_number().over(within) - 1).drop("__span", "__start")
+    return spread(spanned, tasks, *keys, "__span").join(counts, [*keys, "__span"]).withColumn(name, F.col("__start") + F.row_number().over(within) - 1).drop("__span", "__start")
 
 
-def in_chunks(df: DataFrame, keys: Sequence[str], index: str, halo: int, feature: Callable[[DataFrame, list[str]], DataFrame], *, chunk: int | None = None, ahead: int = 0) -> DataFrame:
+def in_chunks(df: DataFrame, keys: Sequence[str], index: str, halo: int, feature: Callable[[DataFrame, list[str]], DataFrame], *, chunk: int | None = None, ahead: int = 0, tasks: int = 0) -> DataFrame:
     """``feature(df, keys)`` of row frames of up to ``halo`` rows back and ``ahead`` rows on, with series cut into chunks.
 
     The last ``halo`` rows of a chunk are copied to the next one, the first ``ahead`` to the one before, and the copies'
@@ -92,7 +104,7 @@ def in_chunks(df: DataFrame, keys: Sequence[str], index: str, halo: int, feature
     rest = F.col(index) % F.lit(chunk)
     own = [at, F.when(rest >= chunk - halo, at + 1), F.when((rest < ahead) & (at > 0), at - 1)]
     placed = df.withColumn("__chunk", F.explode(F.array_compact(F.array(*own)) if halo or ahead else F.array(at)))
-    return feature(placed, [*keys, "__chunk"]).where(F.floor(F.col(index) / F.lit(chunk)) == F.col("__chunk")).drop("__chunk")
+    return feature(spread(placed, tasks, *keys, "__chunk"), [*keys, "__chunk"]).where(F.floor(F.col(index) / F.lit(chunk)) == F.col("__chunk")).drop("__chunk")
 
 
 def is_long(df: DataFrame, keys: Sequence[str]) -> bool:
@@ -102,6 +114,22 @@ def is_long(df: DataFrame, keys: Sequence[str]) -> bool:
     return (df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0) > CHUNK_ROWS
 
 
+def spans_of(df: DataFrame, keys: Sequence[str], time_us: str) -> tuple[int, int] | None:
+    """(time of a span, tasks) for series in ``df`` of which one has more than CHUNK_ROWS rows; None if none has.
+
+    A span of the densest series holds about SPAN_ROWS rows, a task about TASK_ROWS, however many rows there are.
+    """
+    rows = df.count()
+    if rows <= CHUNK_ROWS:
+        return None
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.max(time_us) - F.min(time_us) + 1).alias("t"))
+    share = F.min(F.when(F.col("n") > CHUNK_ROWS, F.col("t") / F.col("n")))
+    longest, us = sizes.agg(F.max("n"), share).first()
+    if longest <= CHUNK_ROWS:
+        return None
+    return max(1, min(SPAN_US, int((us or SPAN_US) * SPAN_ROWS))), -(-rows // TASK_ROWS)
+
+
 def by_series(df: DataFrame, keys: Sequence[str], order: Sequence[str], halo: int, feature: Callable[[DataFrame, list[str]], DataFrame], *, ahead: int = 0) -> DataFrame:
     """``feature(df, keys)`` of row frames, in chunks if a series is long; ``order`` starts with a timestamp then."""
     if not is_long(df, keys):
@@ -111,20 +139,21 @@ def by_series(df: DataFrame, keys: Sequence[str], order: Sequence[str], halo: in
     return in_chunks(indexed, keys, "__index", halo, feature, ahead=ahead).drop("__index")
 
 
-def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], time_us: Column, value: Column, name: str, *, cut: bool) -> DataFrame:
+def last_known(df: DataFrame, keys: Sequence[str], order: Sequence[str], time_us: Column, value: Column, name: str, *, cut: bool, span_us: int | None = None, tasks: int = 0) -> DataFrame:
     """Adds ``name``: the last value that isn't null at or before each row.
 
-    cut: series in spans of time, the last value of each carried to the next ones.
+    cut: series in spans of time (span_us, or SPAN_US), the last value of each carried to the next ones; over ``tasks``
+    tasks if these are more than Spark's own number.
     """
     back = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if not cut:
         return df.withColumn(name, F.last(value, ignorenulls=True).over(back(series(keys, order))))
-    spans = df.withColumns({"__span": F.floor(time_us / F.lit(SPAN_US)), "__value": value})
+    spans = df.withColumns({"__span": F.floor(time_us / F.lit(span_us or SPAN_US)), "__value": value})
     ends = spans.where(F.col("__value").isNotNull()).groupBy(*keys, "__span").agg(F.max_by("__value", F.struct(*order)).alias("__end"))
     every = spans.select(*keys, "__span").distinct().join(ends, [*keys, "__span"], "left")
     carried = every.withColumn("__carried", F.last("__end", ignorenulls=True).over(series(keys, ["__span"]).rowsBetween(Window.unboundedPreceding, -1))).drop("__end")
     inside = F.last("__value", ignorenulls=True).over(back(series([*keys, "__span"], order)))
-    return spans.withColumn("__inside", inside).join(carried, [*keys, "__span"]).withColumn(name, F.coalesce("__inside", "__carried")).drop("__span", "__value", "__inside", "__carried")
+    return spread(spans, tasks, *keys, "__span").withColumn("__inside", inside).join(carried, [*keys, "__span"]).withColumn(name, F.coalesce("__inside", "__carried")).drop("__span", "__value", "__inside", "__carried")
 
 
 def annualization(trading_days: int = 252, hours: float = 6.5) -> float:

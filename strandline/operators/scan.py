@@ -28,11 +28,12 @@ def _run(a: pa.ChunkedArray, b: pa.ChunkedArray, start: float) -> tuple[list[flo
     return out, whole
 
 
-def affine_scan(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], maps: Mapping[str, tuple[Column, Column]], chunk: int | None = None) -> DataFrame:
+def affine_scan(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], maps: Mapping[str, tuple[Column, Column]], chunk: int | None = None, tasks: int = 0) -> DataFrame:
     """Adds a column for each of ``maps``, by name: y = a * y_before + b from 0, with (a, b) as columns of each row.
 
     A null a is 1 and a null b is 0, so that such a row changes nothing. ``order`` starts with a timestamp and is total.
     A chunk of rows (CHUNK_ROWS unless given) is held in memory; results differ between chunk sizes by rounding alone.
+    tasks: over how many tasks the rows go, if these are more than Spark's own number.
     """
     chunk = chunk or R.CHUNK_ROWS
     if chunk < 1:
@@ -41,7 +42,7 @@ def affine_scan(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], map
     factors = {f"__a{i}": F.coalesce(maps[n][0].cast("double"), F.lit(1.0)) for i, n in enumerate(names)}
     terms = {f"__b{i}": F.coalesce(maps[n][1].cast("double"), F.lit(0.0)) for i, n in enumerate(names)}
     rows = df.withColumns(factors | terms)
-    indexed = R.with_row_index(rows, keys, order[0], order[1:], name="__i").withColumn("__chunk", F.floor(F.col("__i") / F.lit(chunk)))
+    indexed = R.with_row_index(rows, keys, order[0], order[1:], name="__i", tasks=tasks).withColumn("__chunk", F.floor(F.col("__i") / F.lit(chunk)))
 
     def composed(table: pa.Table) -> pa.Table:
         table = table.sort_by("__i")
@@ -68,7 +69,7 @@ def affine_scan(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], map
 
     fields = lambda prefix: [T.StructField(f"{prefix}{i}", T.DoubleType()) for i in range(len(names))]
     of_chunk = [*(indexed.schema[k] for k in keys), T.StructField("__chunk", T.LongType())]
-    narrow = indexed.select(*keys, "__chunk", "__i", *factors, *terms)
+    narrow = R.spread(indexed.select(*keys, "__chunk", "__i", *factors, *terms), tasks, *keys, "__chunk")
     chunks = narrow.groupBy(*keys, "__chunk").applyInArrow(composed, T.StructType([*of_chunk, *fields("__a"), *fields("__b")]))
     starts = chunks.groupBy(*keys).applyInArrow(carried, T.StructType([*of_chunk, *fields("__y")]))
     same = [indexed[k].eqNullSafe(starts[k]) for k in (*keys, "__chunk")]

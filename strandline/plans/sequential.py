@@ -56,7 +56,7 @@ def index_comovement(spark: SparkSession, d: str) -> DataFrame:
     steps = _steps(spark, d)
     halves = steps.select("key").distinct().withColumn("index", F.when(F.col("key") < "p", "a to o").otherwise("p to z"))
     groups = halves.unionByName(halves.withColumn("index", F.lit("all")))
-    indexes = cross.tick_steps(cross.index_ticks(steps, groups=groups), key="key", time="time", order=["order"], price="price")
+    indexes = cross.tick_steps(files.staged(cross.index_ticks(steps, groups=groups), "index"), key="key", time="time", order=["order"], price="price")
     every = files.staged(steps.unionByName(indexes.select(*steps.columns)), "steps")
     out = cross.lead_lag(every, groups.select(F.col("key").alias("a"), F.col("index").alias("b")), [0])
     return out.select("a", F.col("b").alias("index_name"), "n_overlaps", F.round("correlation", 5).alias("correlation"))

@@ -17,6 +17,9 @@ from pyspark.sql import types as T
 
 from strandline.operators import rolling as R
 
+#: Rows of a chunk: a Python task holds one at a time.
+SCAN_ROWS = 50_000
+
 
 def _run(a: pa.ChunkedArray, b: pa.ChunkedArray, start: float) -> tuple[list[float], float]:
     """Values from ``start`` on, and the product of the factors."""
@@ -32,10 +35,10 @@ def affine_scan(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], map
     """Adds a column for each of ``maps``, by name: y = a * y_before + b from 0, with (a, b) as columns of each row.
 
     A null a is 1 and a null b is 0, so that such a row changes nothing. ``order`` starts with a timestamp and is total.
-    A chunk of rows (CHUNK_ROWS unless given) is held in memory; results differ between chunk sizes by rounding alone.
+    A chunk of rows (SCAN_ROWS unless given) is held in memory; results differ between chunk sizes by rounding alone.
     tasks: over how many tasks the rows go, if these are more than Spark's own number.
     """
-    chunk = chunk or R.CHUNK_ROWS
+    chunk = chunk or min(SCAN_ROWS, R.CHUNK_ROWS)
     if chunk < 1:
         raise ValueError("chunk must be 1 or more")
     names, keys = list(maps), list(keys)

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import discretize
+from strandline.operators import scan
 from strandline.streaming import buffers, processor
 
 
@@ -63,6 +64,20 @@ def test_a_trigger_is_taken_frame_by_frame():
     assert max(alive) <= 3 and len(state.rows) <= 40
 
 
+def test_scan_holds_short_chunks(spark, monkeypatch):
+    plain = scan._run
+
+    def checked(a, b, start):
+        if len(a) > 100_000:
+            raise ValueError("a chunk of too many rows")
+        return plain(a, b, start)
+
+    monkeypatch.setattr(scan, "_run", checked)
+    rows = spark.range(220_000).select(F.lit("a").alias("k"), F.timestamp_seconds("id").alias("time"), "id")
+    out = scan.affine_scan(rows, keys=["k"], order=["time", "id"], maps={"n": (F.lit(1.0), F.lit(1.0))})
+    assert out.where(F.col("n") != F.col("id") + 1).count() == 0 and out.count() == 220_000
+
+
 def test_soft_labels_take_linear_time(spark):
     made = discretize.return_buckets(1601)
     began = time.perf_counter()
